@@ -6,14 +6,85 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from argloom.llm._spark import table
 from argloom.llm.bpe import token_digests
+from argloom.llm.chat_format import conversation_digests, expand
 from argloom.llm.cuckoo_dedup import exact_groups
+from argloom.llm.pfair_mixing import mix_order
+from argloom.llm.quality_rules import quality_report
+from argloom.llm.secret_scan import scan
+from argloom.llm.virtual_slots import shard_by_bytes
 
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_order(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = """
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+g AS (SELECT doc_id, i, list_slice(ws, i, i + 4) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
+twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM twice WHERE c > 1) GROUP BY doc_id),
+m AS (SELECT w.doc_id, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+             len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+             (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+      FROM w LEFT JOIN covered ON w.doc_id = covered.doc_id),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS f FROM b WHERE source IS NOT NULL GROUP BY source),
+p AS (SELECT avg(f / n) AS mu, var_pop(f / n) AS v FROM h),
+q AS (SELECT mu, CASE WHEN v > 0 THEN least(1e6, greatest(1.0, mu * (1 - mu) / v - 1)) ELSE 1.0 END AS s FROM p),
+bad AS (SELECT source FROM h, q WHERE (f + s * mu) / (n + s) > 0.5)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       coalesce(b.source IN (SELECT source FROM bad), false) AS host_rejected,
+       NOT base_failed AND NOT coalesce(b.source IN (SELECT source FROM bad), false) AS kept
+FROM b
+"""
+
+
+def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, _ = shard_by_bytes(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id bigint, turn bigint, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return conversation_digests(expand(turns))
+
+
+OP7_SQL = """
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+             count(*) OVER (PARTITION BY conv_id) AS last,
+             23 + length(role) + length(text)
+               + len(regexp_extract_all(role || chr(10) || text, '<\\\\*(\\|turn\\|>|\\|text\\|>|\\|end\\|>|\\|im_start\\|>|\\|im_end\\|>|\\|endoftext\\|>|s>|/s>)'))
+               + len(regexp_extract_all(role || chr(10) || text, '\\[\\\\*(/?INST\\])')) AS chars
+      FROM c),
+e AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY i) AS upto, role = 'assistant' OR i = last AS example FROM n)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (sum(upto) FILTER (example))::BIGINT AS formatted_chars, count(*) FILTER (example) AS n_examples
+FROM e GROUP BY conv_id
+"""
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -36,10 +107,17 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_scan": op2_secret_scan,
+    "op3_pfair_mixing": op3_pfair_mixing,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_virtual_slots": op6_virtual_slots,
+    "op7_chat_format": op7_chat_format,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_quality_rules": OP5_SQL,
+    "op7_chat_format": OP7_SQL,
     "op8_exact_dedup": OP8_SQL,
 }
