@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,9 +36,9 @@ from argloom.llm._words import ranges
 LONG_PIECE = 512
 _NONE = np.int32(1 << 30)
 #: Distinct pieces that a worker remembers.
-_REMEMBERED = 400_000
-#: Characters of text that are encoded at a time.
-_BATCH_CHARS = 4 << 20
+_REMEMBERED = 150_000
+#: Bytes of a column that are encoded or decoded at a time (one longer value goes alone).
+_BATCH_BYTES = 1 << 20
 
 
 def _width(n: int) -> int:
@@ -216,6 +217,16 @@ def codec(rank_file: str, pattern: str) -> Codec:
     return Codec(ranks, pattern)
 
 
+def _parts(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """``batch`` in consecutive parts of about ``_BATCH_BYTES`` of ``column``, so that a worker's memory doesn't follow the batch."""
+    at = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(at, (at[i - 1] if i else 0) + _BATCH_BYTES, side="right")))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def encode(df: DataFrame, rank_file: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """``df`` with ``out_col``: the packed ids of the text."""
     kept = [c for c in df.columns if c != out_col]
@@ -224,14 +235,9 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(rank_file, pattern)
         for batch in batches:
-            texts, ids, at, size = batch.column("_argloom_text"), [], 0, 0
-            lens = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
-            for i, n in enumerate(lens):
-                size += n
-                if size >= _BATCH_CHARS or i == len(lens) - 1:
-                    ids += own.encode_texts([t or "" for t in texts.slice(at, i + 1 - at).to_pylist()])
-                    at, size = i + 1, 0
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(kept))), pa.array(ids, pa.binary())], names=[*kept, out_col])
+            for part in _parts(batch, "_argloom_text"):
+                ids = own.encode_texts([t or "" for t in part.column("_argloom_text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(ids, pa.binary())], names=[*kept, out_col])
 
     return given.mapInArrow(run, given.drop("_argloom_text").withColumn(out_col, F.lit(None).cast("binary")).schema)
 
@@ -244,8 +250,9 @@ def decode(df: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids", ou
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(rank_file, pattern)
         for batch in batches:
-            texts = [own.decode(ids or b"") for ids in batch.column("_argloom_ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(kept))), pa.array(texts, pa.binary())], names=[*kept, out_col])
+            for part in _parts(batch, "_argloom_ids"):
+                texts = [own.decode(ids or b"") for ids in part.column("_argloom_ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(texts, pa.binary())], names=[*kept, out_col])
 
     return given.mapInArrow(run, given.drop("_argloom_ids").withColumn(out_col, F.lit(None).cast("binary")).schema)
 
