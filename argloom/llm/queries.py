@@ -12,6 +12,7 @@ from argloom.llm._spark import table
 from argloom.llm.bpe import token_digests
 from argloom.llm.chat_format import conversation_digests, expand
 from argloom.llm.cuckoo_dedup import exact_groups
+from argloom.llm.jaccard_join import jaccard_classes
 from argloom.llm.pfair_mixing import mix_order
 from argloom.llm.quality_rules import quality_report
 from argloom.llm.secret_scan import scan
@@ -20,6 +21,28 @@ from argloom.llm.virtual_slots import shard_by_bytes
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+OP1_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws
+  FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 3), ' ') AS sh
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, least(len(ws), 1)) + 1)) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b, o = x.n AND o = y.n AS same FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles,
+       least(d.doc_id, coalesce((SELECT min(b) FROM l WHERE l.a = d.doc_id AND same), d.doc_id)) AS class_id,
+       (SELECT min(b) FROM r WHERE r.a = d.doc_id) AS component_id,
+       (SELECT count(*) FROM l WHERE l.a = d.doc_id) AS n_links
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id
+"""
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
@@ -107,6 +130,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_secret_scan": op2_secret_scan,
     "op3_pfair_mixing": op3_pfair_mixing,
     "op5_quality_rules": op5_quality_rules,
@@ -117,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_jaccard_join": OP1_SQL,
     "op5_quality_rules": OP5_SQL,
     "op7_chat_format": OP7_SQL,
     "op8_exact_dedup": OP8_SQL,
