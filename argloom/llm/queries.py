@@ -15,6 +15,7 @@ from argloom.llm.cuckoo_dedup import exact_groups
 from argloom.llm.jaccard_join import jaccard_classes
 from argloom.llm.pfair_mixing import mix_order
 from argloom.llm.quality_rules import quality_report
+from argloom.llm.rlz_dedup import parse_against_earlier
 from argloom.llm.secret_scan import scan
 from argloom.llm.virtual_slots import shard_by_bytes
 
@@ -51,6 +52,23 @@ def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_order(table(spark, sf_dir, "documents"))
 
 
+def op4_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = parse_against_earlier(table(spark, sf_dir, "documents"))
+    return parsed.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+OP4_SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+x AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 19), ' ') AS seq FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY seq ORDER BY doc_id, i) AS k FROM x) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM again),
+word AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
@@ -133,6 +151,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_secret_scan": op2_secret_scan,
     "op3_pfair_mixing": op3_pfair_mixing,
+    "op4_rlz_dedup": op4_rlz_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_virtual_slots": op6_virtual_slots,
     "op7_chat_format": op7_chat_format,
@@ -142,6 +161,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_jaccard_join": OP1_SQL,
+    "op4_rlz_dedup": OP4_SQL,
     "op5_quality_rules": OP5_SQL,
     "op7_chat_format": OP7_SQL,
     "op8_exact_dedup": OP8_SQL,
