@@ -12,6 +12,7 @@ from argloom.llm._spark import table
 from argloom.llm.bpe import token_digests
 from argloom.llm.chat_format import conversation_digests, expand
 from argloom.llm.cuckoo_dedup import exact_groups
+from argloom.llm.gru_lm import score
 from argloom.llm.jaccard_join import jaccard_classes
 from argloom.llm.pfair_mixing import mix_order
 from argloom.llm.quality_rules import quality_report
@@ -143,6 +144,10 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
 
+def op9_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), RANK_FILE, public_tokenizers.PATTERN)
 
@@ -156,6 +161,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_virtual_slots": op6_virtual_slots,
     "op7_chat_format": op7_chat_format,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_gru_lm": op9_gru_lm,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
