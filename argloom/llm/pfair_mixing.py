@@ -74,17 +74,23 @@ def mix_order(docs: DataFrame, shares: DataFrame | None = None, id_col: str = "d
     counts = by_bucket.groupBy("source_key").agg(F.sum("n").alias("n_rows"))
     target = default_shares(counts) if shares is None else counts.join(shares.select(_key("source").alias("source_key"), F.greatest(F.lit(1), "shares").cast("bigint").alias("shares")), "source_key", "left").select("source_key", F.coalesce("shares", F.lit(1).cast("bigint")).alias("shares"))
     rounds = F.ceil(F.ceil(F.col("n_rows") / block_rows) / F.col("shares")).cast("bigint")
-    sources = cut(counts.join(target, "source_key").withColumn("rounds", rounds).drop("n_rows"))
-
-    ends = sources.select(F.col("rounds").alias("until")).distinct()
-    patterns = ends.join(sources, F.col("rounds") >= F.col("until")).groupBy("until").agg(F.sort_array(F.collect_list(F.struct("source_key", "shares"))).alias("s"))
-    laid = patterns.select("until", "s", F.posexplode(_one_round(F.col("s.shares"))).alias("slot", "i")).select("until", F.col("s")[F.col("i")]["source_key"].alias("source_key"), "slot")
+    sources = counts.join(target, "source_key").withColumn("rounds", rounds).drop("n_rows")
+
+    # The sources are one short array: what depends on which of them remain is worked out within its row.
+    one = sources.agg(F.sort_array(F.collect_list(F.struct("rounds", "source_key", "shares"))).alias("s"))
+    one = one.withColumn("ends", F.array_distinct("s.rounds"))
+    remain = lambda until: F.filter("s", lambda x: x["rounds"] >= until)
+    span = lambda until, i: F.struct(
+        F.when(i > 0, F.col("ends")[F.greatest(i - 1, F.lit(0))]).otherwise(F.lit(0).cast("bigint")).alias("from"),
+        until.alias("until"),
+        F.aggregate(remain(until), F.lit(0).cast("bigint"), lambda total, x: total + x["shares"]).alias("total"),
+    )
+    one = cut(one.withColumn("spans", F.transform("ends", span)))
+    spans = one.select(F.explode("s").alias("x"), "spans").select("x.source_key", "x.shares", "spans")
+    patterns = one.select(F.explode("ends").alias("until"), "s").select("until", F.sort_array(F.transform(remain(F.col("until")), lambda x: F.struct(x["source_key"].alias("source_key"), x["shares"].alias("shares")))).alias("s"))
+    laid = patterns.repartition("until").select("until", "s", F.posexplode(_one_round(F.col("s.shares"))).alias("slot", "i")).select("until", F.col("s")[F.col("i")]["source_key"].alias("source_key"), "slot")
     laid = cut(laid.withColumn("k", F.row_number().over(Window.partitionBy("until", "source_key").orderBy("slot")) - 1))
 
-    totals = ends.join(sources, F.col("rounds") >= F.col("until")).groupBy("until").agg(F.sum("shares").alias("total"))
-    spans = ends.withColumn("from", F.coalesce(F.lag("until").over(Window.partitionBy(F.lit(0)).orderBy("until")), F.lit(0).cast("bigint"))).join(totals, "until")
-    spans = sources.join(spans, F.col("until") <= F.col("rounds")).groupBy("source_key", "shares").agg(F.collect_list(F.struct("from", "until", "total")).alias("spans"))
-
     within = F.row_number().over(Window.partitionBy("source_key", "_bucket").orderBy("_h", "doc_id")) - 1
     numbered = rows.withColumn("_within", within).join(broadcast_if_small(offsets), ["source_key", "_bucket"]).join(broadcast_if_small(spans), "source_key")
     block = F.floor((F.col("_before") + F.col("_within")) / block_rows)
