@@ -151,7 +151,7 @@ def rejection_bin(tokens: DataFrame, fdr: float = FDR) -> DataFrame:
     """One row: ``mean_chars`` and ``from_bin``, the least bin at which tokens are rejected (above all bins if none is)."""
     mean = tokens.agg(F.avg("chars").alias("mean_chars"))
     # The mean is needed before tokens are binned: first count by length and exact bin of the unweighted p-value.
-    counts = tokens.withColumn("b", F.floor(-F.col("log_p") * _STEP).cast("int")).withColumn("b", F.least(F.lit(2 * _DEEPEST), F.col("b"))).groupBy("b", "chars").agg(F.count("*").alias("n"))
+    counts = tokens.withColumn("b", F.least(F.lit(2 * _DEEPEST), F.floor(-F.col("log_p") * _STEP)).cast("int")).groupBy("b", "chars").agg(F.count("*").alias("n"))
     weighted = counts.join(F.broadcast(mean), F.lit(True)).withColumn("bin", _weighted_bin(-F.col("b") / _STEP, F.col("chars"), F.col("mean_chars")))
     bins = weighted.groupBy("bin").agg(F.sum("n").alias("n"))
     total = bins.agg(F.sum("n").alias("m"))
