@@ -16,7 +16,7 @@ a factor, the greedy copy from that reference; where the reference changes, at f
 stands on its own look-up, so a window across a border is found if it occurs anywhere.  The
 words of all factors are the duplicate spans.
 
-Look-ups are dealt by hash.  A task first settles what repeats within itself and sends each distinct
+Look-ups are dealt by hash, and what they find goes back in packed form to the block of documents that asked.  A task first settles what repeats within itself and sends each distinct
 hash once, so a passage in a third of all rows arrives once per task.
 
 Defined results: a null or empty text has no words and keeps none; a document
@@ -41,7 +41,10 @@ WINDOW = 20
 _FLUSH = 2 << 20
 _BUCKET = 1 << 20
 _DEALT = "bucket int, local boolean, docs binary, rows binary, count binary, pos binary, far binary, hash binary"
-_FOUND = "row bigint, pos binary, far binary"
+_DEALT_SCHEMA = pa.schema([("bucket", pa.int32()), ("local", pa.bool_()), *((c, pa.binary()) for c in ("docs", "rows", "count", "pos", "far", "hash"))])
+_FOUND = "block int, rows binary, count binary, pos binary, far binary"
+#: Characters of text in a block on average.
+_BLOCK_CHARS = 8 << 20
 
 
 def _small(x: np.ndarray) -> bytes:
@@ -116,8 +119,7 @@ class _Dealer:
                     counts = np.diff(np.append(at, len(mine)))
                     out.append((b, local, doc[rows].tobytes(), row[rows].tobytes(), counts.tobytes(), _small(pos[mine]), far[mine].tobytes() if local else b"", b"" if local else h[mine].tobytes()))
         for i in range(0, len(out), 32):
-            kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 6]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[i : i + 32], strict=True), kinds, strict=True)], names=["bucket", "local", "docs", "rows", "count", "pos", "far", "hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[i : i + 32], strict=True), _DEALT_SCHEMA, strict=True)], schema=_DEALT_SCHEMA)
 
 
 def _distance(row: np.ndarray, at: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -125,22 +127,13 @@ def _distance(row: np.ndarray, at: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return (((row ^ (at - pos)).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 
 
-def _settle(table: pa.Table, flag_first: bool) -> pa.Table:
-    """Within one bucket: the rows and positions whose hash has an earlier occurrence (or, ``flag_first``, any other)."""
-    rows_out, pos_out, far_out = [], [], []
-
-    def emit(row: np.ndarray, count: np.ndarray, pos: np.ndarray, far: np.ndarray) -> None:
-        at = np.append(0, np.cumsum(count))
-        for i in range(len(row)):
-            rows_out.append(int(row[i]))
-            pos_out.append(_small(pos[at[i] : at[i + 1]]))
-            far_out.append(far[at[i] : at[i + 1]].tobytes())
-
-    parts = []
+def _settle(table: pa.Table, flag_first: bool, blocks: int) -> pa.Table:
+    """Within one bucket: the rows and positions whose hash has an earlier occurrence (or, ``flag_first``, any other), packed by block of rows."""
+    found, parts = [], []
     for local, docs, rows, count, pos, far, h in zip(*(table.column(c).to_pylist() for c in ("local", "docs", "rows", "count", "pos", "far", "hash")), strict=True):
         row, n, p = np.frombuffer(rows, np.int64), np.frombuffer(count, np.int64), _unsmall(pos)
         if local:
-            emit(row, n, p, np.frombuffer(far, np.uint32))
+            found.append((np.repeat(row, n), p, np.frombuffer(far, np.uint32)))
         else:
             parts.append((np.frombuffer(docs, np.int64), row, n, p, np.frombuffer(h, np.uint64)))
     if parts:
@@ -153,33 +146,47 @@ def _settle(table: pa.Table, flag_first: bool) -> pa.Table:
         head[1:] = h[order][1:] != h[order][:-1]
         sizes = np.diff(np.append(np.flatnonzero(head), len(h)))
         lead = np.repeat(order[head], sizes)
-        repeated = np.zeros(len(h), bool)
-        repeated[order] = (row[own[lead]] != row[own[order]]) | (pos[lead] != pos[order])
+        repeated = (row[own[lead]] != row[own[order]]) | (pos[lead] != pos[order])
         if flag_first:
-            repeated[order] = np.repeat(np.logical_or.reduceat(repeated[order], np.flatnonzero(head)), sizes)
-        far = np.zeros(len(h), np.uint32)
-        far[order] = _distance(row[own[lead]], pos[lead], pos[order])
-        mine = np.flatnonzero(repeated)
-        mine = mine[np.lexsort((pos[mine], own[mine]))]
-        which, at = np.unique(own[mine], return_index=True)
-        emit(row[which], np.diff(np.append(at, len(mine))), pos[mine], far[mine])
-    return pa.table({"row": pa.array(rows_out, pa.int64()), "pos": pa.array(pos_out, pa.binary()), "far": pa.array(far_out, pa.binary())})
-
-
-def _found(dealt: DataFrame, flag_first: bool) -> DataFrame:
-    """One row per document with something found: lists of packed positions and distances."""
-    found = dealt.groupBy("bucket").applyInArrow(lambda table: _settle(table, flag_first), _FOUND)
-    return found.groupBy("row").agg(F.collect_list(F.struct("pos", "far")).alias("found"))
-
-
-def _rows(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray, int, int]]:
-    """Per text with at least ``words`` words: its index, word hashes, doc and row."""
+            repeated = np.repeat(np.logical_or.reduceat(repeated, np.flatnonzero(head)), sizes)
+        mine, lead = order[repeated], lead[repeated]
+        found.append((row[own[mine]], pos[mine], _distance(row[own[lead]], pos[lead], pos[mine])))
+    row, pos, far = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
+    block = row % blocks
+    order = np.lexsort((pos, row, block))
+    row, pos, far, block = row[order], pos[order], far[order], block[order]
+    cuts = np.searchsorted(block, np.arange(blocks + 1))
+    out = []
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
+        mine = slice(cuts[b], cuts[b + 1])
+        rows, at = np.unique(row[mine], return_index=True)
+        out.append((b, rows.tobytes(), np.diff(np.append(at, cuts[b + 1] - cuts[b])).tobytes(), _small(pos[mine]), far[mine].tobytes()))
+    return pa.table({n: pa.array([r[i] for r in out], pa.binary() if i else pa.int32()) for i, n in enumerate(("block", "rows", "count", "pos", "far"))})
+
+
+class _Found:
+    """Of one block: the positions and distances found for each row."""
+
+    def __init__(self, table: pa.Table):
+        parts = [(np.repeat(np.frombuffer(r, np.int64), np.frombuffer(n, np.int64)), _unsmall(p), np.frombuffer(f, np.uint32)) for r, n, p, f in zip(*(table.column(c).to_pylist() for c in ("rows", "count", "pos", "far")), strict=True)]
+        row, pos, far = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
+        order = np.lexsort((pos, row))
+        self.row, self.pos, self.far = row[order], pos[order], far[order]
+
+    def of(self, row: int) -> tuple[np.ndarray, np.ndarray]:
+        mine = slice(np.searchsorted(self.row, row), np.searchsorted(self.row, row, side="right"))
+        pos, one = np.unique(self.pos[mine], return_index=True)
+        return pos, self.far[mine][one]
+
+
+def _rows(batch: pa.RecordBatch | pa.Table, words: int) -> Iterator[tuple[np.ndarray, int, int]]:
+    """Per text with at least ``words`` words: word hashes, doc and row."""
     docs, rows = batch.column("doc").to_pylist(), batch.column("row").to_pylist()
     for chunk in chunks(batch.column("text")):
         hashes = chunk.word_hashes()
         for i in np.flatnonzero(np.diff(chunk.first) >= words).tolist():
             r = chunk.rows.start + i
-            yield r, hashes[chunk.first[i] : chunk.first[i + 1]], docs[r], rows[r]
+            yield hashes[chunk.first[i] : chunk.first[i + 1]], docs[r], rows[r]
 
 
 def _deal_anchors(words: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -188,7 +195,7 @@ def _deal_anchors(words: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealer = _Dealer(bits, True)
         for batch in batches:
-            for _, w, doc, row in _rows(batch, words):
+            for w, doc, row in _rows(batch, words):
                 g = window_hashes(w, gram)
                 at = np.unique(_selected(g, words - gram + 1))
                 if dealer.add(doc, row, at, g[at]):
@@ -198,22 +205,21 @@ def _deal_anchors(words: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
-def _deal_windows(words: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _deal_windows(words: int, bits: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     gram = words // 2
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealer = _Dealer(bits, False)
-        for batch in batches:
-            found = batch.column("found").to_pylist()
-            for r, w, doc, row in _rows(batch, words):
+    def run(texts: pa.Table, anchors: pa.Table) -> pa.Table:
+        dealer, out, found = _Dealer(bits, False), [], _Found(anchors)
+        if len(found.row):
+            for w, doc, row in _rows(texts, words):
                 g = window_hashes(w, gram)
                 shared = np.zeros(len(g), bool)
-                for part in found[r]:
-                    shared[_unsmall(part["pos"])] = True
+                shared[found.of(row)[0]] = True
                 at = np.flatnonzero(shared[_selected(g, words - gram + 1)])
                 if dealer.add(doc, row, at, window_hashes(w, words)[at]):
-                    yield from dealer.flush()
-        yield from dealer.flush()
+                    out += dealer.flush()
+        out += dealer.flush()
+        return pa.Table.from_batches(out, _DEALT_SCHEMA)
 
     return run
 
@@ -221,48 +227,44 @@ def _deal_windows(words: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]],
 _PARSED = "doc_id bigint, n_words bigint, n_removed bigint, n_factors bigint, spans array<struct<start:bigint,end:bigint>>, kept_text string"
 
 
-def _parse(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _parse(words: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, ids = batch.column("found").to_pylist(), batch.column("doc_id")
-            for chunk in chunks(batch.column("text")):
-                first = chunk.first
-                gone = np.zeros(len(chunk.starts), bool)
-                factors, spans = np.zeros(len(chunk), np.int64), []
-                for i in range(len(chunk)):
-                    parts = found[chunk.rows.start + i]
-                    own = []
-                    if parts:
-                        pos = np.concatenate([_unsmall(p["pos"]) for p in parts])
-                        far = np.concatenate([np.frombuffer(p["far"], np.uint32) for p in parts])
-                        pos, one = np.unique(pos, return_index=True)
-                        far = far[one]
-                        factors[i] = 1 + np.count_nonzero((np.diff(pos) > 1) | (far[1:] != far[:-1]))
-                        step = np.zeros(first[i + 1] - first[i] + 1, np.int64)
-                        np.add.at(step, pos, 1)
-                        np.add.at(step, pos + words, -1)
-                        covered = np.cumsum(step)[:-1] > 0
-                        gone[first[i] : first[i + 1]] = covered
-                        edge = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))
-                        own = [{"start": s, "end": e} for s, e in edge.reshape(-1, 2).tolist()]
-                    spans.append(own)
-                n = np.diff(first)
-                removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[first])
-                kept = np.flatnonzero(~gone)
-                lens = chunk.ends[kept] - chunk.starts[kept]
-                # Each kept word takes its bytes and a space; the last space of a text is cut off.
-                begin = np.cumsum(lens + 1) - (lens + 1)
-                joined = np.full(int((lens + 1).sum()), 0x20, np.uint8)
-                joined[ranges(begin, lens)] = chunk.data[ranges(chunk.starts[kept], lens)]
-                text_at = np.append(begin, len(joined))[np.concatenate([[0], np.cumsum(n - removed)])]
-                raw = joined.tobytes()
-                texts = [raw[a : max(a, b - 1)] for a, b in zip(text_at[:-1].tolist(), text_at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [ids[chunk.rows], pa.array(n), pa.array(removed), pa.array(factors), pa.array(spans, span_type), pa.array(texts, pa.binary()).cast(pa.string())],
-                    names=["doc_id", "n_words", "n_removed", "n_factors", "spans", "kept_text"],
-                )
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("n_factors", pa.int64()), ("spans", span_type), ("kept_text", pa.string())])
+
+    def run(texts: pa.Table, windows: pa.Table) -> pa.Table:
+        found, out = _Found(windows), []
+        ids, rows = texts.column("doc_id").to_pylist(), texts.column("row").to_pylist()
+        for chunk in chunks(texts.column("text")):
+            first = chunk.first
+            gone = np.zeros(len(chunk.starts), bool)
+            factors, spans = np.zeros(len(chunk), np.int64), []
+            for i in range(len(chunk)):
+                pos, far = found.of(rows[chunk.rows.start + i])
+                own = []
+                if len(pos):
+                    factors[i] = 1 + np.count_nonzero((np.diff(pos) > 1) | (far[1:] != far[:-1]))
+                    step = np.zeros(first[i + 1] - first[i] + 1, np.int64)
+                    step[pos] += 1
+                    step[pos + words] -= 1
+                    covered = np.cumsum(step)[:-1] > 0
+                    gone[first[i] : first[i + 1]] = covered
+                    edge = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))
+                    own = [{"start": s, "end": e} for s, e in edge.reshape(-1, 2).tolist()]
+                spans.append(own)
+            n = np.diff(first)
+            removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[first])
+            kept = np.flatnonzero(~gone)
+            lens = chunk.ends[kept] - chunk.starts[kept]
+            # Each kept word takes its bytes and a space; the last space of a text is cut off.
+            begin = np.cumsum(lens + 1) - (lens + 1)
+            joined = np.full(int((lens + 1).sum()), 0x20, np.uint8)
+            joined[ranges(begin, lens)] = chunk.data[ranges(chunk.starts[kept], lens)]
+            text_at = np.append(begin, len(joined))[np.concatenate([[0], np.cumsum(n - removed)])]
+            raw = joined.tobytes()
+            kept_texts = [raw[a : max(a, b - 1)] for a, b in zip(text_at[:-1].tolist(), text_at[1:].tolist(), strict=True)]
+            arrays = [pa.array(ids[chunk.rows], pa.int64()), pa.array(n), pa.array(removed), pa.array(factors), pa.array(spans, span_type), pa.array(kept_texts, pa.binary()).cast(pa.string())]
+            out.append(pa.RecordBatch.from_arrays(arrays, schema=schema))
+        return pa.Table.from_batches(out, schema)
 
     return run
 
@@ -273,9 +275,10 @@ def parse_against_earlier(docs: DataFrame, words: int = WINDOW, id_col: str = "d
     doc_id = F.col(id_col).cast("bigint")
     given = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(doc_id, text).alias("row"), text.alias("text"))
     chars = given.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-chars // _BLOCK_CHARS))
     bits = lambda n: max(1, int(np.ceil(np.log2(max(2, n / _BUCKET)))))
-    anchors = _found(given.select("doc", "row", "text").mapInArrow(_deal_anchors(words, bits(chars / 36)), _DEALT), True)
-    hinted = given.join(anchors.hint("shuffle_hash"), "row").select("doc", "row", "text", "found")
-    windows = _found(hinted.mapInArrow(_deal_windows(words, bits(chars / 18)), _DEALT), False)
-    full = given.join(windows.hint("shuffle_hash"), "row", "left").select("doc_id", "text", "found")
-    return full.mapInArrow(_parse(words), _PARSED)
+    settled = lambda dealt, flag_first: dealt.groupBy("bucket").applyInArrow(lambda table: _settle(table, flag_first, blocks), _FOUND).groupBy("block")
+    anchors = settled(given.select("doc", "row", "text").mapInArrow(_deal_anchors(words, bits(chars / 36)), _DEALT), True)
+    by_block = given.withColumn("block", F.pmod("row", F.lit(blocks)).cast("int")).groupBy("block")
+    windows = settled(by_block.cogroup(anchors).applyInArrow(_deal_windows(words, bits(chars / 18)), _DEALT), False)
+    return by_block.cogroup(windows).applyInArrow(_parse(words), _PARSED)
