@@ -45,11 +45,13 @@ _ALL = np.uint64((1 << 64) - 1)
 #: Tokens that one task of step 2 holds at a time, and that a bucket has on average.
 _FLUSH = 3 << 20
 _BUCKET = 2 << 20
+#: Sets whose shared members are summed in one group, on average.
+_PART = 50_000
 #: Members whose frequency is broadcast at most: 12 bytes each.
 HEAVY = 1 << 18
 _HEAVY_FROM = 16
 #: Set members that a block has on average.
-_BLOCK = 400_000
+_BLOCK = 700_000
 #: Ids of sets that are broadcast at most: 8 bytes each.
 _FEW_IDS = 1_000_000
 _SKIP = 64
@@ -123,7 +125,7 @@ def _classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, n bigint, d1 bigint, d2 bigint, emitted bigint, probed bigint")
 
 
-def _shared_members(docs: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
+def _shared_members(docs: DataFrame, k: int, percent: int, bits: int, parts: int) -> DataFrame:
     """For sets with such members: ``d1, d2, shared``, how many probed members are in another set too."""
     down = np.uint64(64 - bits)
 
@@ -183,11 +185,22 @@ def _shared_members(docs: DataFrame, k: int, percent: int, bits: int) -> DataFra
         total = np.bincount(own, weights=shared & probed, minlength=len(d1)).astype(np.int64)
         _, one = np.unique(d1, return_index=True)
         one = one[total[one] > 0]
-        return pa.table({"d1": d1[one], "d2": d2[one], "shared": total[one]})
+        one = one[np.argsort(d1[one] % parts, kind="stable")]
+        cuts = np.searchsorted(d1[one] % parts, np.arange(parts + 1))
+        some = np.flatnonzero(np.diff(cuts))
+        packed = lambda x: pa.array([x[one[cuts[p] : cuts[p + 1]]].tobytes() for p in some], pa.binary())
+        return pa.table({"part": pa.array(some, pa.int32()), "d1": packed(d1), "d2": packed(d2), "shared": packed(total)})
+
+    def sum_shared(table: pa.Table) -> pa.Table:
+        d1, d2, shared = (np.concatenate([np.frombuffer(x, np.int64) for x in table.column(c).to_pylist()]) for c in ("d1", "d2", "shared"))
+        order = np.lexsort((d2, d1))
+        d1, d2 = d1[order], d2[order]
+        first = np.flatnonzero(np.concatenate([[True], (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])]))
+        return pa.table({"d1": d1[first], "d2": d2[first], "shared": np.add.reduceat(shared[order], first)})
 
     dealt = docs.mapInArrow(deal, "bucket int, d1 binary, d2 binary, n binary, count binary, low binary")
-    parts = dealt.groupBy("bucket").applyInArrow(count_shared, "d1 bigint, d2 bigint, shared bigint")
-    return parts.groupBy("d1", "d2").agg(F.sum("shared").alias("shared"))
+    counted = dealt.groupBy("bucket").applyInArrow(count_shared, "part int, d1 binary, d2 binary, shared binary")
+    return counted.groupBy("part").applyInArrow(sum_shared, "d1 bigint, d2 bigint, shared bigint")
 
 
 def _members(docs: DataFrame, k: int) -> DataFrame:
@@ -375,9 +388,9 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     classes = rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("cls"), F.first("n").alias("n"), F.first("probed").alias("probed"), F.count("*").alias("copies"))
     classes = cut(classes.filter("cls IS NOT NULL"))
 
-    emitted = rows.agg(F.sum("emitted")).first()[0] or 0
+    n_rows, emitted = rows.agg(F.count("*"), F.coalesce(F.sum("emitted"), F.lit(0))).first()
     bits = max(1, int(np.ceil(np.log2(max(2, emitted / _BUCKET)))))
-    shared = _shared_members(given, k, percent, bits)
+    shared = _shared_members(given, k, percent, bits, 1 + n_rows // _PART)
     lacks = F.col("n") - F.ceil(F.col("n") * percent / 100)
     left = cut(classes.join(shared, ["d1", "d2"], "left").filter(F.coalesce("shared", F.lit(0)) >= F.col("probed") - lacks).select("cls", "n", "copies"))
 
