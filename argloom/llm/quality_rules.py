@@ -90,10 +90,12 @@ def text_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             ),
         )
 
-    found = docs.withColumn("_argloom_q", let(_text(text_col), counts))
-    q = F.col("_argloom_q")
-    failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEATED * q["n_words"])
-    return found.withColumn("_argloom_q", q.withField("base_failed", failed))
+    def judged(q: Column) -> Column:
+        failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEATED * q["n_words"])
+        return q.withField("base_failed", failed)
+
+    # Bound once, the counts are not worked out again for each place where a filter names them.
+    return docs.withColumn("_argloom_q", let(let(_text(text_col), counts), judged))
 
 
 def host_verdicts(rows: DataFrame, max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
