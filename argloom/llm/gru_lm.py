@@ -8,8 +8,8 @@ unigram distribution among such words, so probabilities sum to one over all word
 
 Training is distributed: in every round each task trains a copy of the model by
 truncated back-propagation through time on whole training documents (another ``1 / SHARE`` of
-them each round, chosen by a hash of the id, so what is learned from grows with the corpus), and the
-copies are averaged with Spark, weighted by tokens.  Counts cover all training documents.
+them each round, chosen by a hash of the id), and the copies are averaged with Spark, weighted by
+tokens.  The ``ROUNDS`` rounds deal out all training documents: each is learned from once.
 
 Scoring deals documents into blocks.  A block asks for the counts of its distinct words
 by word hash, so neither the vocabulary nor its counts are ever broadcast; only the
@@ -44,9 +44,9 @@ CLASSES = 64
 UNITS = 20
 WINDOW = 32
 LANES = 1024
-ROUNDS = 2
-#: A round trains on one in so many training documents.
-SHARE = 16
+ROUNDS = 4
+#: A round trains on one in so many training documents: as many as there are rounds, so that each document is learned from once.
+SHARE = ROUNDS
 TRAIN_LANES, TRAIN_WINDOW = 64, 16
 _RATE = 0.08
 _ROWS = 2048

@@ -346,6 +346,23 @@ def test_gru_lm(docs, rows, empty):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_gru_learns_from_every_document(spark):
+    from argloom.llm import gru_lm
+
+    start = gru_lm.new_model([(int(gru_lm.END), 4), (11, 3), (12, 2)], 40)
+    docs = [(i, "some words of one document") for i in range(60) if zlib.crc32(str(i).encode()) % 7 != 2][:8]
+    for row in docs:
+        learned = gru_lm.train(spark.createDataFrame([row], "doc_id bigint, text string"), start)
+        assert not np.array_equal(learned.flat(), start.flat()), row
+
+
+def test_gru_defaults_beat_the_base_on_held_out_documents(spark):
+    from argloom.llm import gru_lm
+
+    got = gru_lm.score(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).filter("held_out").collect()
+    assert got and sum(r.score for r in got) > sum(r.base_score for r in got)
+
+
 def test_gru_probabilities_and_lanes():
     from argloom.llm import gru_lm
 
