@@ -89,7 +89,8 @@ def _(spark, d):
     s, k = (t.filter(c).select("source", "target") for c in ("(source + target) % 3 <> 0", "(source + target) % 3 = 0"))
     step = lambda left: left.select("source", F.col("target").alias("via")).join(s.select(F.col("source").alias("via"), "target"), "via").select("source", "target").distinct()
     two = step(s)
-    return k.join(two.unionByName(step(two)).distinct(), ["source", "target"], "left_semi")
+    three = step(two)
+    return k.join(two.unionByName(three).unionByName(step(three)).distinct(), ["source", "target"], "left_semi")
 
 
 @query("joi21_config_diff", "WITH a AS (SELECT c_mktsegment || '.' || c_nationkey AS k, count(*)::VARCHAR AS v FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1), b AS (SELECT c_mktsegment || '.' || c_nationkey AS k, count(*)::VARCHAR AS v FROM customer WHERE c_custkey % 2 = 1 GROUP BY 1) SELECT coalesce(a.k, b.k) AS key, coalesce(a.v, '-') AS before, coalesce(b.v, '-') AS after FROM a FULL JOIN b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v")
