@@ -26,3 +26,9 @@ def test_transitive_disjointness_has_paths_of_four_hops(spark, con):
         want |= ends & {e for e in t if sum(e) % 3 == 0}
     assert (20, 4) in want
     assert sorted(map(tuple, QUERIES["joi17_transitive_disjointness"](spark, SF).collect())) == sorted(want)
+
+
+def test_shared_chunk_pairs_reads_all_line_items(spark, con):
+    pairs = "WITH m AS (SELECT DISTINCT o_custkey AS a, l_partkey AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT x.a, y.a, count(*) FROM m x JOIN m y ON x.p = y.p AND x.a < y.a GROUP BY 1, 2"
+    got = QUERIES["joi09_shared_chunk_pairs"](spark, SF).select("a", "b", "n_shared").collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(pairs).fetchall())
