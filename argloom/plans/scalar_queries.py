@@ -254,5 +254,5 @@ def _(spark, d):
 
 @query("src03_latex_cleanup", "SELECT doc_id, length(trim(regexp_replace('x ' || lang || ' y ' || left(text, 300), '[ \\t]+', ' ', 'g'), ' ')) AS chars FROM documents")
 def _(spark, d):
-    raw = F.concat(F.lit("\\emph{x} \\textbf{"), "lang", F.lit("} \\noindent y "), F.substring("text", 1, 300))
+    raw = F.concat(F.lit("\\emph{x} \\textbf{"), "lang", F.lit("} \\noindent y "), "text")
     return table(spark, d, "documents").select("doc_id", F.length(T.latex(raw)).cast("bigint").alias("chars"))

@@ -32,3 +32,9 @@ def test_shared_chunk_pairs_reads_all_line_items(spark, con):
     pairs = "WITH m AS (SELECT DISTINCT o_custkey AS a, l_partkey AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT x.a, y.a, count(*) FROM m x JOIN m y ON x.p = y.p AND x.a < y.a GROUP BY 1, 2"
     got = QUERIES["joi09_shared_chunk_pairs"](spark, SF).select("a", "b", "n_shared").collect()
     assert sorted(map(tuple, got)) == sorted(con.sql(pairs).fetchall())
+
+
+def test_latex_cleanup_reads_whole_texts(spark, con):
+    lengths = "SELECT doc_id, length(trim(regexp_replace(regexp_replace(regexp_replace('x ' || lang || ' y ' || text, '\\\\[a-zA-Z]+\\*?\\{([^}]*)\\}', '\\1', 'g'), '\\\\[a-zA-Z]+\\*?', '', 'g'), '[ \\t]+', ' ', 'g'), ' ')) FROM documents"
+    got = QUERIES["src03_latex_cleanup"](spark, SF).select("doc_id", "chars").collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(lengths).fetchall())
