@@ -130,7 +130,7 @@ def _(spark, d):
 def _(spark, d):
     e = edges(spark, d)
     mean = lambda end, name: e.groupBy(end, "relation").agg(F.avg("weight").alias(name))
-    joined = e.filter("l_linenumber = 1").select("source", "target").distinct().join(mean("source", "p"), "source").join(mean("target", "q"), ["target", "relation"])
+    joined = e.select("source", "target").distinct().join(mean("source", "p"), "source").join(mean("target", "q"), ["target", "relation"])
     return joined.groupBy("source", "target").agg(F.round(F.max(F.abs(F.col("p") - F.col("q"))), 4).alias("tension"))
 
 

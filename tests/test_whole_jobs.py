@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from argloom.plans.bindings import TRADE_SQL
+from argloom.plans.bindings import EDGES_SQL, TRADE_SQL
 from argloom.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -38,3 +38,11 @@ def test_latex_cleanup_reads_whole_texts(spark, con):
     lengths = "SELECT doc_id, length(trim(regexp_replace(regexp_replace(regexp_replace('x ' || lang || ' y ' || text, '\\\\[a-zA-Z]+\\*?\\{([^}]*)\\}', '\\1', 'g'), '\\\\[a-zA-Z]+\\*?', '', 'g'), '[ \\t]+', ' ', 'g'), ' ')) FROM documents"
     got = QUERIES["src03_latex_cleanup"](spark, SF).select("doc_id", "chars").collect()
     assert sorted(map(tuple, got)) == sorted(con.sql(lengths).fetchall())
+
+
+def test_edge_tenability_judges_all_edges(spark, con):
+    means = "p AS (SELECT source, relation, avg(weight) AS w FROM e GROUP BY 1, 2), q AS (SELECT target, relation, avg(weight) AS w FROM e GROUP BY 1, 2), k AS (SELECT DISTINCT source, target FROM e)"
+    tension = f"WITH {EDGES_SQL}, {means} SELECT k.source, k.target, max(abs(p.w - q.w)) FROM k JOIN p ON p.source = k.source JOIN q ON q.target = k.target AND q.relation = p.relation GROUP BY 1, 2"
+    want = {(s, t): w for s, t, w in con.sql(tension).fetchall()}
+    got = {(r.source, r.target): float(r.tension) for r in QUERIES["agg22_edge_tenability"](spark, SF).collect()}
+    assert got == pytest.approx(want, abs=6e-5)
