@@ -31,12 +31,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from argloom.llm._spark import in_batches
 from argloom.llm._words import ranges
 
 LONG_PIECE = 512
 _NONE = np.int32(1 << 30)
 #: Distinct pieces that a worker remembers.
-_REMEMBERED = 150_000
+_REMEMBERED = 100_000
 #: Bytes of a column that are encoded or decoded at a time (one longer value goes alone).
 _BATCH_BYTES = 1 << 20
 
@@ -230,7 +231,7 @@ def _parts(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
 def encode(df: DataFrame, rank_file: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """``df`` with ``out_col``: the packed ids of the text."""
     kept = [c for c in df.columns if c != out_col]
-    given = df.select(*(F.col(f"`{c}`") for c in kept), F.col(text_col).cast("string").alias("_argloom_text"))
+    given = in_batches(df.select(*(F.col(f"`{c}`") for c in kept), F.col(text_col).cast("string").alias("_argloom_text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(rank_file, pattern)

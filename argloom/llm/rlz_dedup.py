@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from argloom.llm._spark import in_batches
 from argloom.llm._words import chunks, ranges, window_hashes
 
 WINDOW = 20
@@ -274,7 +275,7 @@ def parse_against_earlier(docs: DataFrame, words: int = WINDOW, id_col: str = "d
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     doc_id = F.col(id_col).cast("bigint")
     given = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(doc_id, text).alias("row"), text.alias("text"))
-    chars = given.agg(F.sum(F.length("text"))).first()[0] or 0
+    chars = in_batches(given).agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // _BLOCK_CHARS))
     bits = lambda n: max(1, int(np.ceil(np.log2(max(2, n / _BUCKET)))))
     settled = lambda dealt, flag_first: dealt.groupBy("bucket").applyInArrow(lambda table: _settle(table, flag_first, blocks), _FOUND).groupBy("block")
