@@ -1,27 +1,28 @@
 """Exact set-similarity join of documents on word n-grams, with set-relation skipping.
 
 Two documents link when ``100 * |A & B| >= percent * |A | B|`` for their sets of
-distinct n-grams.  The join runs in five steps.
+distinct n-grams.
 
 1. Every set gets a 128-bit digest; equal sets are one class, so copies never form pairs.
-2. A set can only have a link if at most ``n - ceil(percent * n / 100)`` of its members
-   are in no other set.  Members below a hash threshold are counted over all
-   documents, and the sets that fail this are done.  The same members are
-   looked at in every set, so the test is exact: it never drops a set with a link.
-3. The sets that are left order their members by rarity.  Sets that share a member
-   of their prefixes are in one group (connected components of that relation);
-   sets that link share one, so they are in one group.
-4. Groups are dealt into blocks by size class (neighbours within the ratio) and
-   hash; each pair of blocks of neighbouring classes is one task of bounded size.
-5. Within a task, inverted lists hold (position, set), sorted by position in
-   blocks; a probe skips the blocks of a list whose positions cannot reach
-   the required overlap any more.  Overlaps of a set with all others are kept; the next
-   set, if it is highly similar to the one before, derives its overlaps from
-   them by adding the lists of its new members and taking off those of the missing ones.
+   The same pass counts what is frequent within tasks; only the order of members follows
+   from these counts, and the join is exact under any order.
+2. Every set puts forward its prefix: its rarest members, half as many again as a linked set can lack.  Sets that
+   link have the other half of them in common.  The (member, size, set) rows are sorted over all tasks, and a
+   stream through each partition cuts them into runs: sets of one member whose sizes follow each other
+   within the ratio of a link.  Sets that are not alone in too few of their runs have no link.  A
+   member in a third of all sets is a long run of that stream, never a group in memory.
+3. A set's home is the least first set of its runs, so near copies have mostly one home.  Homes are dealt into blocks of bounded size, a large home into several.  A set is sent to its
+   own block, and to the pairs of its block with just those others that hold sets of enough of its runs.
+4. Within a pair of blocks, inverted lists hold (position, set), sorted by position; a probe skips
+   the blocks of a list whose positions cannot reach the required overlap any more, and
+   verifies its candidates alone.  If the set before was highly similar, no list of a common member is
+   read again: the overlaps that were worked out for that set, plus the lists of the new members,
+   less those of the missing ones, are the answer.
 
 Defined results: a null text or one without words has the empty set, which links with
 nothing; with fewer than n words the whole sequence is the one member; repeated rows and
-copies are one class and link with each other; a null id takes part with no id of
+copies are one class and link with each other; rows that repeat an id with another text are
+documents of their own, linked by their texts and not by the id; a null id takes part with no id of
 its own in the result; an empty table gives an empty result; other columns are not looked at.
 """
 
@@ -31,30 +32,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from argloom.llm._spark import broadcast_if_small, cut
+from argloom.llm._spark import broadcast_if_small, cut, in_batches
 from argloom.llm._words import Chunk, chunks, mix, ranges, window_hashes
 from argloom.llm.components import connected_components
 
-#: Sets up to this size are counted whole in step 2, larger ones by a third of the hash space.
-WHOLE = 75
-_THIRD = np.uint64((1 << 64) // 3)
-_ALL = np.uint64((1 << 64) - 1)
-#: Tokens that one task of step 2 holds at a time, and that a bucket has on average.
-_FLUSH = 3 << 20
-_BUCKET = 2 << 20
-#: Sets whose shared members are summed in one group, on average.
-_PART = 50_000
-#: Members whose frequency is broadcast at most: 12 bytes each.
+#: Members that a task counts at a time, and the count from which one is passed on.
+_FLUSH = 1 << 20
+_OFTEN = 4
+#: Members whose frequency is broadcast at most: 16 bytes each.
 HEAVY = 1 << 18
 _HEAVY_FROM = 16
 #: Set members that a block has on average.
-_BLOCK = 700_000
-#: Ids of sets that are broadcast at most: 8 bytes each.
+_BLOCK = 400_000
+#: Sets that are joined to their texts by broadcast at most: about 100 bytes each.
+_FEW_SETS = 200_000
 _FEW_IDS = 1_000_000
 _SKIP = 64
+#: Candidates up to which a set is verified against each, rather than counted against all.
+_EACH = 24
 
 
 def doc_sets(chunk: Chunk, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,165 +89,138 @@ def set_digests(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def _emitted(n: np.ndarray) -> np.ndarray:
-    """Hash threshold below which a set of ``n`` members puts them forward."""
-    return np.where(n <= WHOLE, _ALL, _THIRD)
-
-
-def _probed(n: np.ndarray, percent: int) -> np.ndarray:
-    """Threshold below which a set's members are put forward by every set that it can link with."""
-    return _emitted(-(-n * 100 // percent))
-
-
 def _misses(n: np.ndarray, percent: int) -> np.ndarray:
     """Members of a set that a linked set can lack at most."""
     return n - -(-n * percent // 100)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+def _common(n: np.ndarray, percent: int) -> np.ndarray:
+    """Members by which a set's prefix is longer than what a linked set can lack: so many are in the prefixes of both, or as many as the smaller set's."""
+    return _misses(n, percent) // 2 + 1
+
+
+def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """From rows whose last column is the text: parts of the batch with their sets."""
     for batch in batches:
-        ids = batch.column(0)
-        for chunk in chunks(batch.column(1), lower=True):
-            yield (ids[chunk.rows], *doc_sets(chunk, k))
+        for chunk in chunks(batch.column(batch.num_columns - 1), lower=True):
+            yield (batch.slice(chunk.rows.start, chunk.rows.stop - chunk.rows.start), *doc_sets(chunk, k))
 
 
-def _classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, h, at in _sets(batches, k):
-            n = np.diff(at)
-            d1, d2 = set_digests(h, at)
-            own = np.repeat(np.arange(len(n)), n)
-            counts = [np.bincount(own, weights=h <= np.repeat(t, n), minlength=len(n)).astype(np.int64) for t in (_emitted(n), _probed(n, percent))]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(d1), pa.array(d2), *map(pa.array, counts)], names=["doc_id", "n", "d1", "d2", "emitted", "probed"])
+def _fresh(d1: np.ndarray, d2: np.ndarray, n: np.ndarray, seen: set[tuple[int, int]]) -> np.ndarray:
+    """Sets with members that a task has not met since ``seen`` was cleared."""
+    return np.array([not (key in seen or seen.add(key)) for key in zip(d1.tolist(), d2.tolist(), strict=True)], bool) & (n > 0)
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, d1 bigint, d2 bigint, emitted bigint, probed bigint")
 
+def _digested(docs: DataFrame, k: int) -> DataFrame:
+    """``doc_id, n, d1, d2`` of each document; beside them ``member, n`` of what is frequent within a task."""
+    names = ["doc_id", "n", "d1", "d2", "member"]
 
-def _shared_members(docs: DataFrame, k: int, percent: int, bits: int, parts: int) -> DataFrame:
-    """For sets with such members: ``d1, d2, shared``, how many probed members are in another set too."""
-    down = np.uint64(64 - bits)
+    def often(held: list[np.ndarray]) -> pa.RecordBatch:
+        m, c = np.unique(np.concatenate(held), return_counts=True)
+        m, c = m[c >= _OFTEN].view(np.int64), c[c >= _OFTEN].astype(np.int64)
+        none = pa.nulls(len(m), pa.int64())
+        return pa.RecordBatch.from_arrays([none, pa.array(c), none, none, pa.array(m)], names=names)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         seen: set[tuple[int, int]] = set()
         size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            d1, d2, n, count, h = (np.concatenate(x) for x in zip(*held, strict=True))
-            own = np.repeat(np.arange(len(n)), count)
-            bucket = (h >> down).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
-            low = (h >> (down - np.uint64(32))).astype(np.uint32)
-            rows = []
-            for b in range(1 << bits):
-                mine = order[cuts[b] : cuts[b + 1]]
-                if len(mine):
-                    which, first = np.unique(own[mine], return_index=True)
-                    rows.append((b, d1[which].tobytes(), d2[which].tobytes(), n[which].tobytes(), np.diff(np.append(first, len(mine))).tobytes(), low[mine].tobytes()))
-            for i in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if j == 0 else pa.binary()) for j, c in enumerate(zip(*rows[i : i + 64], strict=True))], names=["bucket", "d1", "d2", "n", "count", "low"])
-            held.clear()
-            seen.clear()
-
-        for _, h, at in _sets(batches, k):
+        for rows, h, at in _sets(batches, k):
             n = np.diff(at)
             d1, d2 = set_digests(h, at)
-            fresh = np.array([not (key in seen or seen.add(key)) for key in zip(d1.tolist(), d2.tolist(), strict=True)], bool) & (n > 0)
-            put = (h <= np.repeat(_emitted(n), n)) & np.repeat(fresh, n)
-            count = np.bincount(np.repeat(np.arange(len(n)), n)[put], minlength=len(n))
-            held.append((d1[fresh], d2[fresh], n[fresh], count[fresh], h[put]))
-            size += int(put.sum())
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), pa.array(d1), pa.array(d2), pa.nulls(len(n), pa.int64())], names=names)
+            held.append(h[np.repeat(_fresh(d1, d2, n, seen), n)])
+            size += len(held[-1])
             if size >= _FLUSH:
-                yield from flush()
-                size = 0
-        yield from flush()
-
-    def count_shared(key: tuple, table: pa.Table) -> pa.Table:
-        bucket = key[0].as_py()
-        col = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
-        d1, d2, n, count, low = col("d1", np.int64), col("d2", np.int64), col("n", np.int64), col("count", np.int64), col("low", np.uint32)
-        own = np.repeat(np.arange(len(d1)), count)
-        order = np.argsort(low, kind="stable")
-        s = low[order]
-        starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        by = d1[own[order]]
-        many = np.minimum.reduceat(by, starts) != np.maximum.reduceat(by, starts)
-        shared = np.zeros(len(low), bool)
-        shared[order] = np.repeat(many, np.diff(np.append(starts, len(s))))
-        # The bits of a member that were kept settle on which side of a threshold it is, but for one value in 2^(32+bits), which counts.
-        member = (np.uint64(bucket) << np.uint64(32)) | low.astype(np.uint64)
-        probed = member <= (np.repeat(_probed(n, percent), count) >> (down - np.uint64(32)))
-        total = np.bincount(own, weights=shared & probed, minlength=len(d1)).astype(np.int64)
-        _, one = np.unique(d1, return_index=True)
-        one = one[total[one] > 0]
-        one = one[np.argsort(d1[one] % parts, kind="stable")]
-        cuts = np.searchsorted(d1[one] % parts, np.arange(parts + 1))
-        some = np.flatnonzero(np.diff(cuts))
-        packed = lambda x: pa.array([x[one[cuts[p] : cuts[p + 1]]].tobytes() for p in some], pa.binary())
-        return pa.table({"part": pa.array(some, pa.int32()), "d1": packed(d1), "d2": packed(d2), "shared": packed(total)})
-
-    def sum_shared(table: pa.Table) -> pa.Table:
-        d1, d2, shared = (np.concatenate([np.frombuffer(x, np.int64) for x in table.column(c).to_pylist()]) for c in ("d1", "d2", "shared"))
-        order = np.lexsort((d2, d1))
-        d1, d2 = d1[order], d2[order]
-        first = np.flatnonzero(np.concatenate([[True], (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])]))
-        return pa.table({"d1": d1[first], "d2": d2[first], "shared": np.add.reduceat(shared[order], first)})
-
-    dealt = docs.mapInArrow(deal, "bucket int, d1 binary, d2 binary, n binary, count binary, low binary")
-    counted = dealt.groupBy("bucket").applyInArrow(count_shared, "part int, d1 binary, d2 binary, shared binary")
-    return counted.groupBy("part").applyInArrow(sum_shared, "d1 bigint, d2 bigint, shared bigint")
-
-
-def _members(docs: DataFrame, k: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, h, at in _sets(batches, k):
-            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))], names=["cls", "members"])
+                yield often(held)
+                held, size = [], 0
+                seen.clear()
+        if held:
+            yield often(held)
 
-    return docs.mapInArrow(run, "cls bigint, members array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, d1 bigint, d2 bigint, member bigint")
 
 
-def _heavy_members(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _heavy_members(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent members, sorted, and their counts: at most ``HEAVY``, by a cut on the count."""
-    counts = cut(sets.select(F.explode("members").alias("m")).groupBy("m").agg(F.count("*").alias("c")).filter(F.col("c") >= _HEAVY_FROM))
-    levels = counts.groupBy(F.floor(F.log2("c") * 4).cast("int").alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect()
+    counts = cut(counted.groupBy("member").agg(F.sum("n").alias("c")).filter(F.col("c") >= _HEAVY_FROM).withColumn("level", F.floor(F.log2("c") * 4).cast("int")))
     total, least = 0, None
-    for row in levels:
+    for row in counts.groupBy("level").agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():
         total += row["n"]
         if total > HEAVY:
             break
         least = row["level"]
     if least is None:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    top = counts.filter(F.floor(F.log2("c") * 4).cast("int") >= least).toPandas().sort_values("m")
-    return top["m"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
+    top = counts.filter(F.col("level") >= least).select("member", "c").toPandas().sort_values("member")
+    return top["member"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
 
 
-def _ranked(members: np.ndarray, heavy: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The order of members by rarity: those that are not heavy by their hash, then heavy ones by count, then hash."""
-    c = np.zeros(len(members), np.int64)
+def _prefix(h: np.ndarray, at: np.ndarray, heavy: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest members of each set (those that are not heavy first, by hash), and the set of each."""
+    n = np.diff(at)
+    own = np.repeat(np.arange(len(n)), n)
+    c = np.zeros(len(h), np.int64)
     if len(heavy):
-        at = np.minimum(np.searchsorted(heavy, members), len(heavy) - 1)
-        c = np.where(heavy[at] == members, counts[at], 0)
-    return np.lexsort((members, c))
+        m = h.view(np.int64)
+        spot = np.minimum(np.searchsorted(heavy, m), len(heavy) - 1)
+        c = np.where(heavy[spot] == m, counts[spot], 0)
+    order = np.lexsort((c, own))  # stable, and members are in order of their hash
+    first = np.arange(len(h)) - at[own] < (_misses(n, percent) + _common(n, percent))[own]
+    return h[order[first]], own[first]
 
 
-def _prefixes(sets: DataFrame, percent: int, heavy) -> DataFrame:
+def _prefixes(docs: DataFrame, k: int, percent: int, heavy) -> DataFrame:
+    """``member, n, d1``: each set's prefix and size, once per task and flush."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_heavy, own_counts = heavy.value
-        for batch in batches:
-            cls, out, who = batch.column(0).to_pylist(), [], []
-            for c, m in zip(cls, batch.column(1), strict=True):
-                m = m.values.to_numpy()
-                p = int(_misses(np.int64(len(m)), percent)) + 1
-                out.append(m[_ranked(m, own_heavy, own_counts)[:p]])
-                who.append(np.full(p, c))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(who)), pa.array(np.concatenate(out))], names=["cls", "member"])
+        members, counts = heavy.value
+        seen: set[tuple[int, int]] = set()
+        for _, h, at in _sets(batches, k):
+            n = np.diff(at)
+            d1, d2 = set_digests(h, at)
+            m, own = _prefix(h, at, members, counts, percent)
+            fresh = _fresh(d1, d2, n, seen)[own]
+            own = own[fresh]
+            yield pa.RecordBatch.from_arrays([pa.array(m[fresh].view(np.int64)), pa.array(n[own], pa.int32()), pa.array(d1[own])], names=["member", "n", "d1"])
+            if len(seen) > 50_000:
+                seen.clear()
+
+    return docs.select("text").mapInArrow(run, "member bigint, n int, d1 bigint")
+
 
-    return sets.select("cls", "members").mapInArrow(run, "cls bigint, member bigint")
+def _runs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """From ``member, n, d1`` in order: ``d1, run, rep`` for the rows of runs with several sets.
+
+    A run is a member's sets whose sizes follow each other within the ratio of a link, so sets that link and share a
+    prefix member share a run.  ``rep`` is the run's first set.
+    """
+    rep, done, last = None, False, None  # the run that may go on: its first row, whether that was passed on, and its last row
+    for batch in batches:
+        m, n, d = (batch.column(c).to_numpy() for c in range(3))
+        one = np.ones(len(m), bool)
+        one[1:] = (m[1:] != m[:-1]) | (d[1:] != d[:-1])
+        if last is not None:
+            one[: int(np.argmin(np.append((m == last[0]) & (d == last[2]), False)))] = False
+        m, n, d = m[one], n[one].astype(np.int64), d[one]
+        if not len(m):
+            continue
+        before = last or (~m[0], 0, 0)
+        start = (m != np.append(before[0], m[:-1])) | (percent * n > 100 * np.append(before[1], n[:-1]))
+        last = m[-1], n[-1], d[-1]
+        if not start[0]:  # the run goes on: put its first row before the others
+            m, d, start = np.append(rep[0], m), np.append(rep[1], d), np.append(True, start)
+        else:
+            done = False
+        starts = np.flatnonzero(start)
+        size = np.diff(np.append(starts, len(m)))
+        many = np.repeat(size > 1, size)
+        if done:
+            many[0] = False
+        first = np.repeat(d[starts], size)[many]
+        yield pa.RecordBatch.from_arrays([pa.array(d[many]), pa.array(mix(mix(m[many].view(np.uint64)) + first.view(np.uint64)).view(np.int64)), pa.array(first)], names=["d1", "run", "rep"])
+        done = bool(size[-1] > 1 or (done and len(starts) == 1))
+        rep = m[starts[-1]], d[starts[-1]]
 
 
 class BlockJoin:
@@ -276,15 +247,18 @@ class BlockJoin:
         self.count = len(every)
         self.probes = range(len(left))
 
-    def _overlap(self, tokens: np.ndarray) -> np.ndarray:
+    def tokens(self, x: int) -> np.ndarray:
+        return self.token[self.at[x] : self.at[x + 1]]
+
+    def _counts(self, tokens: np.ndarray) -> np.ndarray:
         starts = self.list_at[tokens]
         return np.bincount(self.list_set[ranges(starts, self.list_at[tokens + 1] - starts)], minlength=self.count)
 
-    def _candidates(self, x: int, tokens: np.ndarray) -> np.ndarray:
+    def _candidates(self, x: int) -> np.ndarray:
         """Sets that share a prefix member with ``x`` at positions from which the required overlap can be reached."""
         n = int(self.n[x])
         least = -(-n * self.percent // 100)
-        prefix = tokens[: n - least + 1]
+        prefix = self.tokens(x)[: n - least + 1]
         starts, ends = self.list_at[prefix], self.list_at[prefix + 1]
         # A linked set has at most n * 100 / percent members, so its position is below that less the required overlap.
         furthest = n * 100 // self.percent - least
@@ -297,39 +271,51 @@ class BlockJoin:
         need = -(-self.percent * (n + self.n[y]) // (100 + self.percent))
         return np.unique(y[1 + np.minimum(n - i - 1, self.n[y] - j - 1) >= need])
 
+    def _linked(self, x: int, y: np.ndarray, overlap: np.ndarray) -> np.ndarray:
+        after = y > x if self.first_right == 0 else np.ones(len(y), bool)
+        return y[after & (100 * overlap >= self.percent * (self.n[x] + self.n[y] - overlap)) & (overlap > 0)]
+
     def links(self) -> Iterator[tuple[int, np.ndarray]]:
         """Per probing set its linked sets, as indices over left, then right."""
-        order = sorted(self.probes, key=lambda x: (int(self.n[x] > 0 and self.token[self.at[x + 1] - 1]), int(self.n[x])))
-        last, overlap = None, None
+        order = sorted((x for x in self.probes if self.n[x]), key=lambda x: (int(self.token[self.at[x + 1] - 1]), int(self.n[x])))
+        told, answer = None, None  # a set and its overlaps with all others
         for x in order:
-            tokens = self.token[self.at[x] : self.at[x + 1]]
-            found = self._candidates(x, tokens)
+            tokens = self.tokens(x)
+            if told is not None and 4 * abs(len(tokens) - len(told)) < len(tokens):
+                new, gone = np.setdiff1d(tokens, told, assume_unique=True), np.setdiff1d(told, tokens, assume_unique=True)
+                if 2 * (len(new) + len(gone)) < len(tokens):
+                    answer, told = answer + self._counts(new) - self._counts(gone), tokens
+                    y = np.flatnonzero(answer)
+                    yield x, self._linked(x, y, answer[y])
+                    continue
+            found = self._candidates(x)
             found = found[found > x] if self.first_right == 0 else found
-            if not len(found):
-                continue
-            new, gone = (np.setdiff1d(tokens, last, assume_unique=True), np.setdiff1d(last, tokens, assume_unique=True)) if last is not None else (tokens, tokens)
-            if last is not None and 2 * (len(new) + len(gone)) < len(tokens):
-                overlap = overlap + self._overlap(new) - self._overlap(gone)
-            else:
-                overlap = self._overlap(tokens)
-            last = tokens
-            o = overlap[found]
-            yield x, found[100 * o >= self.percent * (self.n[x] + self.n[found] - o)]
-
-
-def _join_blocks(key: tuple, table: pa.Table, percent: int) -> pa.Table:
+            if len(found) > _EACH:
+                answer, told = self._counts(tokens), tokens
+                yield x, self._linked(x, found, answer[found])
+            elif len(found):
+                overlap = np.array([np.isin(tokens, self.tokens(y), assume_unique=True).sum() for y in found.tolist()], np.int64)
+                yield x, self._linked(x, found, overlap)
+
+
+_FOUND = "a bigint, b bigint, links bigint"
+
+
+def _join_blocks(table: pa.Table, percent: int) -> pa.Table:
     """Rows ``a, b, links``: links of class ``a`` counted in documents, and links ``(a, b)`` that span what is connected here."""
-    from_left = np.array(table.column("side").to_pylist()) == 0
-    cls, copies = table.column("cls").to_numpy(), table.column("copies").to_numpy()
+    _, one = np.unique(np.stack([table.column("side").to_numpy(), table.column("node").to_numpy()]), axis=1, return_index=True)
+    table = table.take(np.sort(one))
+    side, node, copies = table.column("side").to_numpy(), table.column("node").to_numpy(), table.column("copies").to_numpy()
     sets = [m.values.to_numpy() for m in table.column("members").combine_chunks()]
-    order = np.concatenate([np.flatnonzero(from_left), np.flatnonzero(~from_left)])
-    left = [sets[i] for i in np.flatnonzero(from_left)]
-    right = [sets[i] for i in np.flatnonzero(~from_left)]
-    if not left or (key[3].as_py() and not right):
-        return pa.table({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "links": np.zeros(0, np.int64)})
-    cls, copies = cls[order], copies[order]
-    total = np.zeros(len(cls), np.int64)
-    root = list(range(len(cls)))
+    order = np.argsort(side, kind="stable")
+    within = table.column("within")[0].as_py()
+    left = [sets[i] for i in np.flatnonzero(side == 0)]
+    right = None if within else [sets[i] for i in np.flatnonzero(side == 1)]
+    if not left or (not within and not right):
+        return pa.table({c: np.zeros(0, np.int64) for c in ("a", "b", "links")})
+    node, copies = node[order], copies[order]
+    total = np.zeros(len(node), np.int64)
+    root = list(range(len(node)))
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -338,7 +324,7 @@ def _join_blocks(key: tuple, table: pa.Table, percent: int) -> pa.Table:
         return x
 
     spanning = []
-    for x, linked in BlockJoin(left, right if key[3].as_py() else None, percent).links():
+    for x, linked in BlockJoin(left, right, percent).links():
         total[x] += copies[linked].sum()
         total[linked] += copies[x]
         for y in linked.tolist():
@@ -348,33 +334,54 @@ def _join_blocks(key: tuple, table: pa.Table, percent: int) -> pa.Table:
                 spanning.append((x, y))
     some = np.flatnonzero(total)
     a, b = (np.array(spanning, np.int64).reshape(-1, 2).T) if spanning else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    return pa.table({"a": np.concatenate([cls[some], cls[a]]), "b": pa.array([None] * len(some) + cls[b].tolist(), pa.int64()), "links": np.concatenate([total[some], np.zeros(len(a), np.int64)])})
-
-
-def _block_links(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Deals grouped sets into pairs of blocks and joins each pair."""
-    ratio = float(np.log(100 / percent))
-    narrow = sets.join(groups, "cls").select("cls", "grp", "n", F.floor(F.log(F.col("n").cast("double")) / ratio).cast("int").alias("size_class"))
-    blocks = narrow.groupBy("grp", "size_class").agg(F.ceil(F.sum("n") / _BLOCK).cast("int").alias("parts"))
-    placed = narrow.join(broadcast_if_small(blocks), ["grp", "size_class"]).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")).select("cls", "grp", "size_class", "part", "parts")
-    upper = blocks.select("grp", (F.col("size_class") - 1).alias("size_class"), F.col("parts").alias("parts_above"))
-    lower = blocks.select("grp", (F.col("size_class") + 1).alias("size_class"), F.col("parts").alias("parts_below"))
-    known = placed.join(broadcast_if_small(upper), ["grp", "size_class"], "left").join(broadcast_if_small(lower), ["grp", "size_class"], "left")
-    # A task is (group, size class, kind, two parts): kind 0 is a part with itself, 1 two parts of a class, 2 a part with one of the next class.
-    part, parts, c = F.col("part"), F.col("parts"), F.col("size_class")
-    task = lambda size_class, i, j, kind, side: F.struct(size_class.alias("c"), i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(kind).alias("kind"), F.lit(side).alias("side"))
-    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    tasks = F.concat(
-        F.array(task(c, part, part, 0, 0)),
-        F.transform(F.filter(upto(parts), lambda j: j > part), lambda j: task(c, part, j, 1, 0)),
-        F.transform(F.filter(upto(parts), lambda i: i < part), lambda i: task(c, i, part, 1, 1)),
-        F.transform(upto(F.coalesce("parts_above", F.lit(0))), lambda j: task(c, part, j, 2, 0)),
-        F.transform(upto(F.coalesce("parts_below", F.lit(0))), lambda i: task(c - 1, i, part, 2, 1)),
-    )
-    dealt = known.select("cls", "grp", F.explode(tasks).alias("t")).select("cls", "grp", "t.*")
-    full = dealt.join(sets.select("cls", "copies", "members"), "cls")
-    # Both sides of a task sit in one group; a part with itself has no right side.
-    return full.groupBy("grp", "c", F.concat_ws(":", "i", "j").alias("ij"), "kind").applyInArrow(lambda key, table: _join_blocks(key, table, percent), "a bigint, b bigint, links bigint")
+    return pa.table({"a": np.concatenate([node[some], node[a]]), "b": pa.array([None] * len(some) + node[b].tolist(), pa.int64()), "links": np.concatenate([total[some], np.zeros(len(a), np.int64)])})
+
+
+def _least_common(percent: int) -> Column:
+    """Runs that a set of ``n`` members has in common with a linked set at least: ``_common`` of the smallest such set."""
+    smallest = F.ceil(F.col("n") * percent / 100)
+    return F.floor((smallest - F.ceil(smallest * percent / 100)) / 2) + 1
+
+
+def _placed(sets: DataFrame, percent: int) -> DataFrame:
+    """``sets`` with ``block``, and ``others``: the blocks that hold sets of enough of its runs."""
+    whole = sets.agg(F.sum("n")).first()[0] or 0
+    large = cut(sets.groupBy("home").agg(F.sum("n").alias("size")).filter(F.col("size") > _BLOCK).select("home", F.ceil(F.col("size") / _BLOCK).alias("parts")))
+    small = F.xxhash64(F.pmod(F.xxhash64("home"), F.lit(1 + whole // _BLOCK)))
+    block = F.when(F.col("parts").isNull(), small).otherwise(F.xxhash64("home", F.pmod("d1", F.col("parts"))))
+    sets = cut(sets.join(broadcast_if_small(large), "home", "left").withColumn("block", block).drop("parts", "home"))
+    put = sets.select("node", "block", "n", F.explode("runs").alias("run"))
+    across = put.groupBy("run").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).filter("lo < hi").select("run")
+    shared = cut(put.join(across, "run"))
+    lists = shared.select("run", F.col("block").alias("other")).distinct()
+    others = shared.join(lists, "run").filter("block <> other").groupBy("node", "other").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    others = others.filter(F.col("c") >= _least_common(percent)).groupBy("node").agg(F.collect_list("other").alias("others"))
+    return sets.drop("runs").join(others, "node", "left")
+
+
+def _block_links(docs: DataFrame, placed: DataFrame, k: int, percent: int) -> DataFrame:
+    """Reads the texts of the placed sets again and joins each pair of blocks."""
+    placed = placed.withColumnRenamed("cls", "doc_id")
+    texts = docs.join(broadcast_if_small(placed, _FEW_SETS), "doc_id").select("node", "d1", "d2", "copies", "block", "others", "text")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, h, at in _sets(batches, k):
+            d1, d2 = set_digests(h, at)
+            # A row that shares the id of a class, but not its set, is not the one that was asked for.
+            mine = np.flatnonzero((d1 == rows.column(1).to_numpy()) & (d2 == rows.column(2).to_numpy()))
+            node, copies, block = (rows.column(c).to_numpy() for c in (0, 3, 4))
+            others = rows.column(5).to_pylist()
+            out = []
+            for i in mine.tolist():
+                own = int(block[i])
+                for other in [own, *(others[i] or [])]:
+                    out.append((min(own, other), max(own, other), int(own > other), own == other, node[i], copies[i], h[at[i] : at[i + 1]].view(np.int64)))
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["lo", "hi", "side", "within", "node", "copies", "members"])
+
+    dealt = texts.mapInArrow(deal, "lo bigint, hi bigint, side int, within boolean, node bigint, copies bigint, members array<bigint>")
+    return dealt.groupBy("lo", "hi").applyInArrow(lambda table: _join_blocks(table, percent), _FOUND)
 
 
 def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -382,44 +389,42 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     ``class_id`` is the least id with the same set, ``component_id`` the least id reachable by links, ``n_links`` the number of other documents that the document links with.
     """
-    spark = docs.sparkSession
-    given = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = cut(_classes(given, k, percent))
-    classes = rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("cls"), F.first("n").alias("n"), F.first("probed").alias("probed"), F.count("*").alias("copies"))
-    classes = cut(classes.filter("cls IS NOT NULL"))
-
-    n_rows, emitted = rows.agg(F.count("*"), F.coalesce(F.sum("emitted"), F.lit(0))).first()
-    bits = max(1, int(np.ceil(np.log2(max(2, emitted / _BUCKET)))))
-    shared = _shared_members(given, k, percent, bits, 1 + n_rows // _PART)
-    lacks = F.col("n") - F.ceil(F.col("n") * percent / 100)
-    left = cut(classes.join(shared, ["d1", "d2"], "left").filter(F.coalesce("shared", F.lit(0)) >= F.col("probed") - lacks).select("cls", "n", "copies"))
-
-    chosen = given.join(broadcast_if_small(left.select(F.col("cls").alias("doc_id")), _FEW_IDS), "doc_id", "left_semi")
-    sets = cut(_members(chosen, k).dropDuplicates(["cls"]).join(left, "cls"))
-    heavy = spark.sparkContext.broadcast(_heavy_members(sets))
-    prefixes = _prefixes(sets, percent, heavy)
-    least = prefixes.groupBy("member").agg(F.min("cls").alias("rep"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    near = prefixes.join(least, "member").filter("cls <> rep").select(F.col("cls").alias("a"), F.col("rep").alias("b")).distinct()
-    groups = connected_components(near).select(F.col("node").alias("cls"), F.col("component").alias("grp"))
-    found = cut(_block_links(sets, groups, percent))
+    sc = docs.sparkSession.sparkContext
+    given = in_batches(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    told = cut(_digested(given, k))
+    rows = told.filter("member IS NULL").select("doc_id", "n", "d1", "d2")
+    heavy = sc.broadcast(_heavy_members(told.filter("member IS NOT NULL").select("member", "n")))
+    classes = rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("cls"), F.first("n").alias("n"), F.count("*").alias("copies"))
+    # Ids of classes are drawn from the written rows, so that they stay as they are when a task runs again.
+    classes = cut(classes.filter("cls IS NOT NULL")).withColumn("node", F.monotonically_increasing_id())
+
+    by_member = _prefixes(given, k, percent, heavy).repartition("member").sortWithinPartitions("member", "n", "d1")
+    shared = by_member.mapInArrow(lambda batches: _runs(batches, percent), "d1 bigint, run bigint, rep bigint")
+    sets = cut(shared.groupBy("d1").agg(F.min("rep").alias("home"), F.collect_list("run").alias("runs")).join(classes, "d1").filter(F.size("runs") >= _least_common(percent)))
     heavy.unpersist()
+    found = cut(_block_links(given, cut(_placed(sets, percent)), k, percent))
 
     parts = connected_components(found.filter("b IS NOT NULL").select("a", "b"))
-    counts = found.filter("b IS NULL").groupBy("a").agg(F.sum("links").alias("links"))
-    every = classes.join(parts.select(F.col("node").alias("cls"), "component"), "cls", "left").join(counts.select(F.col("a").alias("cls"), "links"), "cls", "left")
-    every = every.select("d1", "d2", "cls", F.coalesce("component", "cls").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    joined = rows.join(every, ["d1", "d2"], "left")
-    return joined.select(
+    linked = cut(parts.join(classes.select("node", "cls"), "node"))
+    least = linked.groupBy("component").agg(F.min("cls").alias("component_id"))
+    named = linked.join(least, "component").select("node", "component_id")
+    counts = found.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    every = classes.join(named.join(counts, "node"), "node", "left")
+    every = every.select("d1", "d2", "cls", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    return rows.join(every, ["d1", "d2"], "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.coalesce("cls", "doc_id").alias("class_id"),
-        F.coalesce("component", "doc_id").alias("component_id"),
+        F.coalesce("component_id", "cls", "doc_id").alias("component_id"),
         F.coalesce("links", F.lit(0).cast("bigint")).alias("n_links"),
     )
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document (the one with the least id) of each component; all columns stay as they are."""
-    gone = jaccard_classes(docs, k, percent, id_col, text_col).filter("component_id <> doc_id").select(F.col("doc_id").alias("_argloom_gone"))
+    """``docs`` with one document (the one with the least id) of each component; all columns stay as they are.
+
+    Rows that repeat an id are one document here: they go if one of their texts has a partner with a smaller id.
+    """
+    gone = cut(jaccard_classes(docs, k, percent, id_col, text_col).filter("component_id <> doc_id").select(F.col("doc_id").alias("_argloom_gone")))
     gone = broadcast_if_small(gone, _FEW_IDS)
     return docs.join(gone, docs[id_col].cast("bigint") == gone["_argloom_gone"], "left_anti")
