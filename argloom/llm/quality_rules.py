@@ -1,9 +1,11 @@
 """Quality rules per document and per host.
 
 Base rules look at one text.  Host rules then count the base failures of each
-host (the ``source`` column), shrink each host's failure rate towards a beta prior
-fitted to all hosts by the method of moments, and reject the documents of hosts
-whose shrunken rate is above ``max_host_rate``.
+host (the ``source`` column, or the domain of a ``url`` by :func:`domain`).  A beta prior is fitted to the hosts' failure rates, each weighted by
+its documents up to ``MAX_PRIOR``: its mean is the median rate, its spread comes from the quartiles, so that a few bad hosts do not
+hide themselves, and it counts for at most ``MAX_PRIOR`` documents.  A host's posterior shrinks its rate towards the prior.  The host is rejected,
+with all its documents, if the lower end of the posterior's one-sided 95 % interval is above what the
+prior allows (its mean and three deviations) and above ``MIN_HOST_RATE``: the worst of good hosts stay.
 
 Only DataFrame functions are used.  Texts are not shuffled: the counts of a text
 are array expressions in its row.  The host table has one row per host; it is
@@ -11,7 +13,7 @@ aggregated map-side first, so a host with a third of all rows is no hot spot.
 
 Defined results: a null or empty text has no words and fails the rule on short
 texts; a null host gets no host verdict; repeated rows count as often as they
-occur; with no hosts or one host the prior has the weight of one document; an
+occur; with one host the prior has that host's rate; an
 empty table gives an empty result; other columns stay as they are.
 """
 
@@ -27,8 +29,13 @@ SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEATED = 20
-MAX_HOST_RATE = 0.5
-_MAX_PRIOR = 1e6
+MIN_HOST_RATE = 0.25
+#: Documents that the prior counts for at most.
+MAX_PRIOR = 20.0
+#: Parts of the unit interval in which rates are counted, so that a table of bounded size has their distribution.
+_RATES = 200
+_ONE_SIDED = 1.645
+_DEVIATIONS = 3.0
 
 
 def _text(text_col: str) -> Column:
@@ -98,23 +105,47 @@ def text_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumn("_argloom_q", let(let(_text(text_col), counts), judged))
 
 
-def host_verdicts(rows: DataFrame, max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
+def domain(url: Column) -> Column:
+    """The host name of a web address, lower-cased; null if there is none."""
+    name = F.lower(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    return F.when(name != "", name)
+
+
+def fit_prior(hosts: DataFrame) -> tuple[float, float]:
+    """Mean and deviation of the hosts' rates (``n_docs, n_failed``): the weighted median, and the quartiles' distance."""
+    rate = F.least(F.lit(_RATES - 1), F.expr(f"{_RATES} * n_failed div n_docs")).cast("int")
+    bins = sorted((r["rate"], r["n"]) for r in hosts.groupBy(rate.alias("rate")).agg(F.sum(F.least(F.lit(int(MAX_PRIOR)), "n_docs")).alias("n")).collect())
+    total = sum(n for _, n in bins)
+
+    def quantile(part: int) -> float:
+        seen = 0
+        for rate, n in bins:
+            seen += n
+            if 4 * seen >= part * total:
+                return (rate + 0.5) / _RATES
+        return 0.5 / _RATES
+
+    return quantile(2), (quantile(3) - quantile(1)) / 1.349 + 1 / _RATES
+
+
+def host_verdicts(rows: DataFrame, min_host_rate: float = MIN_HOST_RATE) -> DataFrame:
     """From ``host, base_failed`` per document: ``host, n_docs, n_failed, shrunk_rate, rejected`` per host."""
-    hosts = rows.filter("host IS NOT NULL").groupBy("host").agg(F.count("*").alias("n_docs"), F.count_if("base_failed").alias("n_failed"))
-    hosts = cut(hosts.withColumn("rate", F.col("n_failed") / F.col("n_docs")))
-    prior = hosts.agg(F.avg("rate").alias("m"), F.var_pop("rate").alias("v")).first()
-    mean, var = prior["m"] or 0.0, prior["v"] or 0.0
-    weight = min(_MAX_PRIOR, max(1.0, mean * (1 - mean) / var - 1)) if var > 0 else 1.0
-    shrunk = (F.col("n_failed") + F.lit(weight * mean)) / (F.col("n_docs") + F.lit(weight))
-    return hosts.withColumn("shrunk_rate", shrunk).withColumn("rejected", F.col("shrunk_rate") > max_host_rate).drop("rate")
+    hosts = cut(rows.filter("host IS NOT NULL").groupBy("host").agg(F.count("*").alias("n_docs"), F.count_if("base_failed").alias("n_failed")))
+    mean, spread = fit_prior(hosts)
+    weight = min(MAX_PRIOR, max(1.0, mean * (1 - mean) / spread**2 - 1))
+    shrunk, n = F.col("shrunk_rate"), F.col("n_docs") + F.lit(weight)
+    hosts = hosts.withColumn("shrunk_rate", (F.col("n_failed") + F.lit(weight * mean)) / n)
+    lower = shrunk - F.lit(_ONE_SIDED) * F.sqrt(shrunk * (1 - shrunk) / (n + 1))
+    return hosts.withColumn("rejected", lower > F.lit(max(min_host_rate, mean + _DEVIATIONS * spread)))
 
 
-def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """Per row: ``doc_id``, the counts, ``base_failed``, ``host_rejected`` and ``kept``."""
+def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_host_rate: float = MIN_HOST_RATE) -> DataFrame:
+    """Per row: ``doc_id``, the counts, ``base_failed``, ``host_rate`` (the shrunken one), ``host_rejected`` and ``kept``."""
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_argloom_text"), F.col(host_col).alias("host"))
     rows = cut(text_counts(given, "_argloom_text").select("doc_id", "host", "_argloom_q.*"))
-    bad = broadcast_if_small(host_verdicts(rows, max_host_rate).filter("rejected").select("host", F.lit(True).alias("host_rejected")))
-    return rows.join(bad, "host", "left").select(
+    hosts = broadcast_if_small(host_verdicts(rows, min_host_rate).select("host", "shrunk_rate", "rejected"))
+    rejected = F.coalesce("rejected", F.lit(False))
+    return rows.join(hosts, "host", "left").select(
         "doc_id",
         "n_words",
         "word_chars",
@@ -122,18 +153,19 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "n_dup_lines",
         "n_repeat_words",
         "base_failed",
-        F.coalesce("host_rejected", F.lit(False)).alias("host_rejected"),
-        (~F.col("base_failed") & F.col("host_rejected").isNull()).alias("kept"),
+        F.round("shrunk_rate", 6).alias("host_rate"),
+        rejected.alias("host_rejected"),
+        (~F.col("base_failed") & ~rejected).alias("kept"),
     )
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
+def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", min_host_rate: float = MIN_HOST_RATE) -> DataFrame:
     """``docs`` without the rows that the rules reject; all columns stay as they are.
 
     The texts are read twice, once for the hosts and once for the verdict, so that they need not be shuffled.
     """
     counted = text_counts(docs, text_col)
-    hosts = host_verdicts(counted.select(F.col(host_col).alias("host"), F.col("_argloom_q.base_failed").alias("base_failed")), max_host_rate)
+    hosts = host_verdicts(counted.select(F.col(host_col).alias("host"), F.col("_argloom_q.base_failed").alias("base_failed")), min_host_rate)
     bad = broadcast_if_small(hosts.filter("rejected").select(F.col("host").alias("_argloom_host")))
     good = counted.filter(~F.col("_argloom_q.base_failed")).drop("_argloom_q")
     return good.join(bad, good[host_col] == bad["_argloom_host"], "left_anti")
