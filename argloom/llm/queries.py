@@ -87,19 +87,22 @@ m AS (SELECT w.doc_id, source, len(ws)::BIGINT AS n_words, length(array_to_strin
       FROM w LEFT JOIN covered ON w.doc_id = covered.doc_id),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
 h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS f FROM b WHERE source IS NOT NULL GROUP BY source),
-p AS (SELECT avg(f / n) AS mu, var_pop(f / n) AS v FROM h),
-q AS (SELECT mu, CASE WHEN v > 0 THEN least(1e6, greatest(1.0, mu * (1 - mu) / v - 1)) ELSE 1.0 END AS s FROM p),
-bad AS (SELECT source FROM h, q WHERE (f + s * mu) / (n + s) > 0.5)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       coalesce(b.source IN (SELECT source FROM bad), false) AS host_rejected,
-       NOT base_failed AND NOT coalesce(b.source IN (SELECT source FROM bad), false) AS kept
-FROM b
+v AS (SELECT least(199, 200 * f // n) AS r, sum(least(n, 20)) AS w FROM h GROUP BY 1),
+c AS (SELECT r, sum(w) OVER (ORDER BY r) AS c, sum(w) OVER () AS t FROM v),
+q AS (SELECT (min(r) FILTER (4 * c >= 2 * t) + 0.5) / 200.0::DOUBLE AS mu,
+             ((min(r) FILTER (4 * c >= 3 * t) + 0.5) / 200.0::DOUBLE - (min(r) FILTER (4 * c >= t) + 0.5) / 200.0::DOUBLE) / 1.349::DOUBLE + 0.005::DOUBLE AS s FROM c),
+p AS (SELECT mu, s, least(20.0::DOUBLE, greatest(1.0::DOUBLE, mu * (1 - mu) / (s * s) - 1)) AS w FROM q),
+k AS (SELECT source, n, (f + w * mu) / (n + w) AS rate, w, mu, s FROM h, p),
+j AS (SELECT source, rate, rate - 1.645::DOUBLE * sqrt(rate * (1 - rate) / (n + w + 1)) > greatest(0.25::DOUBLE, mu + 3 * s) AS rejected FROM k)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(rate, 6) AS host_rate,
+       coalesce(rejected, false) AS host_rejected, NOT base_failed AND NOT coalesce(rejected, false) AS kept
+FROM b LEFT JOIN j ON b.source = j.source
 """
 
 
 def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, _ = shard_by_bytes(table(spark, sf_dir, "documents"))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"), "map_version", (F.col("shard") != F.col("map_shard")).alias("moved"))
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

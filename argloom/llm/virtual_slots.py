@@ -5,7 +5,8 @@ aggregated per slot, and a map says which shard has which slot.  The first versi
 of the map deals the slots round-robin; rebalancing edits it: a shard keeps its
 largest slots as long as they fit into an equal share of the bytes, and the slots
 that do not fit move, largest first, to the shard with the fewest bytes.  Every
-version is a row set ``version, vslot, shard`` that can be stored as a table.
+version is a row set ``version, vslot, shard`` in a table in a folder that driver and executors share; rebalancing reads the
+latest version from it and adds the next.
 
 The map has as many rows as there are slots (a constant), so broadcasting it and
 folding over it does not grow with the data.
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from argloom.llm._spark import cut
+from argloom.llm._spark import cut, shared_path
 
 SLOTS = 4096
 FRAMING = 8
@@ -83,11 +84,36 @@ def assign(rows: DataFrame, slot_map: DataFrame, sizes: DataFrame) -> DataFrame:
     return rows.withColumn("_within", within).join(F.broadcast(placed.select("vslot", "shard", "_before")), "vslot").select(*rows.columns, "shard", (F.col("_before") + F.col("_within")).cast("bigint").alias("slot"))
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 24, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Deals ``docs`` into shards of near equal bytes; also returns all versions of the slot map."""
+def save_map(slot_map: DataFrame, path: str) -> None:
+    """Adds one version to a stored map; earlier versions stay, and a version is written as a whole or not at all."""
+    slot_map.coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+
+
+def stored_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A version of a stored map, by default the latest."""
+    every = spark.read.parquet(path).select(F.col("version").cast("int").alias("version"), "vslot", "shard")
+    return every.filter(F.col("version") == (every.agg(F.max("version")).first()[0] if version is None else version))
+
+
+def rebalance_stored(spark: SparkSession, path: str, sizes: DataFrame, shards: int) -> DataFrame:
+    """Edits the latest stored map for the slots' present sizes and ``shards`` shards, stores the result as the next version and returns it."""
+    save_map(rebalance(stored_map(spark, path), sizes, shards), path)
+    return stored_map(spark, path)
+
+
+def shard_by_bytes(docs: DataFrame, shards: int = 24, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> tuple[DataFrame, str]:
+    """Deals ``docs`` into shards of near equal bytes by the map stored at ``path``; also returns that path.
+
+    Where nothing is stored yet (no ``path``), a map is begun below the shared checkpoint folder.  Rows carry the ``map_version`` that placed
+    them and ``map_shard``, the shard of their virtual slot in the version before.
+    """
     spark = docs.sparkSession
     rows = records(docs, slots, id_col, text_col)
     sizes = cut(slot_sizes(spark, rows, slots))
-    first = first_map(spark, shards, slots)
-    second = cut(rebalance(first, sizes, shards))
-    return assign(rows, second, sizes), first.unionByName(second)
+    if path is None:
+        path = shared_path(spark, "slot-map")
+        save_map(first_map(spark, shards, slots), path)
+    before = stored_map(spark, path).select("vslot", F.col("shard").alias("map_shard"))
+    now = rebalance_stored(spark, path, sizes, shards)
+    history = F.broadcast(now.join(before, "vslot").select("vslot", F.col("version").alias("map_version"), "map_shard"))
+    return assign(rows, now, sizes).join(history, "vslot"), path

@@ -101,11 +101,63 @@ def test_jaccard_join_repeats_and_empty(docs, rows, empty):
     assert kept.columns == docs.columns and 13 in {r.doc_id for r in kept.select("doc_id").collect()}
 
 
-def test_jaccard_blocks_give_the_same_links():
+def test_jaccard_join_repeated_ids(spark):
+    """Rows that repeat an id with another text are linked by their texts."""
+    from argloom.llm.jaccard_join import jaccard_classes
+
+    rng = random.Random(8)
+    word = lambda p: [f"{p}{rng.randrange(500)}" for _ in range(200)]
+    one, two = word("a"), word("b")
+    near = lambda t: " ".join([*t[:150], "new", *t[151:]])
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, near(one)), (3, near(two)), (3, near(two)), (None, " ".join(one)), (4, "alone")]
+    got = jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id or 0, r.component_id, r.n_links) for r in got) == [(0, 1, 2), (1, 1, 2), (1, 1, 2), (2, 1, 2), (3, 1, 2), (3, 1, 2), (4, 4, 0)]
+
+
+@pytest.mark.parametrize("members", [300, 5000])
+def test_jaccard_join_in_many_blocks(docs, rows, monkeypatch, members):
+    from argloom.llm import jaccard_join
+
+    want = sorted(map(tuple, jaccard_join.jaccard_classes(docs, 3, 70).collect()))
+    monkeypatch.setattr(jaccard_join, "_BLOCK", members)
+    monkeypatch.setattr(jaccard_join, "_FLUSH", 500)
+    monkeypatch.setattr(jaccard_join, "_OFTEN", 2)
+    monkeypatch.setattr(jaccard_join, "_HEAVY_FROM", 3)
+    assert sorted(map(tuple, jaccard_join.jaccard_classes(docs, 3, 70).collect())) == want
+
+
+def test_runs_over_batches():
+    """A run of one member may be cut anywhere by the batches."""
+    import pyarrow as pa
+
+    from argloom.llm.jaccard_join import _runs
+
+    rng = np.random.default_rng(4)
+    size = {d: int(rng.integers(1, 40)) for d in range(9)}
+    rows = sorted((int(m), size[d], d) for m, d in zip(rng.integers(0, 12, 90), rng.integers(0, 9, 90).tolist(), strict=True))
+    runs = []
+    for m, n, d in sorted(set(rows)):
+        if runs and runs[-1][-1][0] == m and 85 * n <= 100 * runs[-1][-1][1]:
+            runs[-1].append((m, n, d))
+        else:
+            runs.append([(m, n, d)])
+    want = sorted((r[2], run[0][2]) for run in runs if len(run) > 1 for r in run)
+    for step in (1, 2, 7, 90):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + step]], pa.int64()) for k in (0, 1, 2)], names=["member", "n", "d1"]) for i in range(0, 90, step)]
+        got = [tuple(r.values()) for b in _runs(iter(batches), 85) for r in b.to_pylist()]
+        assert sorted((d, rep) for d, _, rep in got) == want and len({run for _, run, _ in got}) == sum(len(run) > 1 for run in runs)
+
+
+def test_jaccard_blocks_give_the_same_links(monkeypatch):
+    from argloom.llm import jaccard_join
     from argloom.llm.jaccard_join import BlockJoin
 
     rng = np.random.default_rng(1)
-    sets = [np.unique(rng.integers(0, 60, 40)) for _ in range(50)]
+    monkeypatch.setattr(jaccard_join, "_EACH", 3)
+    base = np.unique(rng.integers(0, 900, 60))
+    near = [np.unique(np.concatenate([np.delete(base, rng.integers(0, len(base), 2)), rng.integers(0, 900, 2)])) for _ in range(25)]
+    sets = [np.unique(rng.integers(0, 60, 40)) for _ in range(25)] + near
+    sets = [sets[i] for i in rng.permutation(50)]
     want = {(a, b) for a in range(50) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 60 * len(np.union1d(sets[a], sets[b]))}
     one = {(max(x, y), min(x, y)) for x, ys in BlockJoin(sets, None, 60).links() for y in ys.tolist()}
     two = {(max(x, y), min(x, y)) for x, ys in BlockJoin(sets[:20], sets[20:], 60).links() for y in ys.tolist()}
@@ -122,6 +174,26 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_components_in_small_forests(spark, monkeypatch):
+    from argloom.llm import components
+
+    monkeypatch.setattr(components, "_HELD", 3)
+    rng = random.Random(6)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(260)] + [(1000, i) for i in range(0, 300, 40)]
+    root = {i: i for p in pairs for i in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(pairs, "a long, b long").repartition(6)).collect()}
+    assert got == {i: find(i) for i in {i for a, b in pairs if a != b for i in (a, b)}}
+
+
 def test_secret_scan(docs, rows, empty):
     from argloom.llm.secret_scan import KINDS, scan
 
@@ -140,27 +212,75 @@ def test_secret_scan(docs, rows, empty):
     assert max(r.n_assign for r in got) == 2
 
 
-def test_secret_battery(spark):
-    from argloom.llm.secret_scan import candidates, scan
+def planted_tokens(rng):
+    """Random keys of four encodings, and ordinary tokens: paths, names, numbered identifiers, dates, run-together words."""
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    kinds = [(low + up + digits, 32), ("0123456789abcdef", 40), ("0123456789ABCDEF", 40), (up + "234567", 32), (low + up + digits + "+/", 44)]
+    secret = [draw(letters, n) for letters, n in kinds for _ in range(30)]
+    part = lambda: rng.choice("page user profile settings main java example invoice report module handler config service backup quarterly summary northern".split())
+    plain = []
+    for i in range(300):
+        plain.append([f"path/to/the/{part()}{1000 + i}", f"{part()}_{part()}_{part()}_{i}x", f"src/main/java/{part().title()}{part().title()}{i}", f"{part()}-{part()}-2024-01-{i % 28 + 1:02}", f"{part()}{part()}{part()}{part()}", f"{part()}{part().title()}{part().title()}{i}"][i % 6])
+    return secret, [x for x in plain if len(x) >= 16]
 
-    rng = random.Random(2)
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    secret = ["".join(rng.choice(letters) for _ in range(40)) for _ in range(30)]
-    plain = [f"internationalization{i}guidelines" for i in range(30)] + ["a" * 50_000 + "1", "https/example/com/path/to/the/page1234"]
+
+def test_secrets_are_found_and_ordinary_tokens_are_not(spark):
+    from argloom.llm.secret_scan import scan
+
+    secret, plain = planted_tokens(random.Random(2))
+    plain += ["a" * 50_000 + "1", "https/example/com/path/to/the/page1234"]
     df = spark.createDataFrame([(i, f"é see {t} now") for i, t in enumerate(secret + plain)], "doc_id long, text string")
-    found = {r.doc_id: r.n_random for r in scan(df).collect()}
-    assert sum(found[i] for i in range(30)) >= 28 and not any(found[i] for i in range(30, 62))
-    x = [letters.index(c) for c in secret[0]]
-    alphabet = letters + "+/"
-    n, size = len(x), 64
-    chi = (sum(v * v for v in Counter(x).values()) * size / n - n - (size - 1)) / math.sqrt(2 * (size - 1) * (n - 1) / n)
-    mid = (size - 1) / 2
-    runs = (sum((a > mid) != (b > mid) for a, b in zip(x, x[1:], strict=False)) - (n - 1) / 2) / math.sqrt((n - 1) / 4)
-    serial = sum((a - mid) * (b - mid) for a, b in zip(x, x[1:], strict=False)) / (math.sqrt(n - 1) * (size * size - 1) / 12)
+    got = {r.doc_id: r for r in scan(df).collect()}
+    found = [i for i in got if got[i].n_random]
+    right = [i for i in found if i < len(secret)]
+    assert len(found) - len(right) <= 0.03 * len(found)
+    base32 = [i for i in right if 90 <= i < 120]  # 32 symbols of base32 alone are little evidence
+    assert len(right) - len(base32) >= 0.97 * 120 and len(base32) >= 12, (len(right), len(base32), len(found))
+    assert f"random:6:{6 + len(secret[0])}" in got[0].spans.split(",")
+
+
+def test_secret_battery(spark):
+    """The three tests and their combination against plain Python."""
+    from argloom.llm.secret_scan import ALPHABETS, ORDINARY, encoding, letter_shares, log_p, ordinary_symbols
+
+    secret, plain = planted_tokens(random.Random(4))
+    tokens = [*secret[::15], *plain[::20], "abcdefghijklmnop", "ABCDEFGHIJKLMNOP", "0f" * 10, "Zm9vYmFyYmF6cXV1eA=="]
+    df = spark.createDataFrame([(t,) for t in tokens], "token string")
+    letters = letter_shares(df)
+    assert abs(sum(letters.values()) - 1) < 1e-9
     tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
-    want = min(0, math.log(3 * min(tail(chi), 2 * tail(abs(runs)), 2 * tail(abs(serial)))))
-    got = df.select(candidates(F.col("text")).alias("c")).first().c[0]
-    assert len(alphabet) == 64 and (got.start, got.end) == (6, 46) and abs(got.log_p - want) < 0.02
+    for r in df.select("token", encoding(F.col("token")).alias("e"), log_p(F.col("token"), letters).alias("p")).collect():
+        q, turning, alphabet = ordinary_symbols(letters, r.e), ORDINARY[r.e][2], ALPHABETS[r.e]
+        assert abs(sum(q) - 1) < 1e-9
+        plain = r.token.rstrip("=").replace("-", "+").replace("_", "/")
+        x, n, size = [alphabet.index(c) for c in plain], len(plain), len(alphabet)
+        s2, s3 = sum(p * p for p in q), sum(p**3 for p in q)
+        sd = math.sqrt(4 * n * (n - 1) * (n - 2) * s3 + 2 * n * (n - 1) * s2 - 2 * n * (n - 1) * (2 * n - 3) * s2 * s2)
+        even = (n + n * (n - 1) * s2 - sum(v * v for v in Counter(x).values())) / sd
+        kind = ["l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else c for c in plain]
+        t = sum(a != b for a, b in zip(kind, kind[1:], strict=False)) / (n - 1)
+        deviance = (t * math.log(t / turning) if t else 0) + ((1 - t) * math.log((1 - t) / (1 - turning)) if t < 1 else 0)
+        runs = math.copysign(math.sqrt(2 * (n - 1) * deviance), t - turning)
+        mid, var = (size - 1) / 2, (size * size - 1) / 12
+        m1, m2 = (sum(p * (i - mid) ** k for i, p in enumerate(q)) for k in (1, 2))
+        serial = (m1 * m1 / var - sum((a - mid) * (b - mid) for a, b in zip(x, x[1:], strict=False)) / ((n - 1) * var)) * math.sqrt(n - 1) / (m2 / var)
+        want = math.log(tail((even + runs + serial) / math.sqrt(3)) or 1e-300)
+        assert abs(r.p - want) < 0.05 + 0.03 * abs(want), r
+
+
+def test_rejection_bin_controls_the_false_discovery_rate(spark):
+    """Against the procedure on the tokens themselves."""
+    from argloom.llm.secret_scan import _STEP, _weighted_bin, rejection_bin
+
+    rng = random.Random(1)
+    rows = [(rng.randrange(16, 60), math.log(rng.random() ** rng.choice([1, 1, 12]))) for _ in range(400)]
+    df = spark.createDataFrame(rows, "chars int, log_p double")
+    mean, least = rejection_bin(df, 0.05)
+    binned = sorted(math.exp(-math.floor(-(p - math.log(n / mean)) * _STEP) / _STEP) if p < math.log(n / mean) else 1.0 for n, p in rows)
+    k = max(i for i, p in enumerate(binned, 1) if p <= 0.05 * i / len(rows))
+    assert df.filter(_weighted_bin(F.col("log_p"), F.col("chars"), F.lit(mean)) >= least).count() == k
+    assert rejection_bin(df.limit(0), 0.05)[0] == 1.0
 
 
 def test_pfair_mixing(docs, rows, empty, spark):
@@ -255,23 +375,54 @@ def test_host_verdicts(spark):
     assert {r.doc_id for r in keep_good(df).collect()} == {i for i, r in got.items() if r.kept}
 
 
-def test_virtual_slots(docs, rows, empty):
-    from argloom.llm.virtual_slots import shard_by_bytes
-
-    placed, versions = shard_by_bytes(docs, shards=4, slots=64)
+def brute_rebalance(now, sizes, shards):
+    """Each shard keeps its largest slots up to an equal share; the others go, largest first, to the least loaded shard."""
+    share, load, free, out = sum(sizes.values()) / shards, [0] * shards, [], {}
+    for s in set(now.values()):
+        upto = 0
+        for v in sorted((v for v in now if now[v] == s), key=lambda v: (-sizes[v], v)):
+            upto += sizes[v]
+            if s < shards and upto <= share:
+                out[v] = s
+                load[s] += sizes[v]
+            else:
+                free.append(v)
+    for v in sorted(free, key=lambda v: (-sizes[v], -v)):
+        out[v] = load.index(min(load))
+        load[out[v]] += sizes[v]
+    return out
+
+
+def test_virtual_slots(spark, docs, rows, empty):
+    from argloom.llm.virtual_slots import rebalance_stored, shard_by_bytes, slot_sizes, stored_map
+
+    placed, path = shard_by_bytes(docs, shards=4, slots=64)
     got = placed.collect()
     assert len(got) == len(rows) and shard_by_bytes(empty, 4, 64)[0].collect() == []
     texts = {r[0]: (r[1] or "").encode() for r in rows}
     for r in got:
-        assert (r.size, r.text_crc32) == (len(texts[r.doc_id]) + 8, zlib.crc32(texts[r.doc_id]))
+        assert (r.size, r.text_crc32, r.map_version) == (len(texts[r.doc_id]) + 8, zlib.crc32(texts[r.doc_id]), 2)
     for s in {r.shard for r in got}:
         mine = sorted(r.slot for r in got if r.shard == s)
         assert mine == list(range(len(mine)))
-    by_version = {v: {r.vslot: r.shard for r in versions.filter(f"version = {v}").collect()} for v in (1, 2)}
-    assert all(sorted(m) == list(range(64)) for m in by_version.values())
-    load = lambda m: [sum(r.size for r in got if m[r.vslot] == s) for s in range(4)]
-    assert max(load(by_version[2])) <= max(load(by_version[1]))
-    assert all(r.shard == by_version[2][r.vslot] for r in got)
+    sizes = {v: sum(r.size for r in got if r.vslot == v) for v in range(64)}
+    maps = {v: {r.vslot: r.shard for r in stored_map(spark, path, v).collect()} for v in (1, 2)}
+    assert maps[1] == {v: v % 4 for v in range(64)} and maps[2] == brute_rebalance(maps[1], sizes, 4)
+    assert all(r.shard == maps[2][r.vslot] and r.map_shard == maps[1][r.vslot] for r in got)
+    # Shards grow and shrink by further versions of the stored map; the versions before stay as they were.
+    measured = slot_sizes(spark, placed, 64)
+    for version, shards in ((3, 6), (4, 3)):
+        maps[version] = {r.vslot: r.shard for r in rebalance_stored(spark, path, measured, shards).collect()}
+        assert maps[version] == brute_rebalance(maps[version - 1], sizes, shards)
+    assert {r.vslot: r.shard for r in stored_map(spark, path, 2).collect()} == maps[2]
+
+
+def test_virtual_slots_are_near_equal(spark):
+    from argloom.llm.virtual_slots import shard_by_bytes
+
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.pmod(F.xxhash64("id"), F.lit(90))).cast("int")).alias("text"))
+    load = [r.b for r in shard_by_bytes(df)[0].groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(load) == 24 and max(load) - min(load) < 0.02 * sum(load) / 24
 
 
 def test_chat_format(spark):
@@ -315,22 +466,49 @@ def test_cuckoo_index(spark):
     from argloom.llm.cuckoo_dedup import CuckooIndex, build_index, digests, update_index
 
     index = CuckooIndex(16)
-    keys = [hashlib.sha256(str(i).encode()).digest() for i in range(5000)]
-    assert all(index.insert(k, 1, 1, i) for i, k in enumerate(keys)) and index.resizes > 0
-    assert not any(index.insert(k, 1, 2, i + 9) for i, k in enumerate(keys[:100])) and index.content[keys[3]] == [2, 2, 12]
-    assert all(index.delete(k) for k in keys[:2500]) and not any(index.delete(k) for k in keys[:2500])
-    assert all(index.might_hold(k) for k in keys[2500:]) and sum(index.might_hold(k) for k in keys[:2500]) < 60
+    rng = random.Random(3)
+    raw = [hashlib.sha256(str(i).encode()).digest() for i in range(5000)]
+    keys = lambda ids: np.array([raw[i] for i in ids], "S32")
+    live = {}
+    for step in range(60):  # against a dictionary
+        ids = [rng.randrange(5000) for _ in range(rng.randrange(1, 700))]
+        if step % 4 == 3:
+            assert index.delete(keys(ids)) == len(set(ids) & set(live))
+            for i in ids:
+                live.pop(i, None)
+            continue
+        rows = [(1, rng.randrange(3), rng.randrange(50), rng.randrange(4)) for _ in ids]
+        fresh = len(set(ids) - set(live))
+        assert int(index.insert(keys(ids), np.array(rows, np.int64)).sum()) == fresh
+        for i, r in zip(ids, rows, strict=True):
+            live.setdefault(i, []).append(r)
+    want = sorted((raw[i].rstrip(b"\0"), len(rs), *min(((c, d, h) for _, c, d, h in rs), key=lambda x: (-x[0], x[1], x[2]))) for i, rs in live.items())
+    assert [(k, *v) for k, v in zip(index.keys.tolist(), index.values.tolist(), strict=True)] == want
+    assert index.resizes > 0 and index.might_hold(index.keys).all() and np.count_nonzero(index.table) == len(live)
+    gone = keys([i for i in range(5000) if i not in live])
+    assert np.count_nonzero(index.might_hold(gone)) < 0.01 * len(gone) + 5  # so the content is hardly looked at for what is new
     df = spark.createDataFrame([(1, "a b"), (2, "ab"), (3, "c")], "doc_id long, text string")
     live = build_index(digests(df), 2)
     retired = live.filter("group_size = 2").select("digest")
     after = update_index(live, None, retired, 2).collect()
     assert [r.keep_id for r in after] == [3]
+    back = update_index(live, build_index(digests(df.filter("doc_id = 1")), 2), retired, 2).collect()
+    assert sorted((r.keep_id, r.group_size) for r in back) == [(1, 1), (3, 1)]
+
+
+def test_exact_dedup_repeated_ids(spark):
+    """Of rows that repeat an id with equal texts, one stays; a row of another text with the same id is not touched."""
+    from argloom.llm.cuckoo_dedup import drop_exact_copies, exact_groups
+
+    df = spark.createDataFrame([(1, "a b"), (1, "ab "), (1, "other"), (2, "a  b"), (2, "a  b"), (None, "ab")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.keep_id, r.group_size) for r in exact_groups(df).collect() if r.kept) == [(1, 1, 1), (2, 2, 5), (2, 2, 5)]
+    assert sorted(map(tuple, drop_exact_copies(df).collect())) == [(1, "other"), (2, "a  b"), (2, "a  b")]
 
 
 def test_gru_lm(docs, rows, empty):
     from argloom.llm import gru_lm
 
-    got = gru_lm.score(docs, rounds=3, share=1).collect()
+    got = gru_lm.score(docs, rounds=3).collect()
     assert len(got) == len(rows) and gru_lm.score(empty).collect() == []
     out = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     tokens = [(r[0], [*words((r[1] or "").translate(LOWER)), "\n"]) for r in rows]
@@ -369,32 +547,65 @@ def test_gru_probabilities_and_lanes():
     m = gru_lm.new_model([(int(gru_lm.END), 40), *((100 + i, 50 - i) for i in range(30))], 2000)
     rng = np.random.default_rng(0)
     state = rng.standard_normal((1, gru_lm.UNITS)).astype(np.float32)
-    size = m.words.shape[0] * m.words.shape[2]
+    size = len(m.words)
     assert abs(np.exp(gru_lm.log_probs(m, np.repeat(state, size, 0), np.arange(size))).sum() - 1) < 1e-4
     lens = [700, 1, 3, 90, 33, 32, 31]
     ids = rng.integers(0, 30, sum(lens)).astype(np.int32)
     at = np.append(0, np.cumsum(lens))
     whole = gru_lm.score_documents(m, ids, at)
     for d in range(len(lens)):  # one document alone, step by step
-        h, total, last = np.zeros((1, gru_lm.UNITS), np.float32), 0.0, m.end
+        h, total, last = np.zeros((gru_lm.UNITS, 1), np.float32), 0.0, m.end
         for t in ids[at[d] : at[d + 1]]:
-            h = gru_lm._step(m, m.gates[[last]], h)[0]
-            total += gru_lm.log_probs(m, h, np.array([t]))[0]
+            h = gru_lm._step(m, m.gates[[last]].T, h)[0]
+            total += gru_lm.log_probs(m, h.T, np.array([t]))[0]
             last = t
         assert abs(whole[d] - total) < 1e-2 + 1e-4 * abs(total)
 
 
-def test_gru_gradients():
+def test_gru_gradients(monkeypatch):
+    """Each parameter's step is the slope of the loss, against differences; the carried state is held fixed."""
     from argloom.llm import gru_lm
 
-    m = gru_lm.new_model([(int(gru_lm.END), 40), *((100 + i, 50 - i) for i in range(30))], 2000)
-    ids = np.random.default_rng(3).integers(0, 30, 200).astype(np.int32)
-    at = np.array([0, 50, 120, 200])
-    trainer = gru_lm.Trainer(m)
-    before = gru_lm.score_documents(m, ids, at).sum()
-    for _ in range(20):
-        trainer.fit(ids, at)
-    assert gru_lm.score_documents(trainer.m, ids, at).sum() > before + 20
+    monkeypatch.setattr(gru_lm, "TRAIN_LANES", 3)
+    m = gru_lm.new_model([(int(gru_lm.END), 40), *((100 + i, 50 - i) for i in range(60))], 2000)
+    rng = np.random.default_rng(3)
+    ids, at = rng.integers(0, 60, gru_lm.TRAIN_WINDOW * 3).astype(np.int32), np.arange(4) * gru_lm.TRAIN_WINDOW
+    ids[at[1:] - 1] = m.end
+    slopes = {}
+
+    class Seen(gru_lm.Trainer):
+        def _apply(self, name, grad, at=slice(None)):
+            whole = np.zeros_like(getattr(self.m, name))
+            whole[at] += grad
+            slopes[name] = whole
+
+    Seen(m).fit(ids, at)
+    for name in gru_lm.Model.NAMES:
+        x = getattr(m, name)
+        for _ in range(4):
+            i = np.unravel_index(np.argmax(np.abs(slopes[name] * rng.random(x.shape))), x.shape)
+            kept, losses = x[i], []
+            for step in (0.02, -0.02):
+                x[i] = kept + step
+                losses.append(-gru_lm.score_documents(m, ids, at).sum() / 3)
+            x[i] = kept
+            assert abs((losses[0] - losses[1]) / 0.04 - slopes[name][i]) < 2e-3 + 0.02 * abs(slopes[name][i]), name
+
+
+def test_gru_does_not_depend_on_partitions(spark, docs):
+    from argloom.llm import gru_lm
+
+    one = {r.doc_id: r.score for r in gru_lm.score(docs.repartition(7)).collect()}
+    two = {r.doc_id: r.score for r in gru_lm.score(docs.repartition(2)).collect()}
+    assert all(abs(one[i] - two[i]) < 1e-3 + 1e-5 * abs(one[i]) for i in one)
+
+
+def test_gru_without_training_documents(spark):
+    from argloom.llm import gru_lm
+
+    out = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    (r,) = gru_lm.score(spark.createDataFrame([(out, "some words")], "doc_id bigint, text string")).collect()
+    assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (True, 3, 0, 0, 0.0) and r.score < 0
 
 
 def test_byte_bpe(docs, rows, empty):
