@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,27 +80,29 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suppliers.unionByName(customers)
 
 
-#: Trade between nations in one order year, heavy edges only: a small weighted digraph for iterative algorithms.
+#: Trade between suppliers, from all line items: a supplier's customers count for the supplier that serves them (the
+#: customer's key modulo the number of suppliers), and of each supplier's relations the ``k`` heaviest are edges.  A
+#: weighted digraph that grows with the tables and has cycles, chains and hubs.
 TRADE_SQL = """flow AS (
-  SELECT s_nationkey AS source, c_nationkey AS target, sum(l_extendedprice * (1 - l_discount)) AS weight
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  WHERE year(o_orderdate) = 1996 AND s_nationkey <> c_nationkey GROUP BY 1, 2),
-t AS (SELECT source, target, weight FROM flow WHERE weight > {factor} * (SELECT avg(weight) FROM flow))"""
+  SELECT l_suppkey AS source, o_custkey % (SELECT count(*) FROM supplier) + 1 AS target, sum(l_extendedprice * (1 - l_discount)) AS weight
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  WHERE l_suppkey <> o_custkey % (SELECT count(*) FROM supplier) + 1 GROUP BY 1, 2),
+t AS (SELECT source, target, weight FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC, target) AS place FROM flow) WHERE place <= {k})"""
 
 
-def trade(spark: SparkSession, sf_dir: str, factor: float = 1.5) -> DataFrame:
-    line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").filter(F.year("o_orderdate") == 1996)
-    customer, supplier = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+def trade(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
+    line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    count = table(spark, sf_dir, "supplier").agg(F.count("*").alias("_n"))
     flow = (
         line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-        .filter("s_nationkey <> c_nationkey")
-        .groupBy(F.col("s_nationkey").alias("source"), F.col("c_nationkey").alias("target"))
-        .agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("weight"))
+        .join(F.broadcast(count), F.lit(True))
+        .select(F.col("l_suppkey").alias("source"), (F.col("o_custkey") % F.col("_n") + 1).alias("target"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("weight"))
+        .filter("source <> target")
+        .groupBy("source", "target")
+        .agg(F.sum("weight").alias("weight"))
     )
-    mean = flow.agg(F.avg("weight").alias("_mean"))
-    return flow.join(F.broadcast(mean), F.col("weight") > factor * F.col("_mean")).drop("_mean")
+    heaviest = Window.partitionBy("source").orderBy(F.desc("weight"), "target")
+    return flow.withColumn("_place", F.row_number().over(heaviest)).filter(F.col("_place") <= k).drop("_place")
 
 
 #: Snapshots of a research programme: one epoch per ISO week of events.

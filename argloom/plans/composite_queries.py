@@ -11,7 +11,7 @@ from argloom.operators import graph as G
 from argloom.operators import relational as R
 from argloom.plans.bindings import EDGES_SQL, NODES_SQL, PREDICTIONS_SQL, TRADE_SQL, edges, nodes, predictions, query, table, trade
 
-TRADE = f"WITH RECURSIVE {TRADE_SQL.format(factor=1.5)}"
+TRADE = f"WITH RECURSIVE {TRADE_SQL.format(k=3)}"
 
 
 @query("flt12_specialization_edges", "SELECT lower(replace(replace(p_type, ' ', '_'), '-', '_')) AS relation, count(*) AS n FROM part WHERE lower(p_type) LIKE '%brass%' OR lower(p_type) LIKE '%steel%' GROUP BY 1")
@@ -83,7 +83,7 @@ def _(spark, d):
     return o.join(other, ["o_custkey", "y"]).filter("o_orderkey < b AND o_orderpriority <> q").select(F.col("o_orderkey").alias("a"), "b")
 
 
-@query("joi17_transitive_disjointness", TRADE + ", s AS (SELECT source, target FROM t WHERE (source + target) % 3 <> 0), k AS (SELECT source, target FROM t WHERE (source + target) % 3 = 0), p AS (SELECT a.source, b.target FROM s a JOIN s b ON a.target = b.source UNION SELECT a.source, c.target FROM s a JOIN s b ON a.target = b.source JOIN s c ON b.target = c.source) SELECT DISTINCT k.source AS source, k.target AS target FROM k JOIN p ON p.source = k.source AND p.target = k.target")
+@query("joi17_transitive_disjointness", TRADE + ", s AS (SELECT source, target FROM t WHERE (source + target) % 3 <> 0), k AS (SELECT source, target FROM t WHERE (source + target) % 3 = 0), p AS (SELECT a.source, b.target FROM s a JOIN s b ON a.target = b.source UNION SELECT a.source, c.target FROM s a JOIN s b ON a.target = b.source JOIN s c ON b.target = c.source UNION SELECT a.source, e.target FROM s a JOIN s b ON a.target = b.source JOIN s c ON b.target = c.source JOIN s e ON c.target = e.source) SELECT DISTINCT k.source AS source, k.target AS target FROM k JOIN p ON p.source = k.source AND p.target = k.target")
 def _(spark, d):
     t = trade(spark, d)
     s, k = (t.filter(c).select("source", "target") for c in ("(source + target) % 3 <> 0", "(source + target) % 3 = 0"))

@@ -11,8 +11,8 @@ from argloom.operators import graph as G
 from argloom.operators import qbaf as Q
 from argloom.plans.bindings import TRADE_SQL, query, trade
 
-T = f"WITH RECURSIVE {TRADE_SQL.format(factor=1.5)}"
-T2 = f"WITH RECURSIVE {TRADE_SQL.format(factor=2)}"
+T = f"WITH RECURSIVE {TRADE_SQL.format(k=3)}"
+T2 = f"WITH RECURSIVE {TRADE_SQL.format(k=2)}"
 DAG = ", d AS (SELECT source, target, weight FROM t WHERE source < target)"
 NODES = ", v AS (SELECT DISTINCT id FROM (SELECT source AS id FROM t UNION ALL SELECT target FROM t))"
 SIGNED = ", a AS (SELECT source, target, weight / (SELECT max(weight) FROM t) AS w, CASE WHEN (source + target) % 3 = 0 THEN -1 ELSE 1 END AS p FROM t), v AS (SELECT DISTINCT id, (id * 7 % 10) / 10 AS tau FROM (SELECT source AS id FROM t UNION ALL SELECT target FROM t))"
@@ -51,14 +51,10 @@ def _(spark, d):
 
 @query(
     "gra03_betweenness",
-    T + NODES + ", p AS (SELECT id AS s, id AS v, 0 AS d, 1.0::DOUBLE AS c FROM v), "
-    "e AS (SELECT DISTINCT source, target FROM t), "
-    "b1 AS MATERIALIZED (SELECT id AS s, target AS v, count(*)::DOUBLE AS c FROM v JOIN e ON source = id WHERE target <> id GROUP BY 1, 2), "
-    "b2 AS MATERIALIZED (SELECT s, target AS v, sum(c) AS c FROM b1 JOIN e ON source = b1.v WHERE target <> s AND (s, target) NOT IN (SELECT (s, v) FROM b1) GROUP BY 1, 2), "
-    "b3 AS MATERIALIZED (SELECT s, target AS v, sum(c) AS c FROM b2 JOIN e ON source = b2.v WHERE target <> s AND (s, target) NOT IN (SELECT (s, v) FROM b1) AND (s, target) NOT IN (SELECT (s, v) FROM b2) GROUP BY 1, 2), "
-    "b4 AS MATERIALIZED (SELECT s, target AS v, sum(c) AS c FROM b3 JOIN e ON source = b3.v WHERE target <> s AND (s, target) NOT IN (SELECT (s, v) FROM b1) AND (s, target) NOT IN (SELECT (s, v) FROM b2) AND (s, target) NOT IN (SELECT (s, v) FROM b3) GROUP BY 1, 2), "
-    "b5 AS MATERIALIZED (SELECT s, target AS v, sum(c) AS c FROM b4 JOIN e ON source = b4.v WHERE target <> s AND (s, target) NOT IN (SELECT (s, v) FROM b1) AND (s, target) NOT IN (SELECT (s, v) FROM b2) AND (s, target) NOT IN (SELECT (s, v) FROM b3) AND (s, target) NOT IN (SELECT (s, v) FROM b4) GROUP BY 1, 2), "
-    "dist AS (SELECT s, v, d, c FROM p UNION ALL SELECT s, v, 1, c FROM b1 UNION ALL SELECT s, v, 2, c FROM b2 UNION ALL SELECT s, v, 3, c FROM b3 UNION ALL SELECT s, v, 4, c FROM b4 UNION ALL SELECT s, v, 5, c FROM b5), "
+    T + NODES + ", e AS (SELECT DISTINCT source, target FROM t), "
+    "walk AS (SELECT id AS s, id AS v, 0 AS d FROM v UNION SELECT s, target, d + 1 FROM walk JOIN e ON source = walk.v WHERE d < 40), "
+    "far AS MATERIALIZED (SELECT s, v, min(d) AS d FROM walk GROUP BY 1, 2), "
+    "dist AS (SELECT id AS s, id AS v, 0 AS d, 1.0::DOUBLE AS c FROM v UNION ALL SELECT dist.s, far.v, far.d, sum(dist.c) FROM dist JOIN e ON source = dist.v JOIN far ON far.s = dist.s AND far.v = target AND far.d = dist.d + 1 GROUP BY 1, 2, 3), "
     "x AS (SELECT a.v AS node_id, sum(a.c * b.c / w.c) AS score FROM dist a JOIN dist b ON a.v = b.s JOIN dist w ON w.s = a.s AND w.v = b.v AND w.d = a.d + b.d WHERE a.s <> a.v AND b.s <> b.v AND a.s <> b.v GROUP BY 1) "
     "SELECT id AS node_id, round(coalesce(score, 0) / ((SELECT count(*) FROM v) - 1) / ((SELECT count(*) FROM v) - 2), 6) AS score FROM v LEFT JOIN x ON id = node_id",
 )
@@ -80,12 +76,12 @@ def _(spark, d):
 
 @query("gra05_components", T2 + NODES + ", r AS (SELECT id AS a, id AS b FROM v UNION SELECT r.a, CASE WHEN t.source = r.b THEN t.target ELSE t.source END FROM r JOIN t ON r.b IN (t.source, t.target)) SELECT a AS node_id, min(b) AS component FROM r GROUP BY a")
 def _(spark, d):
-    return G.components(trade(spark, d, 2.0))
+    return G.components(trade(spark, d, 2))
 
 
 @query("gra06_communities")
 def _(spark, d):
-    return G.label_communities(trade(spark, d, 2.0))
+    return G.label_communities(trade(spark, d, 2))
 
 
 @query(
@@ -108,7 +104,7 @@ def _(spark, d):
 
 @query("gra12_expansion", T2 + ", b AS (SELECT source, target FROM t UNION SELECT target, source FROM t), r(id, hop) AS (SELECT 3, 0 UNION SELECT b.target, hop + 1 FROM r JOIN b ON b.source = r.id WHERE hop < 2) SELECT source, target FROM t WHERE source IN (SELECT id FROM r) AND target IN (SELECT id FROM r)")
 def _(spark, d):
-    return G.expand(trade(spark, d, 2.0), spark.createDataFrame([(3,)], "node_id int"), 2).select("source", "target")
+    return G.expand(trade(spark, d, 2), spark.createDataFrame([(3,)], "node_id int"), 2).select("source", "target")
 
 
 @query("gra13_upstream", T + ", r(id, hop) AS (SELECT 12, 0 UNION SELECT t.source, hop + 1 FROM r JOIN t ON t.target = r.id WHERE hop < 6) SELECT id AS node_id, min(hop) AS hop FROM r GROUP BY id")
