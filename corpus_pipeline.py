@@ -15,7 +15,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from argloom.llm._spark import table
+from argloom.llm._spark import cut, table
 from argloom.llm.bpe import token_digests
 from argloom.llm.cuckoo_dedup import drop_exact_copies
 from argloom.llm.jaccard_join import keep_one_of_each
@@ -56,7 +56,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other; what a stage keeps is written to the shared folder once, and the next one reads it from there."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
