@@ -657,7 +657,21 @@ def test_pipeline(spark, docs, rows, tmp_path):
     grams = {i: {tuple(words(t.translate(LOWER))[j : j + 5]) for j in range(len(words(t)) - 4)} for i, t in left.items()}
     component, _ = brute_components(grams, 80)
     want = {i for i, c in component.items() if c == i}
-    got = corpus_pipeline.run(spark, path).collect()
+    made = corpus_pipeline.run(spark, path)
+    # Each stage was written once; what is left to do does not go back to the documents.
+    assert "parquet" not in made._jdf.queryExecution().optimizedPlan().toString().lower()
+    got = made.collect()
     assert {r.doc_id for r in got} == want and len(got) == len(want)
     assert all(r.decoded_sha256 == sha(texts[r.doc_id]) for r in got)
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_pipeline_on_an_empty_table_and_nulls(spark, empty, tmp_path):
+    import corpus_pipeline
+
+    empty.write.parquet(f"{tmp_path}/a/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/a").collect() == []
+    text = " ".join(f"word{i}" for i in range(30))
+    rows = [(1, text, None), (2, None, "a"), (None, text + " more", "a"), (3, "", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/b/documents.parquet")
+    assert {r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/b").collect()} == {1, None}
