@@ -228,9 +228,13 @@ def _parts(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         i = j
 
 
-def encode(df: DataFrame, rank_file: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """``df`` with ``out_col``: the packed ids of the text."""
-    kept = [c for c in df.columns if c != out_col]
+def encode(df: DataFrame, rank_file: str, pattern: str, text_col: str = "text", out_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """``df`` with ``out_col``: the packed ids of the text; and with ``decoded_col``, if given: the bytes that these ids stand for.
+
+    Encoding and decoding in one pass takes one worker, and so one copy of the vocabulary, for each task instead of two.
+    """
+    new = [c for c in (out_col, decoded_col) if c is not None]
+    kept = [c for c in df.columns if c not in new]
     given = in_batches(df.select(*(F.col(f"`{c}`") for c in kept), F.col(text_col).cast("string").alias("_argloom_text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,9 +242,12 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text_col: str = "text",
         for batch in batches:
             for part in _parts(batch, "_argloom_text"):
                 ids = own.encode_texts([t or "" for t in part.column("_argloom_text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(ids, pa.binary())], names=[*kept, out_col])
+                out = [pa.array(ids, pa.binary())]
+                if decoded_col is not None:
+                    out.append(pa.array([own.decode(x) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *out], names=[*kept, *new])
 
-    return given.mapInArrow(run, given.drop("_argloom_text").withColumn(out_col, F.lit(None).cast("binary")).schema)
+    return given.mapInArrow(run, given.drop("_argloom_text").select("*", *(F.lit(None).cast("binary").alias(c) for c in new)).schema)
 
 
 def decode(df: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -260,8 +267,8 @@ def decode(df: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids", ou
 
 def token_digests(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes whole texts and decodes the ids again: ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
-    ids = encode(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), rank_file, pattern).select("doc_id", "ids")
-    return decode(ids, rank_file, pattern).select(
+    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return encode(given, rank_file, pattern, decoded_col="decoded").select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

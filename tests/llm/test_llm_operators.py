@@ -611,7 +611,7 @@ def test_gru_without_training_documents(spark):
 def test_byte_bpe(docs, rows, empty):
     import tiktoken
 
-    from argloom.llm.bpe import codec, token_digests
+    from argloom.llm.bpe import codec, decode, encode, token_digests
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     own = codec(path, public_tokenizers.PATTERN)
@@ -622,6 +622,8 @@ def test_byte_bpe(docs, rows, empty):
     for r in got:
         ids = np.array(real.encode_ordinary(texts[r.doc_id]), "<u4")
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(ids.tobytes()), sha(texts[r.doc_id]))
+    apart = decode(encode(docs, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
+    assert apart.columns == [*docs.columns, "ids", "decoded"] and all(bytes(r.decoded).decode() == texts[r.doc_id] for r in apart.collect())
 
 
 @pytest.mark.parametrize("text", ["a" * 3000, "ab" * 1000 + "b" * 700, "\x1c\x85  x", "it's 12345 they'LL", "\U0001f600️ é", "x" * 513, " " * 2000])
