@@ -158,3 +158,35 @@ def hash_embedding(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def redact(props: Column, pattern: str) -> Column:
     """A string map with the values of matching keys hidden."""
     return F.transform_values(props, lambda k, v: F.when(F.lower(k).rlike(pattern), F.lit("***")).otherwise(v))
+
+
+# Names of an epistemic status, without separators.
+STATUS_NAMES = {
+    "hardcore": "hard_core", "core": "hard_core", "actualmodel": "hard_core",
+    "protectivebelt": "protective_belt", "belt": "protective_belt", "auxiliary": "protective_belt",
+    "anomaly": "anomalous", "anomalous": "anomalous",
+}
+# Words that a scope's text holds, in the order in which they count.
+SCOPE_WORDS = [
+    ("essentieller_allsatz", "ESSENTIELL", "ALLSATZ"), ("lokalisierter_allsatz", "LOKALISIERT", "ALLSATZ"), ("lokalisierter_existenzsatz", "LOKALISIERT", "EXISTENZSATZ"),
+    ("statistischer_allsatz", "STATISTISCH", ""), ("statistischer_allsatz", "PROBABILISTISCH", ""), ("existenzsatz", "EXISTENZSATZ", ""),
+]
+
+
+def epistemic_status(raw: Column) -> Column:
+    """The status that a name after the last colon stands for, whatever its case and separators; ``neutral`` by default."""
+    bare = F.lower(F.regexp_replace(F.element_at(F.split(F.trim(raw), ":"), -1), "[-_ ]", ""))
+    out = F.lit("neutral")
+    for name, status in STATUS_NAMES.items():
+        out = F.when(bare == name, status).otherwise(out)
+    return out
+
+
+def scope_type(raw: Column) -> Column:
+    """The scope that a text names; null if it names none."""
+    text = F.upper(raw)
+    out = None
+    for scope, one, two in SCOPE_WORDS:
+        holds = text.contains(one) & text.contains(two)
+        out = F.when(holds, scope) if out is None else out.when(holds, scope)
+    return out

@@ -146,3 +146,9 @@ def upsert(current: DataFrame, incoming: DataFrame, key: str, create_only: list[
     both = old.join(incoming.select(key, *names, F.lit(True).alias("_new")), key, "full_outer")
     pick = lambda c: F.when(F.col("_there") & F.col("_new").isNull(), F.col(f"_old_{c}")).otherwise(F.coalesce(f"_old_{c}", c) if c in create_only else F.col(c)).alias(c)
     return both.select(key, *(pick(c) for c in names))
+
+
+def gate_decision(score: Column, key: Column, accept: float, reject: float, audit: str = "01") -> Column:
+    """``accept``, ``verify`` or ``reject`` by score; of the rejected, those whose hash begins with a digit of ``audit`` are audited."""
+    drawn = F.substring(F.md5(key), 1, 1).isin(*audit)
+    return F.when(score >= accept, "accept").when((score < reject) & drawn, "audit").when(score < reject, "reject").otherwise("verify")

@@ -190,7 +190,7 @@ def _(spark, d):
     return x.groupBy("source").agg(F.count("*").alias("n"), F.min("target").alias("first_target"))
 
 
-@query("joi09_shared_chunk_pairs", "WITH m AS (SELECT DISTINCT o_custkey AS a, l_partkey AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 45) SELECT x.a AS a, y.a AS b, count(*) AS n_shared FROM m x JOIN m y ON x.p = y.p AND x.a < y.a GROUP BY 1, 2")
+@query("joi09_shared_chunk_pairs", "WITH m AS (SELECT DISTINCT o_custkey AS a, l_partkey AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT x.a AS a, y.a AS b, count(*) AS n_shared FROM m x JOIN m y ON x.p = y.p AND x.a < y.a GROUP BY 1, 2")
 def _(spark, d):
     # Pairs of customers that share a part: the blocking key is the part.
     m = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("a"), F.col("l_partkey").alias("p")).distinct()

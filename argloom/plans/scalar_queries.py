@@ -252,7 +252,7 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(F.encode(T.markdown(F.col("html")), "UTF-8")).alias("text"))
 
 
-@query("src03_latex_cleanup", "SELECT doc_id, length(trim(regexp_replace('x ' || lang || ' y ' || left(text, 300), '[ \\t]+', ' ', 'g'), ' ')) AS chars FROM documents")
+@query("src03_latex_cleanup", "SELECT doc_id, length(trim(regexp_replace(regexp_replace(regexp_replace('x ' || lang || ' y ' || text, '\\\\[a-zA-Z]+\\*?\\{([^}]*)\\}', '\\1', 'g'), '\\\\[a-zA-Z]+\\*?', '', 'g'), '[ \\t]+', ' ', 'g'), ' ')) AS chars FROM documents")
 def _(spark, d):
     raw = F.concat(F.lit("\\emph{x} \\textbf{"), "lang", F.lit("} \\noindent y "), "text")
     return table(spark, d, "documents").select("doc_id", F.length(T.latex(raw)).cast("bigint").alias("chars"))

@@ -6,17 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from argloom.operators.iterate import shared_folder
 from argloom.plans.bindings import query, table
 from argloom.streaming import events as S
 
 
 def _checkpoint(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="argloom-stream-")
-    return f"{base}/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def _stream(spark, d):

@@ -15,7 +15,7 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).withColumn("path", F.input_file_name())
     suffix = F.lower(F.element_at(F.split("path", "\\."), -1))
     kind = F.when(suffix.isin("md", "markdown"), "markdown").when(suffix.isin("tex", "latex"), "latex").otherwise("text")
-    clean = F.when(F.col("kind") == "markdown", markdown(F.col("value"))).when(F.col("kind") == "latex", latex(F.col("value"))).otherwise(F.trim("value"))
+    clean = F.when(F.col("kind") == "markdown", markdown(F.col("value"))).when(F.col("kind") == "latex", latex(F.col("value"))).otherwise(F.regexp_replace("value", "^\\s+|\\s+$", ""))
     return raw.withColumn("kind", kind).select("path", "kind", clean.alias("text"))
 
 
@@ -55,7 +55,7 @@ def first_root_wins(roots: list[DataFrame], key: str = "run_id") -> DataFrame:
 def read_json_tolerant(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
     """JSON records of a schema; unreadable ones are left out."""
     names = [f.split()[0] for f in schema.split(",")] if "<" not in schema else None
-    found = spark.read.schema(f"{schema}, _corrupt_record string").json(path, multiLine=multi_line, mode="PERMISSIVE").cache()
+    found = spark.read.schema(f"{schema}, _corrupt_record string").json(path, multiLine=multi_line, mode="PERMISSIVE")
     good = found.filter("_corrupt_record IS NULL").drop("_corrupt_record")
     return good.select(*names) if names else good
 
