@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from argloom.operators.iterate import cut
+
 
 def at_least(column: str, threshold: float) -> Column:
     """A threshold that null passes."""
@@ -152,3 +154,15 @@ def gate_decision(score: Column, key: Column, accept: float, reject: float, audi
     """``accept``, ``verify`` or ``reject`` by score; of the rejected, those whose hash begins with a digit of ``audit`` are audited."""
     drawn = F.substring(F.md5(key), 1, 1).isin(*audit)
     return F.when(score >= accept, "accept").when((score < reject) & drawn, "audit").when(score < reject, "reject").otherwise("verify")
+
+
+def ranked(df: DataFrame, column: str, partitions: int) -> DataFrame:
+    """``df`` with ``place``, its rank by ``column`` (highest first, ties share a place), without bringing all rows into one task.
+
+    Ranges of the column are partitions; the rows of earlier ranges are added to the rank within one's own.
+    """
+    dealt = cut(df.repartitionByRange(partitions, F.desc(column)).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))  # one row per partition
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)))
+    within = F.rank().over(Window.partitionBy("_range").orderBy(F.desc(column)))
+    return dealt.join(F.broadcast(before), "_range").withColumn("place", (within + F.coalesce("_before", F.lit(0))).cast("bigint")).drop("_range", "_n", "_before")

@@ -160,10 +160,11 @@ def _(spark, d):
     return found.select(F.col("a").alias("source"), F.col("b").alias("target")).distinct()
 
 
-@query("joi04_mention_chunks", "SELECT source AS entity, count(DISTINCT doc_id) AS n_chunks, min(doc_id) AS first_chunk, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS chunks FROM documents GROUP BY source")
+@query("joi04_mention_chunks", "SELECT source AS entity, doc_id // 500 AS part, count(DISTINCT doc_id) AS n_chunks, min(doc_id) AS first_chunk, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS chunks FROM documents GROUP BY 1, 2")
 def _(spark, d):
-    mentions = table(spark, d, "documents").groupBy("source").agg(F.sort_array(F.collect_set("doc_id")).alias("ids"))
-    return mentions.select(F.col("source").alias("entity"), F.size("ids").cast("bigint").alias("n_chunks"), F.col("ids")[0].alias("first_chunk"), F.concat_ws(",", F.col("ids").cast("array<string>")).alias("chunks"))
+    # An entity's chunks come in parts of a bounded range of ids, so that one with a third of all chunks is no single row.
+    mentions = table(spark, d, "documents").groupBy("source", F.expr("doc_id div 500").alias("part")).agg(F.sort_array(F.collect_set("doc_id")).alias("ids"))
+    return mentions.select(F.col("source").alias("entity"), "part", F.size("ids").cast("bigint").alias("n_chunks"), F.col("ids")[0].alias("first_chunk"), F.concat_ws(",", F.col("ids").cast("array<string>")).alias("chunks"))
 
 
 @query("joi05_polarity_lookup", f"WITH {EDGES_SQL}, p(relation, sign) AS (VALUES ('attacks', -1), ('supports', 1)) SELECT e.relation, coalesce(p.sign, 0) AS sign, count(*) AS n FROM e LEFT JOIN p ON e.relation = p.relation GROUP BY 1, 2")
