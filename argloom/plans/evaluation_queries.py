@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from argloom.functions import text as T
 from argloom.operators import evaluation as V
 from argloom.operators import retrieval as R
-from argloom.operators import relational as R
+from argloom.operators.relational import ranked
 from argloom.plans.bindings import EDGES_SQL, NODES_SQL, PREDICTIONS_SQL, SNAPSHOTS_SQL, edges, nodes, predictions, query, snapshots, table
 from argloom.plans.scalar_queries import EMBED_SQL
 
@@ -120,7 +120,7 @@ def _(spark, d):
 @query("win15_leaderboard", "SELECT user_id, rank() OVER (ORDER BY sum(value)::DECIMAL(18, 2) DESC) AS place FROM events GROUP BY user_id")
 def _(spark, d):
     total = table(spark, d, "events").groupBy("user_id").agg(F.sum("value").cast("decimal(18,2)").alias("total"))
-    return R.ranked(total, "total", 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))).select("user_id", "place")
+    return ranked(total, "total", 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))).select("user_id", "place")
 
 
 @query("win16_running_offset", "SELECT conv_id, turn, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM conversations")

@@ -1,5 +1,8 @@
 """Every registered query of the library against its SQL on the smallest tables."""
 
+import ast
+from pathlib import Path
+
 import duckdb
 import pandas as pd
 import pytest
@@ -39,3 +42,9 @@ def test_entry_module():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(QUERIES) <= set(entry.queries())
+
+
+def test_no_module_imports_two_things_under_one_name():
+    for path in Path(__file__).resolve().parent.parent.joinpath("argloom").rglob("*.py"):
+        names = [a.asname or a.name for x in ast.parse(path.read_text()).body if isinstance(x, ast.Import | ast.ImportFrom) for a in x.names]
+        assert len(names) == len(set(names)), path
