@@ -14,10 +14,13 @@ from argloom.llm.chat_format import conversation_digests, expand
 from argloom.llm.cuckoo_dedup import exact_groups
 from argloom.llm.gru_lm import score
 from argloom.llm.jaccard_join import jaccard_classes
+from argloom.llm.license_scan import find_notices, notice_digest
 from argloom.llm.pfair_mixing import mix_order
 from argloom.llm.quality_rules import quality_report
 from argloom.llm.rlz_dedup import parse_against_earlier
 from argloom.llm.secret_scan import scan
+from argloom.llm.shallot import cluster
+from argloom.llm.token_alignment import align
 from argloom.llm.virtual_slots import shard_by_bytes
 
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -155,6 +158,48 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), RANK_FILE, public_tokenizers.PATTERN)
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notice_digest(find_notices(table(spark, sf_dir, "documents")))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_shallot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql(rounds: int = 10) -> str:
+    """One step a round: each component of a vector meets each centroid's, the nearest centroid is taken, and the means are rounded down."""
+    assign = (
+        "a{i} AS MATERIALIZED (SELECT rid, k, dist FROM (SELECT v.rid, c.k, sum((v.x - c.x) * (v.x - c.x)) AS dist, row_number() OVER (PARTITION BY v.rid ORDER BY sum((v.x - c.x) * (v.x - c.x)), c.k) AS place"
+        " FROM v JOIN c{i} c ON v.i = c.i GROUP BY v.rid, c.k) WHERE place = 1)"
+    )
+    means = (
+        "c{n} AS MATERIALIZED (SELECT c.k, c.i, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN (SELECT k, i, CASE WHEN s >= 0 THEN s // n ELSE -((n - 1 - s) // n) END AS x"
+        " FROM (SELECT a.k, v.i, sum(v.x) AS s, count(*) AS n FROM a{i} a JOIN v ON v.rid = a.rid GROUP BY 1, 2)) m ON m.k = c.k AND m.i = c.i)"
+    )
+    steps = [assign.format(i=0)]
+    for i in range(rounds):
+        steps += [means.format(i=i, n=i + 1), assign.format(i=i + 1)]
+    return f"""
+WITH e AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, embedding FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+v AS MATERIALIZED (SELECT rid, i, floor(1024 * embedding[i]::DOUBLE)::BIGINT AS x FROM e, range(1, 65) r(i)),
+f AS (SELECT rid, row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), embedding) - 1 AS k FROM e),
+c0 AS MATERIALIZED (SELECT k, i, x FROM f JOIN v ON v.rid = f.rid WHERE k < 8),
+{", ".join(steps)},
+h AS (SELECT k, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY k)
+SELECT vec_id, a.k::INT AS cluster, dist::BIGINT AS distance, (sum(dist) OVER (PARTITION BY a.k))::BIGINT AS cluster_inertia, (sum(dist) OVER ())::BIGINT AS inertia, centroid_sha256,
+       count(*) OVER (PARTITION BY a.k) AS size
+FROM a{rounds} a JOIN e ON e.rid = a.rid JOIN h ON h.k = a.k
+"""
+
+
+OP13_SQL = _op13_sql()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_secret_scan": op2_secret_scan,
@@ -166,6 +211,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_gru_lm": op9_gru_lm,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_license_scan": op11_license_scan,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_shallot_clusters": op13_shallot_clusters,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -174,4 +222,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": OP5_SQL,
     "op7_chat_format": OP7_SQL,
     "op8_exact_dedup": OP8_SQL,
+    "op13_shallot_clusters": OP13_SQL,
 }
