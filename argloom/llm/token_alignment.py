@@ -6,6 +6,10 @@ links*: pairs of tokens with the number of bytes that they share.  Where a token
 token sequences are cut; the pieces are *groups*.  The product of the incidence of ids in groups gives the *shared-group
 links*: pairs of ids with the number of pairs of their tokens that stand in one group.
 
+A text is cut into segments at single spaces between visible characters.  Neither tokenizer makes a token across such a
+place, so a segment's tokens, groups and links are the same wherever it stands, and matrices are built once for each
+different segment that a task meets; a document's results are sums over its segments.
+
 How many documents link a pair of ids is a count over all documents.  Documents are kept in chunks of bounded size that name
 each pair once, so what is shuffled is a row per chunk and pair, however many documents of a chunk hold the pair.
 """
@@ -13,7 +17,9 @@ each pair once, so what is shuffled is a row per chunk and pair, however many do
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -30,6 +36,9 @@ from argloom.llm._words import ranges
 
 #: Bytes of text whose matrices are built at a time, and of a chunk of documents (one longer text goes alone).
 BLOCK_BYTES, CHUNK_BYTES = 1 << 19, 1 << 22
+#: Segments that a task remembers at most before it forgets all.
+REMEMBERED = 300_000
+_SEGMENT_END = re.compile(r" (?=\S)(?<=\S )")
 #: Products of entries that a row product makes at a time (one larger row goes alone).
 _PRODUCTS = 1 << 21
 
@@ -91,6 +100,9 @@ class _Model:
         self.digit_lens = np.array([len(x) for x in decimal], np.int64)
         self.digit_starts = np.cumsum(self.digit_lens) - self.digit_lens
 
+    #: Whether a single space between visible characters always starts a token.
+    splits_at_spaces = False
+
     def ids(self, texts: list[str]) -> list[list[int]]:
         raise NotImplementedError
 
@@ -112,6 +124,9 @@ class _ByteBpe(_Model):
         for piece, i in vocabulary.items():
             pieces[i] = bytes(byte_of[x] for x in piece) if all(x in byte_of for x in piece) else piece.encode()
         super().__init__(pieces)
+        with open(path, encoding="utf-8") as file:
+            before = json.load(file).get("pre_tokenizer") or {}
+        self.splits_at_spaces = before.get("type") == "ByteLevel" and before.get("use_regex", True)
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast([" " + x for x in texts], add_special_tokens=False)]
@@ -126,6 +141,7 @@ class _Pieces(_Model):
         self.processor = SentencePieceProcessor(model_file=path)
         one = self.processor
         super().__init__([bytes([int(one.id_to_piece(i)[3:5], 16)]) if one.is_byte(i) else one.id_to_piece(i).replace("▁", " ").encode() for i in range(one.get_piece_size())])
+        self.splits_at_spaces = not any(re.search("[^▁]▁", one.id_to_piece(i)) for i in range(one.get_piece_size()))
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         return self.processor.encode(texts, num_threads=1)
@@ -177,8 +193,8 @@ class Block:
         for row, column, value in row_products(ids_in_groups, groups):
             yield document[key_a[row] >> 32], (key_a[row] & 0xFFFFFFFF) * n_b + column, value
 
-    def digests(self, models: tuple[_Model, _Model]) -> list[str]:
-        """Of each document, the SHA-256 of its groups in decimal: ``a1,a2|b1;a3|b2,b3``."""
+    def in_decimal(self, models: tuple[_Model, _Model]) -> list[bytes]:
+        """Of each document, its groups in decimal: ``a1,a2|b1;a3|b2,b3``."""
         n_groups = int(self.first_group[-1])
         in_a, in_b = np.bincount(self.group_a, minlength=n_groups), np.bincount(self.group_b, minlength=n_groups)
         upto_a, upto_b = np.cumsum(in_a), np.cumsum(in_b)
@@ -191,14 +207,11 @@ class Block:
             start[place], size[place], after[place] = model.digit_starts[ids] + (0 if mark == b"|" else len(models[0].digits)), model.digit_lens[ids], ord(",")
             after[last] = ord(mark)
         digits = np.concatenate([models[0].digits, models[1].digits])
+        text = digits[ranges(start, size)]
         ends = np.concatenate([[0], np.cumsum(size)])
-        first = self.first_a + self.first_b
-        found = []
-        for i, j in zip(first, first[1:], strict=False):
-            text = digits[ranges(start[i:j], size[i:j])]
-            text[ends[i + 1 : j + 1] - ends[i] - 1] = after[i:j]
-            found.append(hashlib.sha256(text[:-1].tobytes()).hexdigest() if j > i else "")
-        return found
+        text[ends[1:] - 1] = after
+        whole, at = text.tobytes(), ends[self.first_a + self.first_b]
+        return [whole[i : j - 1] for i, j in zip(at, at[1:], strict=False)]
 
 
 def _counted(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -212,22 +225,75 @@ def _counted(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarr
     return key[new], np.add.reduceat(value, new)
 
 
-class _Chunk:
-    """Documents of about :data:`CHUNK_BYTES`, with what each links."""
+def _lengths(model: _Model, ids: list[list[int]]) -> list[int]:
+    """The bytes of each list of ids."""
+    n = np.array([len(x) for x in ids], np.int64)
+    return _row_sums(model.lens[np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))], n).tolist()
+
+
+def _ids_of_lines(model: _Model, texts: list[str], width: int = 256) -> list[list[int]]:
+    """The ids of segments, made for lines of many of them; those that begin or end with white space go alone."""
+    joined = [i for i, x in enumerate(texts) if not (x[0].isspace() or x[-1].isspace())]
+    lines = [joined[i : i + width] for i in range(0, len(joined), width)]
+    alone = sorted(set(range(len(texts))).difference(joined))
+    found: list[list[int]] = [[]] * len(texts)
+    for line, ids in zip(lines, model.ids([" ".join([texts[i] for i in line]) for line in lines]), strict=True):
+        ends = np.cumsum(model.lens[ids])
+        want = np.cumsum([len(texts[i].encode()) + 1 for i in line])
+        at = np.searchsorted(ends, want)
+        if not len(ends) or at[-1] >= len(ends) or (ends[at] != want).any():  # the model changes a text
+            alone += line
+        else:
+            start = 0
+            for i, stop in zip(line, (at + 1).tolist(), strict=True):
+                found[i] = ids[start:stop]
+                start = stop
+    for i, ids in zip(alone, model.ids([texts[i] for i in alone]), strict=True):
+        found[i] = ids
+    return found
+
+
+class _Lexicon:
+    """The segments that a task has met: numbers (tokens of A and of B, groups, links, overlaps), groups in decimal, and linked pairs of ids with how often."""
 
     def __init__(self, models: tuple[_Model, _Model]):
         self.models = models
-        self.bytes = 0
-        self.doc_ids: list = []
-        self.columns: list[list] = [[] for _ in range(6)]
-        self.linked: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def add(self, doc_ids: list, texts: list[str]) -> None:
-        a, b = (m.ids(texts) for m in self.models)
+        self.at: dict[str, int] = {}
+        self.decimal: list[bytes] = []
+        self.whole: list[bool] = []
+        self._parts: dict[str, list[np.ndarray]] = {x: [] for x in ("numbers", "n_pairs", "pair", "times")}
+
+    def table(self, name: str) -> np.ndarray:
+        """``numbers`` and ``n_pairs`` by segment; ``pair`` and ``times`` of all segments' links, one segment after the other."""
+        parts = self._parts[name]
+        if len(parts) != 1:
+            parts[:] = [np.concatenate([*parts, np.zeros((0, 5) if name == "numbers" else 0, np.int64)])]
+        return parts[0]
+
+    def places(self, segments: list[str]) -> list[int]:
+        new = [x for x in dict.fromkeys(segments) if x not in self.at]
+        i = 0
+        while i < len(new):
+            j, size = i + 1, len(new[i])
+            while j < len(new) and size + len(new[j]) <= BLOCK_BYTES:
+                size += len(new[j])
+                j += 1
+            self._learn(new[i:j])
+            i = j
+        return [self.at[x] for x in segments]
+
+    def _learn(self, texts: list[str]) -> None:
+        """Texts whose tokens do not give back one space and the text have no tokens."""
+        a = _ids_of_lines(self.models[0], texts) if self.models[0].splits_at_spaces else self.models[0].ids(texts)
+        b = self.models[1].ids(texts)
         want = [b" " + x.encode() for x in texts]
-        for i, text in enumerate(want):
-            if not texts[i] or any(b"".join(map(m.pieces.__getitem__, x[i])) != text for m, x in zip(self.models, (a, b), strict=True)):
-                a[i] = b[i] = []
+        if all(b"".join(map(m.pieces.__getitem__, chain.from_iterable(x))) == b"".join(want) and _lengths(m, x) == list(map(len, want)) for m, x in zip(self.models, (a, b), strict=True)):
+            whole = [True] * len(texts)
+        else:
+            whole = [all(b"".join(map(m.pieces.__getitem__, x)) == w for m, x in zip(self.models, (x, y), strict=True)) for x, y, w in zip(a, b, want, strict=True)]
+            a, b = ([x if w else [] for x, w in zip(xs, whole, strict=True)] for xs in (a, b))
+        self.at.update(zip(texts, range(len(self.at), len(self.at) + len(texts)), strict=True))
+        self.whole += whole
         block = Block.of(a, b, self.models)
         n_b, n = len(self.models[1].pieces), len(texts)
         overlaps = np.zeros(n, np.int64)
@@ -239,30 +305,72 @@ class _Chunk:
             keys.append(document * wide + pair)
             values.append(value)
         key, value = _counted(keys, values)
-        document = key // wide
-        at = np.searchsorted(document, np.arange(n + 1))
-        self.linked += [(key[i:j] % wide, value[i:j]) for i, j in zip(at, at[1:], strict=False)]
-        new = (np.diff(block.first_a), np.diff(block.first_b), np.diff(block.first_group), links, overlaps)
-        for column, values_ in zip(self.columns, (*(x.tolist() for x in new), block.digests(self.models)), strict=True):
-            column += values_
+        new = (np.stack([np.diff(block.first_a), np.diff(block.first_b), np.diff(block.first_group), links, overlaps], axis=1), np.bincount(key // wide, minlength=n), key % wide, value)
+        for part, values_ in zip(self._parts.values(), new, strict=True):
+            part.append(values_)
+        self.decimal += block.in_decimal(self.models)
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]]
+
+
+def _row_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums over the first ``counts[0]`` rows, the next ``counts[1]``, and so on."""
+    return np.diff(np.concatenate([np.zeros((1, *values.shape[1:]), np.int64), np.cumsum(values, axis=0)])[np.concatenate([[0], np.cumsum(counts)])], axis=0)
+
+
+class _Chunk:
+    """Documents of about :data:`CHUNK_BYTES`, with the segments of each."""
+
+    def __init__(self, lexicon: _Lexicon):
+        self.lexicon = lexicon
+        self.bytes = 0
+        self.doc_ids: list = []
+        self.digests: list[str] = []
+        self.segments: list[np.ndarray] = []
+
+    def add(self, doc_ids: list, texts: list[str]) -> None:
+        known, split = self.lexicon, all(m.splits_at_spaces for m in self.lexicon.models)
+        parts = [(_SEGMENT_END.split(x) if split else [x]) if x else [] for x in texts]
+        flat, i = known.places([x for p in parts for x in p]), 0
+        for text, part in zip(texts, parts, strict=True):
+            at = flat[i : i + len(part)]
+            i += len(part)
+            if not all(map(known.whole.__getitem__, at)):
+                at = [x for x in known.places([text]) if known.whole[x]]
+            self.digests.append(hashlib.sha256(b";".join(map(known.decimal.__getitem__, at))).hexdigest() if at else "")
+            self.segments.append(np.array(at, np.int64))
+            self.bytes += len(text)
         self.doc_ids += doc_ids
-        self.bytes += sum(map(len, want))
 
     def row(self, chunk: int, id_type: pa.DataType) -> pa.RecordBatch:
-        pairs, place, documents = np.unique(np.concatenate([x for x, _ in self.linked] or [np.zeros(0, np.int64)]), return_inverse=True, return_counts=True)
-        counts = np.concatenate([x for _, x in self.linked] or [np.zeros(0, np.int64)])
+        known, n_docs = self.lexicon, len(self.doc_ids)
+        used, segment = np.unique(np.concatenate([*self.segments, np.zeros(0, np.int64)]), return_inverse=True)
+        n_segments = np.array([len(x) for x in self.segments], np.int64)
+        totals = _row_sums(known.table("numbers")[used][segment], n_segments)
+        every = known.table("n_pairs")
+        n_pairs = every[used]
+        links = ranges((np.cumsum(every) - every)[used], n_pairs)
+        pairs, place = np.unique(known.table("pair")[links], return_inverse=True)
+        once = _distinct(np.repeat(np.arange(n_docs), n_segments) * max(len(used), 1) + segment)
+        document, of = np.divmod(once, max(len(used), 1))
+        first = np.cumsum(n_pairs) - n_pairs
+        held = _distinct(np.repeat(document, n_pairs[of]) * max(len(pairs), 1) + place[ranges(first[of], n_pairs[of])])
+        documents = np.bincount(held % max(len(pairs), 1), minlength=len(pairs))[: len(pairs)]
         one = lambda x, kind: pa.array([x], pa.list_(kind))
-        numbers = [one(x, pa.int64()) for x in self.columns[:5]]
+        packed = lambda x: pa.array([np.ascontiguousarray(x, "<i4").tobytes()])
         return pa.RecordBatch.from_arrays(
-            [pa.array([chunk]), one(self.doc_ids, id_type), *numbers, one(self.columns[5], pa.string()), one([len(x) for x, _ in self.linked], pa.int64()), pa.array([place.astype("<i4").tobytes()]), pa.array([counts.astype("<i8").tobytes()]), one(pairs, pa.int64()), one(documents, pa.int64())],
-            names=["chunk", "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_overlaps", "groups_sha256", "n_pairs", "place", "times", "pairs", "documents"],
+            [pa.array([chunk]), one(self.doc_ids, id_type), *(one(x, pa.int64()) for x in totals.T), one(self.digests, pa.string()), one(n_segments, pa.int64()), packed(segment), packed(n_pairs), packed(place), pa.array([known.table("times")[links].astype("<i8").tobytes()]), one(pairs, pa.int64()), one(documents, pa.int64())],
+            names=["chunk", "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_overlaps", "groups_sha256", "n_segments", "segment", "n_pairs", "place", "times", "pairs", "documents"],
         )
 
 
 def _align(path_a: str, path_b: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = _models(path_a, path_b)
-        chunk, number, id_type = _Chunk(models), TaskContext.get().partitionId() << 32, None
+        lexicon = _Lexicon(_models(path_a, path_b))
+        chunk, number, id_type = _Chunk(lexicon), TaskContext.get().partitionId() << 32, None
         for batch in batches:
             id_type = batch.column(0).type
             ids, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
@@ -276,7 +384,9 @@ def _align(path_a: str, path_b: str):
                 i = j
                 if chunk.bytes >= CHUNK_BYTES:
                     yield chunk.row(number, id_type)
-                    chunk, number = _Chunk(models), number + 1
+                    if len(lexicon.at) > REMEMBERED:
+                        lexicon = _Lexicon(lexicon.models)
+                    chunk, number = _Chunk(lexicon), number + 1
         if chunk.doc_ids:
             yield chunk.row(number, id_type)
 
@@ -297,10 +407,10 @@ def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(found):
                 at = found.field("at").to_numpy()
                 count[at], top[at] = found.field("count").to_numpy(), found.field("top").to_numpy(zero_copy_only=False)
-            place, times = (np.frombuffer(row.column(name)[0].as_buffer(), kind) for name, kind in (("place", "<i4"), ("times", "<i8")))
-            ends = np.concatenate([[0], np.cumsum(array("n_pairs").to_numpy())])
-            total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[ends])  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([*(array(x) for x in _OUT), pa.array(total(times * top[place])), pa.array(total(times * count[place]))], names=[*_OUT, "n_best", "count_sum"])
+            segment, n_pairs, place = (np.frombuffer(row.column(name)[0].as_buffer(), "<i4") for name in ("segment", "n_pairs", "place"))  # noqa: B023
+            times = np.frombuffer(row.column("times")[0].as_buffer(), "<i8")
+            total = lambda x: _row_sums(_row_sums(times * x[place], n_pairs)[segment], array("n_segments").to_numpy())  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([*(array(x) for x in _OUT), pa.array(total(top)), pa.array(total(count))], names=[*_OUT, "n_best", "count_sum"])
 
 
 def align(docs: DataFrame, byte_bpe: str, pieces: str) -> DataFrame:
@@ -316,8 +426,8 @@ def align(docs: DataFrame, byte_bpe: str, pieces: str) -> DataFrame:
     """
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    lists = ", ".join(f"{x} array<{t}>" for x, t in [("doc_id", id_type), *((x, "bigint") for x in _OUT[1:6]), ("groups_sha256", "string"), ("n_pairs", "bigint")])
-    schema = f"chunk bigint, {lists}, place binary, times binary, pairs array<bigint>, documents array<bigint>"
+    lists = ", ".join(f"{x} array<{t}>" for x, t in [("doc_id", id_type), *((x, "bigint") for x in _OUT[1:6]), ("groups_sha256", "string"), ("n_segments", "bigint")])
+    schema = f"chunk bigint, {lists}, segment binary, n_pairs binary, place binary, times binary, pairs array<bigint>, documents array<bigint>"
     path = shared_path(spark, "alignment")
     in_batches(docs.select("doc_id", "text")).mapInArrow(_align(byte_bpe, pieces), schema).write.option("compression", "zstd").parquet(path)
     chunks = spark.read.schema(schema).parquet(path)
