@@ -37,7 +37,8 @@ from argloom.llm._words import ranges
 #: Bytes of text whose matrices are built at a time, and of a chunk of documents (one longer text goes alone).
 BLOCK_BYTES, CHUNK_BYTES = 1 << 19, 1 << 22
 #: Segments that a task remembers at most before it forgets all.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _SEGMENT_END = re.compile(r" (?=\S)(?<=\S )")
 #: Products of entries that a row product makes at a time (one larger row goes alone).
 _PRODUCTS = 1 << 21
@@ -425,6 +426,7 @@ def align(docs: DataFrame, byte_bpe: str, pieces: str) -> DataFrame:
     Tokens are made once; their links are stored in the shared checkpoint folder and read from there.
     """
     spark = docs.sparkSession
+    spark.conf.set(_BATCH_BYTES, str(CHUNK_BYTES))  # rows are chunks: a worker is sent one or two at a time
     id_type = docs.schema["doc_id"].dataType.simpleString()
     lists = ", ".join(f"{x} array<{t}>" for x, t in [("doc_id", id_type), *((x, "bigint") for x in _OUT[1:6]), ("groups_sha256", "string"), ("n_segments", "bigint")])
     schema = f"chunk bigint, {lists}, segment binary, n_pairs binary, place binary, times binary, pairs array<bigint>, documents array<bigint>"
