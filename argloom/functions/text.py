@@ -155,6 +155,22 @@ def hash_embedding(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return slots.join(norm, "id").select("id", "slot", (F.col("x") / F.col("norm")).alias("x"))
 
 
+def sparse_embedding(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The vectors of :func:`hash_embedding` as rows ``id, slots, xs``; a text without tokens, or whose signs cancel out, has none."""
+    tokens = docs.select(F.col(id_col).alias("id"), F.explode(F.regexp_extract_all(F.lower(text_col), F.lit("[\\p{L}\\p{N}_]+"), F.lit(0))).alias("token"))
+    byte = F.conv(F.right(F.md5(F.encode("token", "UTF-8")), F.lit(2)), 16, 10).cast("int")
+    slots = tokens.withColumn("byte", byte).groupBy("id", (F.col("byte") % 128).alias("slot")).agg(F.sum(F.when(F.col("byte") >= 128, 1).otherwise(-1)).alias("x")).filter("x <> 0")
+    rows = slots.groupBy("id").agg(F.collect_list(F.struct("slot", "x")).alias("_v"))  # 128 slots at most
+    norm = F.sqrt(F.aggregate("_v", F.lit(0).cast("bigint"), lambda s, v: s + v["x"] * v["x"]))
+    return rows.withColumn("_n", norm).select("id", F.transform("_v", lambda v: v["slot"]).alias("slots"), F.transform("_v", lambda v: v["x"] / F.col("_n")).alias("xs"))
+
+
+def dense(sparse: DataFrame, dim: int = 128) -> DataFrame:
+    """``id, v`` of sparse rows."""
+    at = F.map_from_arrays("slots", "xs")
+    return sparse.select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(at, i), F.lit(0.0))).alias("v"))
+
+
 def redact(props: Column, pattern: str) -> Column:
     """A string map with the values of matching keys hidden."""
     return F.transform_values(props, lambda k, v: F.when(F.lower(k).rlike(pattern), F.lit("***")).otherwise(v))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from argloom.functions.scores import soft_gate, unit
+from argloom.operators.phrases import find_phrases
 
 # Parts of the weighted blends of a node's match, by what the reference node has.
 NODE_BLENDS = {
@@ -137,3 +138,18 @@ def metric_winner(metric: Column, a: Column, b: Column) -> Column:
     """Which of two values of a metric is better: costs, times and error rates are better when lower."""
     lower = F.lower(metric).rlike("cost|token|latency|duration|time|omission_rate|hallucination_rate|error|aor")
     return F.when(a == b, "tie").when((a > b) != lower, "a").otherwise("b")
+
+
+def claimants(clusters: DataFrame, theories: DataFrame) -> DataFrame:
+    """``cluster_id, theory_id``: a theory claims a cluster if they share a dimension (whatever its case) or a node, or if the cluster's text names the theory.
+
+    ``clusters(cluster_id, dimensions, text, node_ids)``, ``theories(theory_id, name, dimensions, node_ids)``.  Each of the three
+    conditions is a join of its own on a key, or a phrase search; their rows are united.
+    """
+    def shared(column):
+        value = lambda df, key: df.select(key, F.explode(column).alias("v")).select(key, F.lower("v").alias("v") if column == "dimensions" else "v").filter("v IS NOT NULL").distinct()
+        return value(clusters, "cluster_id").join(value(theories, "theory_id"), "v").select("cluster_id", "theory_id")
+
+    texts = clusters.select(F.col("cluster_id").alias("doc_id"), F.lower("text").alias("text"))
+    named = find_phrases(texts, theories.select(F.col("theory_id").alias("phrase_id"), F.lower("name").alias("phrase"))).select(F.col("doc_id").alias("cluster_id"), F.col("phrase_id").alias("theory_id"))
+    return shared("dimensions").unionByName(shared("node_ids")).unionByName(named).distinct()

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from argloom.functions import text as T
 from argloom.operators import evaluation as V
 from argloom.operators import retrieval as R
+from argloom.operators import vector_join as J
+from argloom.operators.phrases import find_phrases
 from argloom.operators.relational import ranked
 from argloom.plans.bindings import EDGES_SQL, NODES_SQL, PREDICTIONS_SQL, SNAPSHOTS_SQL, edges, nodes, predictions, query, snapshots, table
 from argloom.plans.scalar_queries import EMBED_SQL
@@ -24,8 +26,8 @@ def ranking(spark, d, k=10):
 
 
 def gold(spark, d):
-    hits = table(spark, d, "documents").select("doc_id", "text").join(F.broadcast(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))), F.expr("contains(text, passage)"))
-    return hits.select("query_id", "doc_id")
+    passages = table(spark, d, "benchmark").select(F.col("item_id").alias("phrase_id"), F.col("text").alias("phrase"))
+    return find_phrases(table(spark, d, "documents"), passages).select(F.col("phrase_id").alias("query_id"), "doc_id")
 
 
 @query("ret03_vector_search_topk", f"WITH {_SEARCH} SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 10")
@@ -48,9 +50,10 @@ def _(spark, d):
 
 @query("ret06_diagnostics", f"WITH {_SEARCH}, g AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), h AS (SELECT g.query_id AS query_id, min(rank) AS first FROM g LEFT JOIN r ON r.query_id = g.query_id AND r.doc_id = g.doc_id GROUP BY 1) SELECT query_id, CASE WHEN first IS NULL THEN 'omitted_node' WHEN first > 10 THEN 'rank_cutoff' ELSE 'found' END AS outcome FROM h")
 def _(spark, d):
-    every = ranking(spark, d, 1 << 30)
-    first = gold(spark, d).join(every.select("query_id", "doc_id", "rank"), ["query_id", "doc_id"], "left").groupBy("query_id").agg(F.min("rank").alias("first"))
-    return first.select("query_id", F.when(F.col("first").isNull(), "omitted_node").when(F.col("first") > 10, "rank_cutoff").otherwise("found").alias("outcome"))
+    g, found = gold(spark, d), ranking(spark, d)
+    met = R.meets(table(spark, d, "documents"), table(spark, d, "benchmark").withColumnRenamed("item_id", "query_id"), g).withColumn("met", F.lit(1))
+    hits = g.join(found.select("query_id", "doc_id", "rank"), ["query_id", "doc_id"], "left").join(met, ["query_id", "doc_id"], "left").groupBy("query_id").agg(F.min("rank").alias("first"), F.max("met").alias("met"))
+    return hits.select("query_id", F.when(F.col("first").isNotNull(), "found").when(F.col("met").isNull(), "omitted_node").otherwise("rank_cutoff").alias("outcome"))
 
 
 def vectors(spark, d):
@@ -60,20 +63,77 @@ def vectors(spark, d):
 _PAIRS = "p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)"
 
 
-@query("clu01_consolidation", f"WITH RECURSIVE {_PAIRS}, l AS (SELECT a, b FROM p WHERE s >= 0.3 UNION SELECT b, a FROM p WHERE s >= 0.3), r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a) SELECT a AS id, min(b) AS canonical FROM r GROUP BY a")
+_SIGNS = "g AS (SELECT l_partkey AS id, list_sort(list(DISTINCT l_returnflag || l_linenumber % 3)) AS r FROM lineitem WHERE l_quantity > 40 GROUP BY 1), k AS (SELECT vec_id AS id, coalesce(r, []) AS r FROM embeddings LEFT JOIN g ON g.id = vec_id)"
+
+
+@query(
+    "clu01_consolidation",
+    f"WITH RECURSIVE {_PAIRS}, {_SIGNS}, q AS (SELECT a, b FROM p JOIN k x ON x.id = a JOIN k y ON y.id = b WHERE s >= 0.2 AND (len(list_distinct(list_concat(x.r, y.r))) = 0 OR len(list_intersect(x.r, y.r)) / len(list_distinct(list_concat(x.r, y.r))) >= 0.8)),"
+    " l AS (SELECT a, b FROM q UNION SELECT b, a FROM q), r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a) SELECT a AS id, min(b) AS canonical FROM r GROUP BY a",
+)
 def _(spark, d):
-    return R.consolidate(vectors(spark, d), 0.3)
+    relations = table(spark, d, "lineitem").filter("l_quantity > 40").select(F.col("l_partkey").alias("id"), F.concat("l_returnflag", (F.col("l_linenumber") % 3).cast("string")).alias("signature"))
+    return R.consolidate(vectors(spark, d), relations, 0.2, 0.8, 64)
 
 
 @query("clu03_borderline_band", f"WITH {_PAIRS} SELECT a, b, round(s, 5) AS similarity FROM p WHERE s BETWEEN 0.25 AND 0.3")
 def _(spark, d):
-    return R.similar_pairs(vectors(spark, d), 0.25).filter("similarity <= 0.3").select("a", "b", F.round("similarity", 5).alias("similarity"))
+    return J.similar_pairs(vectors(spark, d), 0.25, 64, 0.3).select("a", "b", F.round("similarity", 5).alias("similarity"))
+
+
+_NAMED = "texts AS (SELECT p_partkey, p_name || ' ' || p_type || ' ' || p_brand AS text FROM part)"
+
+
+@query(
+    "clu02_argument_clusters",
+    f"WITH RECURSIVE {_NAMED}, {EMBED_SQL.format(id='p_partkey', t='texts', name='v')}, u AS (SELECT id, string_agg(slot || ':' || x, ',' ORDER BY slot) AS key FROM v GROUP BY id), h AS (SELECT key, min(id) AS id FROM u GROUP BY key), hv AS (SELECT v.* FROM v JOIN h ON h.id = v.id),"
+    " s AS (SELECT a.id AS a, b.id AS b FROM hv a JOIN hv b ON a.slot = b.slot AND a.id <> b.id GROUP BY 1, 2 HAVING sum(a.x * b.x) >= 0.85), r AS (SELECT id AS a, id AS b FROM h UNION SELECT r.a, s.b FROM r JOIN s ON r.b = s.a),"
+    " c AS (SELECT u.id AS id, x.m AS cluster FROM u JOIN h ON h.key = u.key JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) x ON x.a = h.id) SELECT id, cluster FROM c QUALIFY count(*) OVER (PARTITION BY cluster) > 1",
+)
+def _(spark, d):
+    texts = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
+    return R.clusters(T.dense(T.sparse_embedding(texts, "p_partkey", "text")), 0.85, 128)
+
+
+@query("clu04_cluster_gate", "WITH c AS (SELECT p_name AS cluster, count(*) AS n, count(DISTINCT p_type) AS kinds, ('0x' || left(md5('audit' || p_name), 8))::BIGINT / 4294967296 AS u FROM part GROUP BY 1) SELECT cluster, n, CASE WHEN n < 2 THEN 'skip' WHEN kinds > 3 AND u < 0.25 THEN 'audit' WHEN kinds > 5 THEN 'reject' ELSE 'confirm' END AS verdict FROM c")
+def _(spark, d):
+    """Clusters of parts by name: mixed ones are audited by a repeatable draw, very mixed ones rejected."""
+    c = table(spark, d, "part").groupBy(F.col("p_name").alias("cluster")).agg(F.count("*").alias("n"), F.count_distinct("p_type").alias("kinds"))
+    draw = F.conv(F.substring(F.md5(F.encode(F.concat(F.lit("audit"), "cluster"), "UTF-8")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return c.select("cluster", "n", F.when(F.col("n") < 2, "skip").when((F.col("kinds") > 3) & (draw < 0.25), "audit").when(F.col("kinds") > 5, "reject").otherwise("confirm").alias("verdict"))
 
 
-@query("win01_top_partners", f"WITH {_PAIRS}, r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS k FROM p) SELECT a, b, k FROM r WHERE k <= 3")
+@query("joi10_similar_pairs", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 5) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) BETWEEN 0.33 AND 0.99")
+def _(spark, d):
+    every = vectors(spark, d).withColumn("label", F.lit(0))
+    return J.similar_pairs(every, 0.33, 64, 0.99).select("a", "b", F.round("similarity", 5).alias("similarity"))
+
+
+@query("joi10_join_report")
+def _(spark, d):
+    """How much of the join of all vectors the bounds leave to verify."""
+    return J.join_report(vectors(spark, d).withColumn("label", F.lit(0)), 0.6, 64)
+
+
+@query("win01_top_partners", f"WITH {_PAIRS}, r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY round(s, 12) DESC, b) AS k FROM p) SELECT a, b, k FROM r WHERE k <= 3")
+def _(spark, d):
+    return J.top_partners(vectors(spark, d), 3, 64).select("a", "b", F.col("k").cast("bigint").alias("k"))
+
+
+_MENTIONS = "m AS (SELECT item_id AS mention_id, text FROM benchmark), c AS (SELECT doc_id AS candidate_id, text FROM documents)"
+_WORDS = "list_distinct(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+'))"
+
+
+@query(
+    "top04_entity_links",
+    f"WITH {_SEARCH}, {_MENTIONS}, w AS (SELECT mention_id, candidate_id, {_WORDS.format('m.text')} AS mw, {_WORDS.format('c.text')} AS cw FROM r JOIN m ON m.mention_id = r.query_id JOIN c ON c.candidate_id = r.doc_id WHERE rank <= 10),"
+    " z AS (SELECT mention_id, candidate_id, len(list_intersect(mw, cw)) / len(list_distinct(list_concat(mw, cw))) AS score FROM w), b AS (SELECT mention_id, max(score) AS score, min(candidate_id) FILTER (score = (SELECT max(score) FROM z y WHERE y.mention_id = z.mention_id)) AS c, count(*) FILTER (score = (SELECT max(score) FROM z y WHERE y.mention_id = z.mention_id)) AS ties FROM z GROUP BY 1)"
+    " SELECT m.mention_id AS mention_id, CASE WHEN coalesce(score, 0) >= 0.25 AND ties = 1 THEN c END::VARCHAR AS candidate_id, round(coalesce(score, 0), 6) AS score, CASE WHEN coalesce(score, 0) < 0.25 THEN 'novel' WHEN ties > 1 THEN 'ambiguous' ELSE 'linked' END AS outcome FROM m LEFT JOIN b ON b.mention_id = m.mention_id",
+)
 def _(spark, d):
-    pairs = R.similar_pairs(vectors(spark, d), -2.0)
-    return pairs.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b")).cast("bigint")).filter("k <= 3").select("a", "b", "k")
+    mentions = table(spark, d, "benchmark").select(F.col("item_id").alias("mention_id"), "text")
+    candidates = table(spark, d, "documents").select(F.col("doc_id").alias("candidate_id"), "text")
+    return R.linked(mentions, candidates, 10, 0.25).withColumns({"score": F.round("score", 6), "candidate_id": F.col("candidate_id").cast("string")})
 
 
 @query("win02_next_chunk", "SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next_turn FROM conversations QUALIFY next_turn IS NOT NULL")
@@ -235,7 +295,7 @@ def _(spark, d):
 
 @query("eva01_greedy_matching")
 def _(spark, d):
-    pairs = R.similar_pairs(vectors(spark, d), 0.25).filter("a % 2 = 0 AND b % 2 = 1")
+    pairs = J.similar_pairs(vectors(spark, d), 0.25, 64).filter("a % 2 = 0 AND b % 2 = 1")
     return V.greedy_matching(pairs.select(F.col("a").alias("ref"), F.col("b").alias("pred"), F.round("similarity", 6).alias("score")), 0.25)
 
 

@@ -7,8 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from argloom.operators import communities as C
 from argloom.operators import graph as G
 from argloom.operators import qbaf as Q
+from argloom.operators import reachability as R
 from argloom.plans.bindings import TRADE_SQL, query, trade
 
 T = f"WITH RECURSIVE {TRADE_SQL.format(k=3)}"
@@ -81,7 +83,17 @@ def _(spark, d):
 
 @query("gra06_communities")
 def _(spark, d):
-    return G.label_communities(trade(spark, d, 2))
+    return C.communities(trade(spark, d, 2))
+
+
+@query("gra07_leiden")
+def _(spark, d):
+    return C.communities(trade(spark, d, 2), refine=True)
+
+
+@query("gra08_hierarchy")
+def _(spark, d):
+    return C.hierarchy(trade(spark, d, 2), limit=12)
 
 
 @query(
@@ -122,12 +134,17 @@ def _(spark, d):
 
 @query("gra16_reduction", T + _CLOSED + " SELECT source, target FROM d WHERE NOT EXISTS (SELECT 1 FROM d x JOIN r ON r.source = x.target WHERE x.source = d.source AND r.target = d.target)")
 def _(spark, d):
-    return G.reduction(dag(spark, d))
+    return R.reduction(dag(spark, d))
+
+
+@query("gra28_strong_components", T + NODES + ", r AS (SELECT source, target FROM t UNION SELECT r.source, t.target FROM r JOIN t ON r.target = t.source) SELECT id AS node_id, coalesce((SELECT min(x.target) FROM r x JOIN r y ON y.source = x.target AND y.target = x.source WHERE x.source = id AND x.target < id), id) AS component FROM v")
+def _(spark, d):
+    return R.strong_components(trade(spark, d))
 
 
 @query("gra17_cycles", T + ", r AS (SELECT source, target FROM t UNION SELECT r.source, t.target FROM r JOIN t ON r.target = t.source) SELECT source AS node_id FROM r WHERE source = target")
 def _(spark, d):
-    return G.on_cycles(trade(spark, d))
+    return R.on_cycles(trade(spark, d))
 
 
 @query("gra18_roots", T + DAG + " SELECT DISTINCT source AS node_id FROM d WHERE source NOT IN (SELECT target FROM d)")
@@ -213,3 +230,17 @@ def _(spark, d):
 def _(spark, d):
     nodes, edges = signed(spark, d)
     return Q.solve_acyclic(nodes, edges.filter("source < target")).select("node_id", F.round("strength", 5).alias("strength"))
+
+
+def _still_sql(rounds):
+    """Fixed-point rounds, which on this graph lead to the same equilibrium as the continuous dynamics."""
+    sql = T + SIGNED + ", k0 AS (SELECT id, tau, tau AS x FROM v)"
+    h = lambda e: f"(power(greatest({e}, 0), 2) / (1 + power(greatest({e}, 0), 2)))"
+    for k in range(rounds):
+        sql += f", k{k + 1} AS MATERIALIZED (SELECT id, tau, tau + (1 - tau) * {h('e')} - tau * {h('-e')} AS x FROM (SELECT v.id AS id, any_value(v.tau) AS tau, coalesce(sum(z.x * w * p), 0) AS e FROM v LEFT JOIN a ON target = v.id LEFT JOIN k{k} z ON z.id = source GROUP BY v.id))"
+    return sql + f" SELECT id AS node_id, round(x, 4) AS strength FROM k{rounds}"
+
+
+@query("qbf10_cyclic", _still_sql(40))
+def _(spark, d):
+    return Q.solve_cyclic(*signed(spark, d), rtol=1e-3, atol=1e-5, still=1e-7).select("node_id", F.round("strength", 4).alias("strength"))

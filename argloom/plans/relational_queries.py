@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from argloom.operators import relational as R
+from argloom.operators.vector_join import similar_pairs
 from argloom.plans.bindings import EDGES_SQL, NODES_SQL, PREDICTIONS_SQL, SNAPSHOTS_SQL, edges, nodes, predictions, query, snapshots, table
 
 N_E = f"WITH {NODES_SQL}, {EDGES_SQL} "
@@ -204,10 +205,8 @@ def _(spark, d):
     " FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) >= 0.3",
 )
 def _(spark, d):
-    v = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    pairs = v.select(F.col("vec_id").alias("a"), "label", F.col("v").alias("va")).join(v.select(F.col("vec_id").alias("b"), "label", F.col("v").alias("vb")), "label").filter("a < b")
-    return pairs.withColumn("similarity", dot).filter("similarity >= 0.3").select("a", "b", F.col("label"), F.round("similarity", 5).alias("similarity"))
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("v"))
+    return similar_pairs(v, 0.3, 64).withColumn("similarity", F.round("similarity", 5))
 
 
 @query("joi14_canonical_redirect", f"WITH {EDGES_SQL}, c AS (SELECT 's' || s_suppkey AS id, 's' || min(s_suppkey) OVER (PARTITION BY s_nationkey) AS canonical FROM supplier) SELECT coalesce(canonical, source) AS source, relation, count(*) AS n FROM e LEFT JOIN c ON c.id = e.source GROUP BY 1, 2")

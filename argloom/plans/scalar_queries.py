@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from argloom.functions import scores as S
 from argloom.functions import text as T
+from argloom.operators.phrases import find_phrases
 from argloom.plans.bindings import EDGES_SQL, NODES_SQL, PREDICTIONS_SQL, edges, nodes, predictions, query, table
 
 _NODE_RAW = "'str:' || CASE c_mktsegment WHEN 'BUILDING' THEN 'TheoreticalHypothesis' WHEN 'MACHINERY' THEN 'core-axiom' WHEN 'FURNITURE' THEN 'Claim' WHEN 'HOUSEHOLD' THEN 'ActualModel' ELSE 'Thing' END"
@@ -77,10 +78,11 @@ def _(spark, d):
     " / (greatest(strpos(d.text, b.text) - 1 + length(b.text), n_chars // 2)), 6) AS iou FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
 )
 def _(spark, d):
-    # The benchmark is small by nature; its passages are broadcast to the documents and looked up in each.
-    hits = table(spark, d, "documents").join(F.broadcast(table(spark, d, "benchmark").withColumnRenamed("text", "passage")), F.expr("contains(text, passage)"))
-    start = F.expr("locate(passage, text)") - 1
-    return hits.select("item_id", "doc_id", start.cast("bigint").alias("start"), F.round(S.span_iou(start, start + F.length("passage"), F.lit(0), F.floor(F.col("n_chars") / 2)), 6).alias("iou"))
+    passages = table(spark, d, "benchmark").select(F.col("item_id").alias("phrase_id"), F.col("text").alias("phrase"))
+    docs = table(spark, d, "documents")
+    hits = find_phrases(docs, passages).join(docs.select("doc_id", "n_chars"), "doc_id").join(passages, "phrase_id").withColumnRenamed("phrase_id", "item_id")
+    start = F.col("start")
+    return hits.select("item_id", "doc_id", start.cast("bigint").alias("start"), F.round(S.span_iou(start, start + F.length("phrase"), F.lit(0), F.floor(F.col("n_chars") / 2)), 6).alias("iou"))
 
 
 @query(
