@@ -6,9 +6,11 @@ Every round, each row merges its leftmost pair of minimum rank: ranks of pairs
 come from a hashed table, only the two pairs beside a merge are looked up anew,
 and rows are compacted by one column.  Rows without a pair to merge leave.
 
-A piece longer than ``LONG_PIECE`` bytes would need as many rounds as it has
-bytes over a matrix as wide; such a piece is merged with a heap of its pairs,
-which makes the same merges in the same order.
+A piece longer than ``LONG_PIECE`` bytes is a row of its own.  A round of it merges
+all places of the minimum rank that do not overlap, which is what single merges
+from the left would do, unless a pair that comes of a merge has no higher rank;
+then the round makes the leftmost merge alone.  Rounds so follow the ranks that
+the row meets, and a round looks at the places of one rank, not at the whole row.
 
 Ids are kept as packed little-endian unsigned 32-bit integers in a binary column.
 
@@ -96,15 +98,6 @@ class PairTable:
             left, keys, at = left[on], keys[on], (at[on] + 1) & self.mask
         return out
 
-    def get(self, a: int, b: int) -> int:
-        key = a << 32 | b
-        at = (key * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> (64 - self.bits)
-        while (there := int(self.keys[at])) != -1:
-            if there == key:
-                return int(self.values[at])
-            at = (at + 1) & int(self.mask)
-        return int(_NONE)
-
 
 class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
@@ -140,7 +133,7 @@ class Codec:
             if whole is not None:
                 self.known[piece] = whole.to_bytes(4, "little")
             elif len(raw) > LONG_PIECE:
-                self.known[piece] = np.array(self._merge_long(raw), "<u4").tobytes()
+                self.known[piece] = self._merge_long(raw).astype("<u4").tobytes()
             else:
                 by_length.setdefault(_width(len(raw)), []).append((piece, raw))
         for width, group in by_length.items():
@@ -183,28 +176,63 @@ class Codec:
             rank[right, best[right]] = self.pairs.look_up(ids[right, best[right]], ids[right, best[right] + 1])
         return out
 
-    def _merge_long(self, raw: bytes) -> list[int]:
-        ids = self.byte[np.frombuffer(raw, np.uint8)]
+    def _merge_long(self, raw: bytes) -> np.ndarray:
+        """The ids of one long row.  A round merges all pairs of minimum rank that do not overlap, from the left; only the leftmost one if a pair that comes of them has no higher rank."""
+        ids = self.byte[np.frombuffer(raw, np.uint8)].copy()
         n = len(ids)
-        first = self.pairs.look_up(ids[:-1], ids[1:])
-        ids, before, after = ids.tolist(), list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(int(first[i]), int(i), i + 1) for i in np.flatnonzero(first < _NONE).tolist()]
-        heapq.heapify(heap)
-        live = [True] * n
-        while heap:
-            rank, i, j = heapq.heappop(heap)
-            if not live[i] or j >= n or after[i] != j or self.pairs.get(ids[i], ids[j]) != rank:
+        after, before, live = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
+        rank = np.append(self.pairs.look_up(ids[:-1], ids[1:]), _NONE)
+        places: dict[int, list[np.ndarray]] = {}
+
+        def note(at: np.ndarray) -> None:
+            """Files places under the ranks of their pairs."""
+            at = at[rank[at] < _NONE]
+            at = at[np.argsort(rank[at], kind="stable")]
+            found, first = np.unique(rank[at], return_index=True)
+            for r, part in zip(found.tolist(), np.split(at, first[1:]), strict=True) if len(at) else ():
+                if r not in places:
+                    heapq.heappush(ranks, r)
+                places.setdefault(r, []).append(part)
+
+        def merge(left: np.ndarray, r: int) -> np.ndarray:
+            """Merges each of ``left`` with what follows; gives back the places whose pairs are new."""
+            right = after[left]
+            beyond = after[right]
+            ids[left], live[right], after[left], rank[right] = r, False, beyond, _NONE
+            inner = beyond < n
+            before[beyond[inner]] = left[inner]
+            new = np.unique(np.concatenate([left, before[left][before[left] >= 0]]))
+            new = new[live[new]]
+            paired = new[after[new] < n]
+            rank[new] = _NONE
+            rank[paired] = self.pairs.look_up(ids[paired], ids[after[paired]])
+            return new
+
+        ranks: list[int] = []
+        note(np.arange(n - 1))
+        while ranks:
+            r = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[live[at] & (rank[at] == r)]
+            if not len(at):
                 continue
-            ids[i] = rank
-            live[j] = False
-            k = after[i] = after[j]
-            if k < n:
-                before[k] = i
-                if (r := self.pairs.get(rank, ids[k])) < _NONE:
-                    heapq.heappush(heap, (r, i, k))
-            if (h := before[i]) >= 0 and (r := self.pairs.get(ids[h], rank)) < _NONE:
-                heapq.heappush(heap, (r, h, i))
-        return [x for x, on in zip(ids, live, strict=True) if on]
+            start = np.concatenate([[True], after[at[:-1]] != at[1:]])  # of runs of pairs that overlap
+            first = np.flatnonzero(start)[np.cumsum(start) - 1]
+            left = at[(np.arange(len(at)) - first) % 2 == 0]
+            right = after[left]
+            beyond, front = after[right], before[left]
+            a = np.where(front >= 0, ids[np.maximum(front, 0)], -1)
+            touch = np.concatenate([[False], beyond[:-1] == left[1:]])
+            a = np.where(touch, r, a)
+            b = np.where(beyond < n, ids[np.minimum(beyond, n - 1)], -1)
+            made = np.full(len(left), r, np.int32)
+            least = min(int(self.pairs.look_up(a.astype(np.int32), made).min()), int(self.pairs.look_up(made, b.astype(np.int32)).min()))
+            if least <= r and len(left) > 1:
+                new = merge(left[:1], r)
+                note(np.concatenate([new, at[1:][rank[at[1:]] == r]]))
+            else:
+                note(merge(left, r))
+        return ids[live]
 
     def decode(self, packed: bytes) -> bytes:
         ids = np.frombuffer(packed, "<u4").astype(np.int64)
