@@ -115,8 +115,9 @@ def mix_order(docs: DataFrame, shares: DataFrame | None = None, id_col: str = "d
 
 
 def mix(docs: DataFrame, shares: DataFrame | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``docs`` in mixed order: partitions, and so the files written from them, hold consecutive parts of the sequence."""
-    order = cut(mix_order(docs, shares, id_col, source_col, block_rows).select(F.col("doc_id").alias("_argloom_id"), F.col("round").alias("_argloom_round"), F.col("slot").alias("_argloom_slot")).dropDuplicates(["_argloom_id"]))
+    """``docs`` in mixed order: partitions, and so the files written from them, hold consecutive parts of the sequence.  Rows that repeat an id stand together, at its first place."""
+    place = F.min(F.struct(F.col("round").alias("_argloom_round"), F.col("slot").alias("_argloom_slot")))
+    order = cut(mix_order(docs, shares, id_col, source_col, block_rows).groupBy(F.col("doc_id").alias("_argloom_id")).agg(place.alias("_p")).select("_argloom_id", "_p.*"))
     joined = docs.join(order.hint("shuffle_hash"), docs[id_col].eqNullSafe(order["_argloom_id"]))
     by = ["_argloom_round", "_argloom_slot", "_argloom_id"]
     return joined.repartitionByRange(shuffle_partitions(docs.sparkSession), *by).sortWithinPartitions(*by).drop(*by)
