@@ -13,7 +13,7 @@ folding over it does not grow with the data.
 
 Defined results: a null text has no bytes and counts as its 8 bytes of framing; a
 record's slot comes from its id and the checksum of its text, so rows that share
-an id still spread; of rows that agree in id, checksum and size each has a place of
+an id still spread; a group of equal texts is spread as well, because this law deals bytes and keeps nothing together; of rows that agree in id, checksum and size each has a place of
 its own; a null id is hashed as such and comes first in its slot; an empty table gives an empty result and a complete map.
 """
 
@@ -85,14 +85,18 @@ def assign(rows: DataFrame, slot_map: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def save_map(slot_map: DataFrame, path: str) -> None:
-    """Adds one version to a stored map; earlier versions stay, and a version is written as a whole or not at all."""
-    slot_map.coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+    """Adds one version to a stored map, in a folder of its own; earlier versions stay.  If the version is there already, another writer was first, and this one fails."""
+    version = slot_map.agg(F.max("version")).first()[0]
+    slot_map.drop("version").coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={version}")
 
 
 def stored_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """A version of a stored map, by default the latest."""
+    """A version of a stored map, by default the latest; an error if writers that raced have left two shards for a slot."""
     every = spark.read.parquet(path).select(F.col("version").cast("int").alias("version"), "vslot", "shard")
-    return every.filter(F.col("version") == (every.agg(F.max("version")).first()[0] if version is None else version))
+    found = every.filter(F.col("version") == (every.agg(F.max("version")).first()[0] if version is None else version))
+    if not found.groupBy("vslot").count().filter("count > 1").isEmpty():
+        raise ValueError(f"a version of the slot map at {path} was written twice")
+    return found
 
 
 def rebalance_stored(spark: SparkSession, path: str, sizes: DataFrame, shards: int) -> DataFrame:

@@ -305,7 +305,7 @@ def test_pfair_mixing(docs, rows, empty, spark):
     for r in order:
         by_id.setdefault(r.doc_id, (r["round"], r.slot))
     places = [min(p for i, p in by_id.items() if i == r.doc_id) for r in mixed.collect()]
-    assert len(places) == len(rows) and sorted(places) == places or len(set(places)) < len(places)
+    assert len(places) == len(rows) and sorted(places) == places and len(set(places)) > 1
 
 
 def brute_windows(texts, n):
@@ -417,6 +417,29 @@ def test_virtual_slots(spark, docs, rows, empty):
     assert {r.vslot: r.shard for r in stored_map(spark, path, 2).collect()} == maps[2]
 
 
+def test_a_version_of_the_slot_map_has_one_writer(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    from argloom.llm.virtual_slots import first_map, save_map, stored_map
+
+    path = str(tmp_path / "map")
+    save_map(first_map(spark, 3, 16), path)
+    with pytest.raises(AnalysisException):
+        save_map(first_map(spark, 5, 16), path)
+    assert stored_map(spark, path).filter("shard >= 3").count() == 0
+    first_map(spark, 3, 16).drop("version").write.mode("append").parquet(f"{path}/version={stored_map(spark, path).first().version}")
+    with pytest.raises(ValueError):
+        stored_map(spark, path)
+
+
+def test_equal_texts_spread_over_the_shards(spark):
+    from argloom.llm.virtual_slots import shard_by_bytes
+
+    copies = spark.range(600).selectExpr("id AS doc_id", "'the same text' AS text")
+    shards = shard_by_bytes(copies, 4, 64)[0].groupBy("shard").count().collect()
+    assert len(shards) == 4 and max(r["count"] for r in shards) < 300
+
+
 def test_virtual_slots_are_near_equal(spark):
     from argloom.llm.virtual_slots import shard_by_bytes
 
