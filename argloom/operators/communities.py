@@ -83,16 +83,15 @@ def _refine(both: DataFrame, nodes: DataFrame) -> DataFrame:
     In a round only the lone nodes of one class move, and never to another of them, so a part grows by neighbours of its members alone.
     """
     new = nodes.withColumn("r", F.col("node"))
-    for sweep in range(2):
-        for turn in range(CLASSES):
-            parts = new.groupBy("r").agg(F.sum("k").alias("t"), F.count("*").alias("n"))
-            state = new.join(parts, "r").withColumn("lone", (F.col("n") == 1) & (_class("r", -1 - sweep) == turn))
-            movers = state.filter("lone").select("node", F.col("c").alias("own"), "k", "m2", "gamma")
-            targets = state.filter("NOT lone").select(F.col("node").alias("other"), "c", "r", "t")
-            links = both.join(movers, "node").join(targets, "other").filter("c = own").groupBy("node", "r").agg(F.sum("w").alias("w"), *(F.first(x).alias(x) for x in ("k", "m2", "gamma", "t")))
-            gain = F.round(F.col("w") / F.col("m2") - F.col("gamma") * F.col("k") * F.col("t") / F.col("m2") ** 2, 15)
-            best = links.withColumn("gain", gain).filter("gain > 0").groupBy("node").agg(F.min_by("r", F.struct(-F.col("gain"), "r")).alias("to"))
-            new = cut(new.join(best, "node", "left").select(*_STATE, F.coalesce("to", "r").alias("r")))
+    for turn in range(CLASSES):
+        parts = new.groupBy("r").agg(F.sum("k").alias("t"), F.count("*").alias("n"))
+        state = new.join(parts, "r").withColumn("lone", (F.col("n") == 1) & (_class("r", -1) == turn))
+        movers = state.filter("lone").select("node", F.col("c").alias("own"), "k", "m2", "gamma")
+        targets = state.filter("NOT lone").select(F.col("node").alias("other"), "c", "r", "t")
+        links = both.join(movers, "node").join(targets, "other").filter("c = own").groupBy("node", "r").agg(F.sum("w").alias("w"), *(F.first(x).alias(x) for x in ("k", "m2", "gamma", "t")))
+        gain = F.round(F.col("w") / F.col("m2") - F.col("gamma") * F.col("k") * F.col("t") / F.col("m2") ** 2, 15)
+        best = links.withColumn("gain", gain).filter("gain > 0").groupBy("node").agg(F.min_by("r", F.struct(-F.col("gain"), "r")).alias("to"))
+        new = cut(new.join(best, "node", "left").select(*_STATE, F.coalesce("to", "r").alias("r")))
     return new
 
 
@@ -154,20 +153,20 @@ def hierarchy(edges: DataFrame, limit: int = 100, resolution: float = 1.0, floor
     if limit < 1:
         raise ValueError("limit must be positive")
     pairs = cut(_pairs(edges, floor))
-    found = communities(edges, resolution, True, floor).select("node_id", F.lit(0).alias("level"), "community", F.lit(None).cast(edges.schema["source"].dataType).alias("parent"), F.lit(float(resolution)).alias("gamma"))
+    found = communities(edges, resolution, True, floor).select("node_id", F.lit(0).alias("level"), "community", F.lit(None).cast(edges.schema["source"].dataType).alias("parent"), F.lit(float(resolution)).alias("gamma"), F.lit(-1).cast("bigint").alias("of"))
     level, done = 0, None
     while True:
         size = found.groupBy("community").agg(F.count("*").alias("n"))
-        found = cut(found.join(size, "community").select("node_id", "level", "community", "parent", "gamma", (F.col("n") <= limit).alias("final")))
+        found = cut(found.join(size, "community").select("node_id", "level", "community", "parent", "gamma", "of", "n", (F.col("n") <= limit).alias("final")))
         done = found if done is None else done.unionByName(found)
         open_ = found.filter("NOT final")
         if open_.isEmpty():
-            return done.drop("gamma")
+            return done.drop("gamma", "of", "n")
         level += 1
-        part = open_.select("node_id", F.col("community").alias("part"), F.when(F.col("parent") == F.col("community"), 2 * F.col("gamma")).otherwise(F.col("gamma")).alias("gamma"))
+        part = open_.select("node_id", F.col("community").alias("part"), F.when(F.col("n") == F.col("of"), 2 * F.col("gamma")).otherwise(F.col("gamma")).alias("gamma"), F.col("n").alias("of"))
         at = part.select("node_id", "part")
         inner = cut(pairs.join(at.select(F.col("node_id").alias("a"), "part"), "a").join(at.select(F.col("node_id").alias("b"), F.col("part").alias("y")), "b").filter("part = y").select("a", "b", "w", "part"))
         weight = inner.groupBy("part").agg((2 * F.sum("w")).alias("m2"))
         nodes = part.withColumnRenamed("node_id", "node").join(_degrees(inner), "node").join(weight, "part").select("node", "part", "m2", "gamma", "k")
         split = _partition(inner.select("a", "b", "w"), nodes, True)
-        found = split.join(part, "node_id").select("node_id", F.lit(level).alias("level"), "community", F.col("part").alias("parent"), "gamma")
+        found = split.join(part, "node_id").select("node_id", F.lit(level).alias("level"), "community", F.col("part").alias("parent"), "gamma", "of")

@@ -127,3 +127,22 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 def read_graph(spark: SparkSession, path: str, nodes, edges) -> tuple[DataFrame, DataFrame]:
     """The nodes and edges of a written graph, by their schemas."""
     return spark.read.schema(nodes).json(f"{path}/nodes"), spark.read.schema(edges).json(f"{path}/edges")
+
+
+def leaf_fingerprints(rows: DataFrame) -> DataFrame:
+    """``id, path, fingerprint`` of every leaf of ``rows(id, v)``, ``v`` a VARIANT of any shape.
+
+    Fields are joined by dots, places of arrays stand in brackets (``lines[0].tags[1]``); the fingerprint is the SHA-256 of the
+    leaf as JSON.  An empty object or array is a leaf.  A null ``v``, and a bare scalar, has no path and gives no row.  A
+    round opens one level of all values, so there are as many rounds as levels.
+    """
+    spark, found = rows.sparkSession, None
+    front = cut(rows.filter("v IS NOT NULL").select("id", F.lit("").alias("path"), "v"))
+    while not front.isEmpty():
+        opened = front.lateralJoin(spark.tvf.variant_explode_outer(F.col("v").outer()).select(F.col("pos"), F.col("key"), F.col("value").alias("inner")))
+        opened = cut(opened)
+        leaf = opened.filter("pos IS NULL AND path <> ''").select("id", "path", F.sha2(F.encode(F.to_json("v"), "UTF-8"), 256).alias("fingerprint"))
+        found = leaf if found is None else found.unionByName(leaf)
+        field = F.when(F.col("path") == "", F.col("key")).otherwise(F.concat_ws(".", "path", "key"))
+        front = opened.filter("pos IS NOT NULL").select("id", F.when(F.col("key").isNull(), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(field).alias("path"), F.col("inner").alias("v"))
+    return found if found is not None else front.select("id", "path", F.lit("").alias("fingerprint"))

@@ -93,7 +93,7 @@ def _(spark, d):
 
 @query("gra08_hierarchy")
 def _(spark, d):
-    return C.hierarchy(trade(spark, d, 2), limit=12)
+    return C.hierarchy(trade(spark, d, 2), limit=30)
 
 
 @query(
@@ -238,9 +238,9 @@ def _still_sql(rounds):
     h = lambda e: f"(power(greatest({e}, 0), 2) / (1 + power(greatest({e}, 0), 2)))"
     for k in range(rounds):
         sql += f", k{k + 1} AS MATERIALIZED (SELECT id, tau, tau + (1 - tau) * {h('e')} - tau * {h('-e')} AS x FROM (SELECT v.id AS id, any_value(v.tau) AS tau, coalesce(sum(z.x * w * p), 0) AS e FROM v LEFT JOIN a ON target = v.id LEFT JOIN k{k} z ON z.id = source GROUP BY v.id))"
-    return sql + f" SELECT id AS node_id, round(x, 4) AS strength FROM k{rounds}"
+    return sql + f" SELECT id AS node_id, round(x, 3) AS strength FROM k{rounds}"
 
 
 @query("qbf10_cyclic", _still_sql(40))
 def _(spark, d):
-    return Q.solve_cyclic(*signed(spark, d), rtol=1e-3, atol=1e-5, still=1e-7).select("node_id", F.round("strength", 4).alias("strength"))
+    return Q.solve_cyclic(*signed(spark, d), rtol=1e-3, atol=1e-5, still=1e-6).select("node_id", F.round("strength", 3).alias("strength"))

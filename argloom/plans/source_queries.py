@@ -90,3 +90,39 @@ def _(spark, d):
     tokens, none = F.floor("value").cast("bigint"), F.lit(None)
     given = e.select("id", "start_time", F.col("start_time").alias("end_time"), none.cast("double").alias("latency"), tokens.alias("tokens"), none.cast("bigint").alias("input_tokens"), none.cast("bigint").alias("output_tokens"), none.cast("double").alias("cost"))
     return S.observations(given).select("id", F.col("start_time").cast("timestamp_ntz").alias("start_time"), "tokens")
+
+
+@query("src19_event_sink", "SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+def _(spark, d):
+    """Events added to a sink of JSON lines in two batches, and read back."""
+    path, e = fresh(spark, "events"), table(spark, d, "events").select("event_id", "user_id", "event_type")
+    middle = e.agg(F.avg("event_id").alias("m")).first()["m"] or 0
+    S.append_events(e.filter(F.col("event_id") < middle), path)
+    S.append_events(e.filter(F.col("event_id") >= middle), path)
+    back = spark.read.schema("event_id bigint, user_id bigint, event_type string").json(path)
+    return back.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.count_distinct("user_id").alias("users"))
+
+
+@query("src23_graphml", f"WITH {EDGES_SQL}, {NODES_SQL} SELECT 'node' AS kind, node_id AS source, '' AS target, name AS label FROM n UNION ALL SELECT DISTINCT 'edge', source, target, relation FROM e")
+def _(spark, d):
+    """The graph written as GraphML by all tasks, and read back."""
+    path = fresh(spark, "graphml")
+    S.write_graphml(nodes(spark, d).select("node_id", "name"), edges(spark, d).select("source", "target", "relation").distinct(), path)
+    n, e = S.read_graphml(spark, path)
+    return n.select(F.lit("node").alias("kind"), F.col("node_id").alias("source"), F.lit("").alias("target"), F.col("name").alias("label")).unionByName(e.select(F.lit("edge").alias("kind"), "source", "target", F.col("relation").alias("label")))
+
+
+@query(
+    "scl26_leaf_fingerprints",
+    "WITH l AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_linestatus) - 1 AS i, l_linenumber AS n, l_returnflag AS f, l_linestatus AS s FROM lineitem)"
+    " SELECT id, 'lines[' || i || '].number' AS path, sha256(n::VARCHAR) AS fingerprint FROM l UNION ALL SELECT id, 'lines[' || i || '].tags[0]', sha256('\"' || f || '\"') FROM l UNION ALL SELECT id, 'lines[' || i || '].tags[1]', sha256('\"' || s || '\"') FROM l"
+    " UNION ALL SELECT o_orderkey, 'status', sha256('\"' || o_orderstatus || '\"') FROM orders UNION ALL SELECT o_orderkey, 'notes', sha256('[]') FROM orders UNION ALL SELECT o_orderkey, 'lines', sha256('[]') FROM orders WHERE o_orderkey NOT IN (SELECT id FROM l)",
+)
+def _(spark, d):
+    """Orders with their lines as nested JSON, parsed without a schema, down to the leaves."""
+    line = F.struct(F.col("l_linenumber").alias("number"), F.array("l_returnflag", "l_linestatus").alias("tags"))
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    o = table(spark, d, "orders").join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    none = F.array().cast("array<string>")
+    whole = F.struct(F.col("o_orderstatus").alias("status"), none.alias("notes"), F.coalesce("lines", F.array().cast(lines.schema["lines"].dataType)).alias("lines"))
+    return P.leaf_fingerprints(o.select(F.col("o_orderkey").alias("id"), F.parse_json(F.to_json(whole)).alias("v")))

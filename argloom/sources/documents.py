@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from argloom.functions.text import latex, markdown
@@ -128,3 +128,41 @@ def observations(rows: DataFrame) -> DataFrame:
 def write_report(metrics: DataFrame, path: str, thresholds: DataFrame) -> None:
     """Metric rows ``metric, value`` as CSV, with the flag whether each meets its threshold."""
     metrics.join(thresholds, "metric", "left").withColumn("meets", F.coalesce(F.col("value") >= F.col("threshold"), F.lit(True))).write.mode("overwrite").csv(path, header=True)
+
+
+def _escaped(value) -> Column:
+    text = F.replace(F.replace(F.replace(F.coalesce(value.cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return F.replace(F.replace(text, F.lit('"'), F.lit("&quot;")), F.lit("\n"), F.lit("&#10;"))
+
+
+def _unescaped(value: Column) -> Column:
+    for name, char in (("&#10;", "\n"), ("&quot;", '"'), ("&gt;", ">"), ("&lt;", "<"), ("&amp;", "&")):
+        value = F.replace(value, F.lit(name), F.lit(char))
+    return value
+
+
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """``nodes(node_id, name)`` and ``edges(source, target, relation)`` as GraphML, one element a line, written by all tasks.
+
+    The part files in the order of their names are one document.  Spark's committer publishes them together, so a failed
+    attempt leaves nothing, and a path that is there already is an error.
+    """
+    spark = nodes.sparkSession
+    line = lambda text: spark.createDataFrame([(text,)], "value string").coalesce(1)
+    head = '<?xml version="1.0" encoding="UTF-8"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="name" for="node" attr.name="name" attr.type="string"/><key id="relation" for="edge" attr.name="relation" attr.type="string"/><graph edgedefault="directed">'
+    node = nodes.select(F.format_string('<node id="%s"><data key="name">%s</data></node>', _escaped(F.col("node_id")), _escaped(F.col("name"))).alias("value"))
+    edge = edges.select(F.format_string('<edge source="%s" target="%s"><data key="relation">%s</data></edge>', _escaped(F.col("source")), _escaped(F.col("target")), _escaped(F.col("relation"))).alias("value"))
+    line(head).unionByName(node).unionByName(edge).unionByName(line("</graph></graphml>")).write.mode("errorifexists").text(path)
+
+
+def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of :func:`write_graphml`; a missing name or relation comes back empty."""
+    lines = spark.read.text(path)
+    node, edge = '^<node id="([^"]*)"><data key="name">([^<]*)</data></node>$', '^<edge source="([^"]*)" target="([^"]*)"><data key="relation">([^<]*)</data></edge>$'
+    part = lambda pattern, i: _unescaped(F.regexp_extract("value", pattern, i))
+    return lines.filter(F.col("value").rlike(node)).select(part(node, 1).alias("node_id"), part(node, 2).alias("name")), lines.filter(F.col("value").rlike(edge)).select(part(edge, 1).alias("source"), part(edge, 2).alias("target"), part(edge, 3).alias("relation"))
+
+
+def append_events(events: DataFrame, path: str) -> None:
+    """Adds a batch of events to a sink of JSON lines; the batch is published as a whole or not at all, null fields are left out."""
+    events.write.mode("append").json(path)

@@ -137,3 +137,48 @@ def test_formula_tables(spark):
     assert deviations(rows, laws.limit(0)).count() == 0
     with pytest.raises(ValueError):
         deviations(rows, laws, most=1)
+
+
+def test_leaf_fingerprints_of_any_shape(spark):
+    import hashlib
+    import json
+
+    from argloom.operators.records import leaf_fingerprints
+
+    def leaves(x, path=""):
+        parts = x.items() if isinstance(x, dict) else enumerate(x) if isinstance(x, list) else ()
+        down = [(f"{path}.{k}" if path and isinstance(x, dict) else k if isinstance(x, dict) else f"{path}[{k}]", v) for k, v in parts]
+        return [leaf for p, v in down for leaf in leaves(v, p)] if down else [(path, hashlib.sha256(json.dumps(x, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest())]
+
+    shapes = [{"a": [1, {"b": []}, [[2], "ü"]], "c": {"d": None, "e": {}}, "f": True}, {}, [3, ["x"]], "bare", {"k": {"k": {"k": "deep"}}}]
+    rows = spark.createDataFrame([*((i, json.dumps(x)) for i, x in enumerate(shapes)), (9, None)], "id int, j string").select("id", F.parse_json("j").alias("v"))
+    want = sorted((i, p, h) for i, x in enumerate(shapes) for p, h in leaves(x) if p)
+    assert sorted(map(tuple, leaf_fingerprints(rows).collect())) == want
+    assert leaf_fingerprints(rows.limit(0)).count() == 0
+
+
+def test_graphml_and_events_come_back(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    from argloom.sources import documents as S
+
+    nodes = [('a"<&>', "x\ny"), ("b", None), ("&amp;", "")]
+    edges = [("b", 'a"<&>', "sup<ports>"), ("b", "b", None)]
+    n, e = spark.createDataFrame(nodes, "node_id string, name string").repartition(3), spark.createDataFrame(edges, "source string, target string, relation string")
+    path = str(tmp_path / "graph")
+    S.write_graphml(n, e, path)
+    back = S.read_graphml(spark, path)
+    assert sorted(map(tuple, back[0].collect())) == sorted((i, x or "") for i, x in nodes)
+    assert sorted(map(tuple, back[1].collect())) == sorted((a, b, r or "") for a, b, r in edges)
+    import xml.etree.ElementTree as ET
+
+    parts = sorted((tmp_path / "graph").glob("part-*"))
+    assert len(ET.fromstring("".join(p.read_text() for p in parts))[2]) == 5
+    with pytest.raises(AnalysisException):
+        S.write_graphml(n, e, path)
+    with pytest.raises(Exception, match="broken"):
+        S.write_graphml(n.select("node_id", F.raise_error(F.lit("broken")).cast("string").alias("name")), e, str(tmp_path / "none"))
+    assert not list(tmp_path.glob("none/part-*"))
+    S.append_events(e, str(tmp_path / "events"))
+    S.append_events(e.limit(1), str(tmp_path / "events"))
+    assert spark.read.json(str(tmp_path / "events")).count() == 3
