@@ -181,14 +181,14 @@ def _(spark, d):
 
 @query(
     "joi08_reified_edges",
-    f"WITH {EDGES_SQL}, k AS (SELECT l_orderkey || '-' || l_linenumber AS edge_id, source, relation FROM e WHERE l_linenumber <= 2),"
-    " x AS (SELECT a.edge_id, a.source, 'inference::' || b.edge_id AS target FROM k a JOIN k b ON a.edge_id = replace(b.edge_id, '-2', '-1') AND b.edge_id LIKE '%-2' AND a.edge_id LIKE '%-1')"
+    f"WITH {EDGES_SQL}, k AS (SELECT l_orderkey AS o, l_linenumber AS n, source FROM e), x AS (SELECT a.source AS source, 'inference::' || b.o || '-' || b.n AS target FROM k a JOIN k b ON b.o = a.o AND b.n = a.n + 1)"
     " SELECT source, count(*) AS n, min(target) AS first_target FROM x GROUP BY source",
 )
 def _(spark, d):
-    k = edges(spark, d).filter("l_linenumber <= 2").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("edge_id"), "source")
-    b = k.filter(F.col("edge_id").endswith("-2")).select(F.col("edge_id").alias("b_id"), F.replace(F.col("edge_id"), F.lit("-2"), F.lit("-1")).alias("edge_id"))
-    x = k.filter(F.col("edge_id").endswith("-1")).join(b, "edge_id").select("source", F.concat(F.lit("inference::"), "b_id").alias("target"))
+    """Each line of an order is an edge that targets the edge of the line before; a targeted edge stands as an inference."""
+    k = edges(spark, d).select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), "source")
+    b = k.select("o", (F.col("n") - 1).alias("n"), F.concat(F.lit("inference::"), F.col("o"), F.lit("-"), F.col("n")).alias("target"))
+    x = k.join(b, ["o", "n"]).select("source", "target")
     return x.groupBy("source").agg(F.count("*").alias("n"), F.min("target").alias("first_target"))
 
 

@@ -223,12 +223,12 @@ def _(spark, d):
     return P.upsert_relations(part("epoch < 1996"), part("epoch >= 1996"), nodes(spark, d).filter("nation % 2 = 0"))
 
 
-BATCH_SQL = "tr AS (SELECT l_orderkey AS item, l_partkey AS object FROM lineitem WHERE l_linenumber = 1), done AS (SELECT o_orderkey AS item FROM orders WHERE o_orderkey % 3 = 0)"
+BATCH_SQL = "tr AS (SELECT l_orderkey AS item, l_partkey AS object FROM lineitem), done AS (SELECT o_orderkey AS item FROM orders WHERE o_orderstatus = 'F')"
 
 
 def batch(spark, d):
-    line = table(spark, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("object"))
-    done = table(spark, d, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("item"))
+    line = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("object"))
+    done = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("item"))
     return line, done
 
 
