@@ -39,27 +39,35 @@ def degeneration(snapshots: DataFrame, eps: float = 1e-6) -> DataFrame:
 
 
 def dropped_core(snapshots: DataFrame) -> DataFrame:
-    """Core items of the first epoch that a later epoch lacks: violations of core invariance."""
+    """``epoch, n_dropped``: how many core items of the first epoch a later epoch lacks (violations of core invariance), where it lacks any.
+
+    What is there is counted, so the work follows the rows and not the product of items and epochs.
+    """
     first = snapshots.agg(F.min("epoch").alias("_first"))
-    core = snapshots.filter("kind = 'core'").join(F.broadcast(first), F.col("epoch") == F.col("_first")).select("item")
-    later = snapshots.select("epoch").distinct().join(F.broadcast(first), F.col("epoch") > F.col("_first")).select("epoch")
-    expected = core.join(F.broadcast(later), F.lit(True))
-    return expected.join(snapshots.filter("kind = 'core'").select("epoch", "item"), ["epoch", "item"], "left_anti")
+    items = snapshots.filter("kind = 'core'").join(F.broadcast(first), F.col("epoch") == F.col("_first")).select("item").distinct()
+    later = snapshots.join(F.broadcast(first), F.col("epoch") > F.col("_first"))
+    kept = later.filter("kind = 'core'").select("epoch", "item").distinct().join(items, "item", "left_semi").groupBy("epoch").agg(F.count("*").alias("kept"))
+    whole = items.agg(F.count("*").alias("whole"))
+    counts = later.select("epoch").distinct().join(kept, "epoch", "left").join(F.broadcast(whole), F.lit(True))
+    return counts.select("epoch", (F.col("whole") - F.coalesce("kept", F.lit(0))).alias("n_dropped")).filter("n_dropped > 0")
 
 
-def pareto(points: DataFrame, most: list[str], least: list[str]) -> DataFrame:
-    """Points that no other dominates: at least as good on every axis and better on one.
+def pareto(points: DataFrame, most: str, least: str, parts: int = 32) -> DataFrame:
+    """Points that no other dominates on the axes ``most`` (the more the better) and ``least``: at least as good on both and better on one.  Equal points stand for each other; a point without a value on an axis is left out.
 
-    Equal points stand for each other; dominance is a left anti join of distinct points.
+    Of each distinct value of ``most`` only the least cost counts.  These are dealt to ranges from the best down; a range's
+    best cost so far follows from the ranges before it, and within it from a running minimum.
     """
-    axes = most + least
-    other = points.select(*(F.col(c).alias(f"_{c}") for c in axes)).distinct()
-    at_least = [F.col(f"_{c}") >= F.col(c) for c in most] + [F.col(f"_{c}") <= F.col(c) for c in least]
-    better = [F.col(f"_{c}") > F.col(c) for c in most] + [F.col(f"_{c}") < F.col(c) for c in least]
-    every, some = at_least[0], better[0]
-    for a, b in zip(at_least[1:], better[1:], strict=True):
-        every, some = every & a, some | b
-    return points.join(other, every & some, "left_anti")
+    from argloom.operators.iterate import cut
+
+    given = points.filter(F.col(most).isNotNull() & F.col(least).isNotNull())
+    best = given.groupBy(F.col(most).alias("_q")).agg(F.min(least).alias("_c"))
+    dealt = cut(best.repartitionByRange(parts, F.desc("_q")).withColumn("_part", F.spark_partition_id()))
+    ranges = dealt.groupBy("_part").agg(F.min("_c").alias("_m"))  # a row per range
+    before = ranges.withColumn("_m", F.min("_m").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
+    within = Window.partitionBy("_part").orderBy(F.desc("_q")).rowsBetween(Window.unboundedPreceding, -1)
+    front = dealt.join(F.broadcast(before), "_part").withColumn("_so_far", F.least(F.col("_m"), F.min("_c").over(within))).filter(F.col("_so_far").isNull() | (F.col("_c") < F.col("_so_far")))
+    return given.join(front.select("_q", "_c"), (F.col(most) == F.col("_q")) & (F.col(least) == F.col("_c"))).drop("_q", "_c")
 
 
 def sampled(rows: DataFrame, key: str, rate: float, salt: str = "") -> DataFrame:

@@ -225,7 +225,7 @@ def _(spark, d):
 
 @query("eva07_core_invariance", f"WITH {SNAPSHOTS_SQL}, f AS (SELECT min(epoch) AS f FROM snap), c AS (SELECT item FROM snap, f WHERE epoch = f AND kind = 'core'), t AS (SELECT DISTINCT epoch FROM snap, f WHERE epoch > f) SELECT t.epoch AS epoch, count(*) AS n_dropped FROM c, t WHERE NOT EXISTS (SELECT 1 FROM snap s WHERE s.kind = 'core' AND s.epoch = t.epoch AND s.item = c.item) GROUP BY 1")
 def _(spark, d):
-    return V.dropped_core(snapshots(spark, d)).groupBy("epoch").agg(F.count("*").alias("n_dropped"))
+    return V.dropped_core(snapshots(spark, d))
 
 
 @query("eva08_degeneration_index", f"WITH {SNAPSHOTS_SQL}, n AS (SELECT b.epoch AS epoch, b.kind AS kind FROM snap b WHERE b.epoch > (SELECT min(epoch) FROM snap) AND NOT EXISTS (SELECT 1 FROM snap a WHERE a.epoch = b.epoch - 1 AND a.kind = b.kind AND a.item = b.item)) SELECT s.epoch AS epoch, round(((SELECT count(*) FROM n WHERE n.epoch = s.epoch AND kind = 'auxiliary') + (SELECT count(*) FROM snap a WHERE a.epoch = s.epoch AND kind = 'anomaly')) / ((SELECT count(*) FROM n WHERE n.epoch = s.epoch AND kind = 'empirical') + 1e-6), 5) AS di FROM (SELECT DISTINCT epoch FROM snap WHERE epoch > (SELECT min(epoch) FROM snap)) s")
@@ -283,7 +283,7 @@ def _(spark, d):
 @query("eva24_pareto", "WITH x AS (SELECT s_suppkey, round(s_acctbal, -2) AS quality, s_nationkey AS cost FROM supplier) SELECT s_suppkey, quality, cost FROM x a WHERE NOT EXISTS (SELECT 1 FROM x b WHERE b.quality >= a.quality AND b.cost <= a.cost AND (b.quality > a.quality OR b.cost < a.cost))")
 def _(spark, d):
     points = table(spark, d, "supplier").select("s_suppkey", F.round("s_acctbal", -2).alias("quality"), F.col("s_nationkey").alias("cost"))
-    return V.pareto(points, ["quality"], ["cost"])
+    return V.pareto(points, "quality", "cost")
 
 
 @query("eva26_alignment_overlay", f"WITH {NODES_SQL} SELECT node_type, CASE WHEN node_id IN (SELECT 'c' || o_custkey FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 's' || l_suppkey FROM lineitem WHERE l_returnflag = 'R') THEN 'tp' ELSE 'fn' END AS status, count(*) AS n FROM n GROUP BY 1, 2")

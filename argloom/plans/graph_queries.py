@@ -137,7 +137,7 @@ def _(spark, d):
     return R.reduction(dag(spark, d))
 
 
-@query("gra28_strong_components", T + NODES + ", r AS (SELECT source, target FROM t UNION SELECT r.source, t.target FROM r JOIN t ON r.target = t.source) SELECT id AS node_id, coalesce((SELECT min(x.target) FROM r x JOIN r y ON y.source = x.target AND y.target = x.source WHERE x.source = id AND x.target < id), id) AS component FROM v")
+@query("gra17_strong_components", T + NODES + ", r AS (SELECT source, target FROM t UNION SELECT r.source, t.target FROM r JOIN t ON r.target = t.source) SELECT id AS node_id, coalesce((SELECT min(x.target) FROM r x JOIN r y ON y.source = x.target AND y.target = x.source WHERE x.source = id AND x.target < id), id) AS component FROM v")
 def _(spark, d):
     return R.strong_components(trade(spark, d))
 

@@ -95,7 +95,7 @@ def _(spark, d):
     return o.select("o_orderkey", F.coalesce(F.date_diff("end", "o_orderdate"), F.lit(0)).cast("bigint").alias("latency"))
 
 
-@query("ret05_text_baseline", "WITH h AS (SELECT item_id, doc_id, strpos(lower(d.text), lower(b.text)) AS place FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))) SELECT item_id, count(*) AS n_docs, min(place - 1)::BIGINT AS first_start FROM h GROUP BY 1")
+@query("joi27_named_in_text", "WITH h AS (SELECT item_id, doc_id, strpos(lower(d.text), lower(b.text)) AS place FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))) SELECT item_id, count(*) AS n_docs, min(place - 1)::BIGINT AS first_start FROM h GROUP BY 1")
 def _(spark, d):
     """Passages looked up word for word, whatever the case, in the flat texts."""
     docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("text"))

@@ -182,3 +182,16 @@ def test_graphml_and_events_come_back(spark, tmp_path):
     S.append_events(e, str(tmp_path / "events"))
     S.append_events(e.limit(1), str(tmp_path / "events"))
     assert spark.read.json(str(tmp_path / "events")).count() == 3
+
+
+def test_pareto_front_equals_brute_force(spark):
+    from argloom.operators.evaluation import pareto
+
+    rng = random.Random(8)
+    points = [(i, rng.randrange(12), rng.randrange(12)) for i in range(60)] + [(100, None, 1), (101, 3, None)]
+    better = lambda a, b: a[1] >= b[1] and a[2] <= b[2] and a[1:] != b[1:]
+    want = {p[0] for p in points[:60] if not any(better(q, p) for q in points[:60])}
+    df = spark.createDataFrame(points, "id int, q int, c int")
+    for parts in (1, 5):
+        assert {r.id for r in pareto(df, "q", "c", parts).collect()} == want
+    assert pareto(df.limit(0), "q", "c").count() == 0
