@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared checkpoint folder and goes on from there, so plans stay short and a lost executor costs one round."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes ``df`` to the shared checkpoint folder and goes on from what is read there, so plans stay short and a lost executor costs one round.
+
+    A written table is used and not a checkpoint, because a checkpoint keeps the constraints that the optimizer has
+    inferred: over rounds of joins they multiply until planning takes longer than the work.
+    """
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
