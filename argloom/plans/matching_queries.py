@@ -35,14 +35,14 @@ _LAWS = [
     "mth07_formulas",
     "WITH p AS (SELECT s_suppkey, s_acctbal::DOUBLE AS b, s_nationkey::DOUBLE AS n, count(l_orderkey)::DOUBLE AS k FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1, 2, 3), d AS ("
     + " UNION ALL ".join(f"SELECT s_suppkey, {i} AS formula_id, ({sql})::DOUBLE AS x FROM p" for i, (_, sql) in enumerate(_LAWS))
-    + ") SELECT s_suppkey, formula_id, round(x, 4) AS deviation FROM d",
+    + ") SELECT s_suppkey, formula_id, round(x, 6) AS deviation FROM d",
 )
 def _(spark, d):
     n = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("k"))
     rows = table(spark, d, "supplier").join(n, F.col("l_suppkey") == F.col("s_suppkey"), "left")
     names = F.create_map(F.lit("Balance"), F.col("s_acctbal").cast("double"), F.lit("nation"), F.col("s_nationkey").cast("double"), F.lit("orders"), F.coalesce("k", F.lit(0)).cast("double"))
     laws = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(_LAWS)], "formula_id int, formula string")
-    return deviations(rows.select("s_suppkey", names.alias("parameters")), laws).withColumn("deviation", F.round("deviation", 4))
+    return deviations(rows.select("s_suppkey", names.alias("parameters")), laws).withColumn("deviation", F.round("deviation", 6))
 
 
 @query(
