@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from argloom.operators.graph import ends
@@ -13,6 +13,8 @@ from argloom.operators.iterate import cut
 
 #: Independent labels of a node; words of 64 targets that a round of :func:`common_reach` carries.
 LABELS, WORDS = 4, 16
+#: Rows of nodes and batches that :func:`common_reach` works on at once.
+STATE = 1 << 25
 
 
 def _plain(edges: DataFrame) -> DataFrame:
@@ -161,43 +163,39 @@ def reduction(edges: DataFrame) -> DataFrame:
 def common_reach(left: DataFrame, right: DataFrame) -> DataFrame:
     """One row ``n_left, n_right, n_both``: the pairs that a path of one edge or more joins in each graph, and in both.
 
-    Targets are dealt to batches of 64 x :data:`WORDS`; a node carries a bit for each target of the batch that it reaches,
-    and nodes hand their bits up the edges until none is new.  Pairs are counted, never made; a batch holds a few words a node.
+    Targets are dealt to batches of 64 x :data:`WORDS`; a node carries a bit for each target of a batch that it reaches,
+    and nodes hand their bits up the edges until none is new.  Pairs are counted, never made.  Batches are worked on
+    together, as many as make at most :data:`STATE` rows, of which only those with a bit set are there.
     """
     e = cut(_plain(left).withColumn("g", F.lit(0)).unionByName(_plain(right).withColumn("g", F.lit(1))))
-    targets = cut(e.select(F.col("target").alias("node_id")).distinct())
-    batch = 64 * WORDS
-    n = targets.count()
-    n_batches = -(-n // batch)
+    targets = e.select(F.col("target").alias("node_id")).distinct()
+    size = 64 * WORDS
+    n, nodes = targets.count(), ends(e).count()
+    parts = max(-(-n // size), 1)
     words = [f"w{i}" for i in range(WORDS)]
     totals = [0, 0, 0]
-    ranked = targets.withColumn("_p", F.pmod(F.xxhash64("node_id"), F.lit(max(n_batches, 1))))
-    for b in range(n_batches):
-        # The bit of a target is its place in the batch; hashing deals about as many to each batch, and what is beyond the words comes in a further round.
-        here = ranked.filter(F.col("_p") == b).select("node_id")
-        rest = cut(here)
-        while (size := rest.count()) > 0:
-            spot = rest.orderBy("node_id").limit(batch)
-            spot = cut(spot.agg(F.sort_array(F.collect_list("node_id")).alias("a")).select(F.posexplode("a").alias("bit", "node_id")))
-            bits = [F.when(F.expr(f"bit div 64 = {i}"), F.expr("shiftleft(CAST(1 AS BIGINT), CAST(bit % 64 AS INT))")).otherwise(F.lit(0).cast("bigint")).alias(w) for i, w in enumerate(words)]
-            own = spot.select(F.col("node_id").alias("target"), *bits)
-            gather = lambda rows: rows.groupBy("g", F.col("source").alias("node_id")).agg(*(F.bit_or(w).alias(w) for w in words))
-            reach = gather(e.join(own, "target"))
-            reach = cut(reach.select("g", "node_id", *words, *(F.col(w).alias(f"new_{w}") for w in words)))
-            while True:
-                fresh = reach.filter(" OR ".join(f"new_{w} <> 0" for w in words))
-                up = gather(e.join(fresh.select("g", F.col("node_id").alias("target"), *(F.col(f"new_{w}").alias(w) for w in words)), ["g", "target"]))
-                if fresh.isEmpty():
-                    break
-                zero = F.lit(0).cast("bigint")
-                old, now = ({w: F.coalesce(F.col(f"{side}.{w}"), zero) for w in words} for side in "ou")
-                met = reach.alias("o").join(up.alias("u"), ["g", "node_id"], "full")
-                reach = cut(met.select("g", "node_id", *(old[w].bitwiseOR(now[w]).alias(w) for w in words), *(now[w].bitwiseAND(F.bitwise_not(old[w])).alias(f"new_{w}") for w in words)))
-            count = lambda rows, *ws: rows.agg(F.coalesce(F.sum(sum((F.bit_count(w) for w in ws[1:]), F.bit_count(ws[0]))), F.lit(0))).first()[0]
-            one, two = reach.filter("g = 0"), reach.filter("g = 1")
-            both = one.alias("x").join(two.alias("y"), "node_id").select(*(F.col(f"x.{w}").bitwiseAND(F.col(f"y.{w}")).alias(w) for w in words))
-            totals = [t + count(rows, *words) for t, rows in zip(totals, (one, two, both), strict=True)]
-            rest = cut(rest.join(spot.select("node_id"), "node_id", "left_anti")) if size > batch else rest.limit(0)
+    place = F.row_number().over(Window.partitionBy("p").orderBy("node_id")) - 1
+    spots = cut(targets.withColumn("p", F.pmod(F.xxhash64("node_id"), F.lit(parts))).withColumn("i", place).select("p", F.col("node_id").alias("target"), (F.col("p") + parts * F.floor(F.col("i") / size)).alias("batch"), (F.col("i") % size).alias("bit")))
+    together = max(1, STATE // (2 * max(nodes, 1)))
+    gather = lambda rows: rows.groupBy("g", "batch", F.col("source").alias("node_id")).agg(*(F.bit_or(w).alias(w) for w in words))
+    for first in range(0, parts if n else 0, together):
+        bits = [F.when(F.expr(f"bit div 64 = {i}"), F.expr("shiftleft(CAST(1 AS BIGINT), CAST(bit % 64 AS INT))")).otherwise(F.lit(0).cast("bigint")).alias(w) for i, w in enumerate(words)]
+        own = spots.filter(F.col("p").between(first, first + together - 1)).select("target", "batch", *bits)
+        reach = gather(e.join(own, "target"))
+        reach = cut(reach.select("g", "batch", "node_id", *words, *(F.col(w).alias(f"new_{w}") for w in words)))
+        while True:
+            fresh = reach.filter(" OR ".join(f"new_{w} <> 0" for w in words))
+            if fresh.isEmpty():
+                break
+            up = gather(e.join(fresh.select("g", "batch", F.col("node_id").alias("target"), *(F.col(f"new_{w}").alias(w) for w in words)), ["g", "target"]))
+            zero = F.lit(0).cast("bigint")
+            old, now = ({w: F.coalesce(F.col(f"{side}.{w}"), zero) for w in words} for side in "ou")
+            met = reach.alias("o").join(up.alias("u"), ["g", "batch", "node_id"], "full")
+            reach = cut(met.select("g", "batch", "node_id", *(old[w].bitwiseOR(now[w]).alias(w) for w in words), *(now[w].bitwiseAND(F.bitwise_not(old[w])).alias(f"new_{w}") for w in words)))
+        count = lambda rows, *ws: rows.agg(F.coalesce(F.sum(sum((F.bit_count(w) for w in ws[1:]), F.bit_count(ws[0]))), F.lit(0))).first()[0]
+        one, two = reach.filter("g = 0"), reach.filter("g = 1")
+        both = one.alias("x").join(two.alias("y"), ["batch", "node_id"]).select(*(F.col(f"x.{w}").bitwiseAND(F.col(f"y.{w}")).alias(w) for w in words))
+        totals = [t + count(rows, *words) for t, rows in zip(totals, (one, two, both), strict=True)]
     return left.sparkSession.createDataFrame([tuple(totals)], "n_left bigint, n_right bigint, n_both bigint")
 
 

@@ -10,6 +10,7 @@ from argloom.functions import text as T
 from argloom.operators import graph as G
 from argloom.operators import reachability
 from argloom.operators import relational as R
+from argloom.operators.iterate import cut
 from argloom.plans.bindings import EDGES_SQL, NODES_SQL, PREDICTIONS_SQL, TRADE_SQL, edges, nodes, predictions, query, table, trade
 
 TRADE = f"WITH RECURSIVE {TRADE_SQL.format(k=3)}"
@@ -225,7 +226,7 @@ def _(spark, d):
 
 @query("eva04_reachability_f1", _TWO + ", ra AS (SELECT source, target FROM a UNION SELECT r.source, a.target FROM ra r JOIN a ON r.target = a.source), rb AS (SELECT source, target FROM b UNION SELECT r.source, b.target FROM rb r JOIN b ON r.target = b.source) SELECT round(2 * (SELECT count(*) FROM ra JOIN rb USING (source, target)) / ((SELECT count(*) FROM ra) + (SELECT count(*) FROM rb)), 6) AS f1")
 def _(spark, d):
-    t = trade(spark, d).filter("source < target")
+    t = cut(trade(spark, d).filter("source < target"))
     n = reachability.common_reach(t.filter("(source + target) % 4 <> 0"), t)
     return n.select(F.round(F.coalesce(F.try_divide(2 * F.col("n_both"), F.col("n_left") + F.col("n_right")), F.lit(0.0)), 6).alias("f1"))
 
@@ -253,7 +254,7 @@ def _(spark, d):
     " UNION ALL SELECT 'roots', (SELECT count(DISTINCT source) FROM b WHERE source NOT IN (SELECT target FROM b))::DOUBLE UNION ALL SELECT 'subsumption', (SELECT round(avg((coalesce(k.n, 0) > 0 OR target IN (SELECT id FROM ax))::INT), 6) FROM a LEFT JOIN c k ON k.id = target)",
 )
 def _(spark, d):
-    gold = trade(spark, d).filter("source < target")
+    gold = cut(trade(spark, d).filter("source < target"))
     pred = gold.filter("(source + target) % 4 <> 0")
     n = reachability.common_reach(pred, gold)
     row = lambda name, df, value: df.select(F.lit(name).alias("metric"), value.cast("double").alias("value"))

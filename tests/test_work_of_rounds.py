@@ -6,6 +6,7 @@ import pytest
 
 from argloom.operators import graph as G
 from argloom.operators import qbaf as Q
+from argloom.operators import reachability as V
 
 
 def counted(spark, df):
@@ -55,3 +56,25 @@ def test_ablation_stores_no_square_of_the_nodes(spark, monkeypatch):
     assert set(got) == set(range(299))
     assert all(got[g] == pytest.approx(base - solved(g), abs=1e-12) for g in [0, 4, 5, 6, 150, *range(286, 299)])
     assert got[150] == 0 and got[298] != 0
+
+
+def test_common_reach_takes_rounds_by_depth_and_not_by_targets(spark, monkeypatch):
+    r, cuts = random.Random(5), []
+    keep = V.cut
+    monkeypatch.setattr(V, "WORDS", 1)
+    monkeypatch.setattr(V, "cut", lambda df: (cuts.append(1), keep(df))[1])
+    edges = sorted({(a, a + r.randint(50, 200)) for a in range(700) for _ in range(2)})
+    few = [e for e in edges if sum(e) % 4]
+
+    def closure(pairs):
+        out = set(pairs)
+        while longer := {(a, d) for a, b in out for c, d in pairs if b == c} - out:
+            out |= longer
+        return out
+
+    one, two = closure(few), closure(edges)
+    df = lambda rows: spark.createDataFrame(rows, "source int, target int")
+    assert tuple(V.common_reach(df(few), df(edges)).first()) == (len(one), len(two), len(one & two))
+    assert len(cuts) < 25  # 13 batches of 64 targets, paths of up to 16 edges
+    monkeypatch.setattr(V, "STATE", 6 * 2 * 900)  # some batches at a time
+    assert tuple(V.common_reach(df(few), df(edges)).first()) == (len(one), len(two), len(one & two))
