@@ -10,7 +10,7 @@ The tables that are joined have a row per block, not per vector, and no group of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import acos, pi
 
 import numpy as np
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from argloom.operators.iterate import cut
 
-#: Vectors of a block and pivots at most; blocks of a stripe of a cell.
-BLOCK, PIVOTS, STRIPE = 2_048, 32, 256
+#: Vectors of a block and pivots at most; blocks of a stripe of a cell, and of a side of a tile.
+BLOCK, PIVOTS, STRIPE, TILE = 2_048, 32, 256, 32
 #: Products are compared after this much rounding error.
 _EPS = 1e-9
 
@@ -54,7 +54,7 @@ def _unit(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, turn: np.ndarra
         angle = np.arccos(np.clip(v @ pivots.T, -1, 1))
         cell = angle.argmin(1)
         batch = batch.filter(pa.array(some))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell, pa.int32()), pa.array(angle.min(1)), pa.array(_binary(v), pa.binary())], names=["id", "label", "cell", "angle", "v"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell, pa.int32()), pa.array(angle.min(1)), pa.array(_binary(v), pa.binary()), pa.array(size[some])], names=["id", "label", "cell", "angle", "v", "size"])
 
 
 def _cut_blocks(batches: Iterator[pa.RecordBatch], pivots: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -67,7 +67,7 @@ def _cut_blocks(batches: Iterator[pa.RecordBatch], pivots: np.ndarray) -> Iterat
         angle = np.arccos(np.clip(v @ pivots.T, -1, 1))
         ids = pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole.column(0))
         one = lambda x: pa.array([x.tolist()], pa.list_(pa.float64()))
-        return pa.RecordBatch.from_arrays([whole.column(1).slice(0, 1), whole.column(2).slice(0, 1), pa.array([len(whole)]), ids, pa.array([v.tobytes()], pa.binary()), one(angle.min(0)), one(angle.max(0))], names=["label", "cell", "n", "ids", "v", "low", "high"])
+        return pa.RecordBatch.from_arrays([whole.column(1).slice(0, 1), whole.column(2).slice(0, 1), pa.array([len(whole)]), ids, pa.array([v.tobytes()], pa.binary()), one(whole.column(5).to_numpy()), one(angle.min(0)), one(angle.max(0))], names=["label", "cell", "n", "ids", "v", "sizes", "low", "high"])
 
     size = 0
     for batch in batches:
@@ -89,7 +89,7 @@ def _cut_blocks(batches: Iterator[pa.RecordBatch], pivots: np.ndarray) -> Iterat
 
 
 def blocks(vectors: DataFrame, dim: int) -> DataFrame:
-    """``block, label, cell, n, ids, v, low, high`` of ``vectors(id, label, v)``, stored.  Pivots are the vectors with the smallest hashes; axes are turned towards them, so that leading dimensions say most."""
+    """``block, label, cell, n, ids, v, sizes, low, high`` of ``vectors(id, label, v)``, stored.  Pivots are the vectors with the smallest hashes; axes are turned towards them, so that leading dimensions say most."""
     given = vectors.select("id", "label", F.col("v").cast("array<double>").alias("v"))
     seeds = [x.v for x in given.filter((F.size("v") == dim) & F.forall("v", lambda x: x.isNotNull())).orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select("v").collect()]
     p = np.array(seeds, float).reshape(-1, dim)
@@ -99,11 +99,11 @@ def blocks(vectors: DataFrame, dim: int) -> DataFrame:
     turn = np.linalg.svd(p, full_matrices=True)[2].T
     p = p @ turn
     kinds = f"id {_kind(given, 'id')}, label {_kind(given, 'label')}"
-    placed = given.mapInArrow(lambda b: _unit(b, p, turn), f"{kinds}, cell int, angle double, v binary")
+    placed = given.mapInArrow(lambda b: _unit(b, p, turn), f"{kinds}, cell int, angle double, v binary, size double")
     n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["label", "cell", "angle", "id"]
     cells = placed.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    made = cells.mapInArrow(lambda b: _cut_blocks(b, p), f"label {_kind(given, 'label')}, cell int, n bigint, ids array<{_kind(given, 'id')}>, v binary, low array<double>, high array<double>")
+    made = cells.mapInArrow(lambda b: _cut_blocks(b, p), f"label {_kind(given, 'label')}, cell int, n bigint, ids array<{_kind(given, 'id')}>, v binary, sizes array<double>, low array<double>, high array<double>")
     return cut(made.withColumn("block", F.monotonically_increasing_id()))
 
 
@@ -129,69 +129,105 @@ def block_pairs(made: DataFrame, least: float) -> DataFrame:
     return met.filter(F.col("angle") <= reach).select("x", "y", "label", "angle")
 
 
-def _with_contents(pairs: DataFrame, made: DataFrame) -> DataFrame:
-    for side in "xy":
-        pairs = pairs.join(made.select(F.col("block").alias(side), F.col("ids").alias(f"ids_{side}"), F.col("v").alias(f"v_{side}")), side)
-    return pairs
+def _tiles(pairs: DataFrame, made: DataFrame) -> DataFrame:
+    """``label, tx, ty, block, ys, ids, v, sizes``: the blocks of each tile with those that they meet as ``x``, of pairs of blocks ``x, y`` (``x <= y``) of one label.
+
+    Pairs are dealt to tiles of :data:`TILE` by as many blocks that follow each other, and a block is sent once to each tile
+    that needs it, not to each pair.
+    """
+    count = made.count()
+    side = max(1, min(TILE, -(-count // 16)))
+    spot = made.select("block", F.floor((F.row_number().over(Window.partitionBy("label").orderBy("block")) - 1) / side).alias("t"))
+    dealt = pairs.select("x", "y", "label").join(spot.select(F.col("block").alias("x"), F.col("t").alias("tx")), "x").join(spot.select(F.col("block").alias("y"), F.col("t").alias("ty")), "y")
+    none = F.array().cast("array<bigint>")
+    need = dealt.select("label", "tx", "ty", F.col("x").alias("block"), F.array("y").alias("ys")).unionByName(dealt.select("label", "tx", "ty", F.col("y").alias("block"), none.alias("ys")))
+    need = need.groupBy("label", "tx", "ty", "block").agg(F.sort_array(F.flatten(F.collect_list("ys"))).alias("ys"))
+    return need.join(made.select("block", "ids", "v", "sizes"), "block").select("label", "tx", "ty", "block", "ys", "ids", "v", "sizes")
+
+
+def _met(pairs: DataFrame, made: DataFrame, dim: int, work: Callable, kinds: str) -> DataFrame:
+    """What ``work`` makes of every pair of blocks, as rows of ``kinds``.  A task goes through the blocks of a tile from the last to the first and holds them."""
+    n = max(int(made.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    tile = ["label", "tx", "ty"]
+    rows = _tiles(pairs, made).repartition(n, *tile).sortWithinPartitions(*tile, F.desc("block"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = {}, None
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = batch.slice(r, 1)
+                at = [str(row.column(i)[0]) for i in range(3)]
+                if at != key:
+                    held, key = {}, at
+                content = row.column(5).flatten(), np.frombuffer(row.column(6)[0].as_buffer(), "<f8").reshape(-1, dim).copy(), row.column(7).flatten().to_numpy()
+                held[row.column(3)[0].as_py()] = content
+                for y in row.column(4)[0].as_py():
+                    yield from work(row.column(0), row.column(3)[0].as_py() == y, content, held[y])
+
+    return rows.mapInArrow(run, kinds)
 
 
 def _content(row: pa.RecordBatch, side: str, dim: int) -> tuple[pa.Array, np.ndarray]:
     return row.column(f"ids_{side}").flatten(), np.frombuffer(row.column(f"v_{side}")[0].as_buffer(), "<f8").reshape(-1, dim)
 
 
-def _verified(dim: int, least: float, most: float):
-    """``a, b, label, similarity`` of pairs at or above ``least``; a row without ids counts the pairs that were met and verified."""
+def _verified(dim: int, least: float, most: float, open_from: float, dot: bool):
+    """``a, b, label, similarity`` of pairs at or above ``least``; a row without ids counts the pairs that were met and verified.  No pair with a cosine below ``open_from`` can be one."""
     head = max(1, dim // 4)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(of: pa.Array, same: bool, one: tuple, two: tuple) -> Iterator[pa.RecordBatch]:
         names = ["a", "b", "label", "similarity", "met", "verified"]
-        for batch in batches:
-            for r in range(batch.num_rows):
-                row = batch.slice(r, 1)
-                (ids_x, x), (ids_y, y) = (_content(row, s, dim) for s in "xy")
-                same = row.column("x")[0] == row.column("y")[0]
-                rest = [np.sqrt(np.maximum(0, 1 - np.einsum("ij,ij->i", m[:, :head], m[:, :head]))) for m in (x, y)]
-                met = verified = 0
-                for i in range(0, len(x), 256):
-                    part = x[i : i + 256]
-                    bound = part[:, :head] @ y[:, :head].T + rest[0][i : i + 256, None] * rest[1]
-                    open_ = bound >= least - _EPS
-                    if same:
-                        open_ &= np.arange(i, i + len(part))[:, None] < np.arange(len(y))
-                    met += int((len(y) - 1 - np.arange(i, i + len(part))).sum()) if same else open_.size
-                    p, q = np.nonzero(open_)
-                    verified += len(p)
-                    if 8 * len(p) > open_.size:
-                        cosine = (part @ y.T)[p, q]
-                    else:
-                        cosine = np.einsum("ij,ij->i", part[p], y[q])
-                    cosine = np.round(cosine, 12)
-                    hit = (cosine >= least) & (cosine <= most)
-                    if hit.any():
-                        p, q, cosine = p[hit] + i, q[hit], cosine[hit]
-                        none = pa.nulls(len(p), pa.int64())
-                        label = pa.array(np.zeros(len(p), np.int64))
-                        yield pa.RecordBatch.from_arrays([ids_x.take(pa.array(p)), ids_y.take(pa.array(q)), row.column("label").take(label), pa.array(cosine), none, none], names=names)
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, ids_x.type), pa.nulls(1, ids_x.type), row.column("label"), pa.nulls(1, pa.float64()), pa.array([met]), pa.array([verified])], names=names)
+        (ids_x, x, sizes_x), (ids_y, y, sizes_y) = one, two
+        rest = [np.sqrt(np.maximum(0, 1 - np.einsum("ij,ij->i", m[:, :head], m[:, :head]))) for m in (x, y)]
+        met = verified = 0
+        for i in range(0, len(x), 256):
+            part = x[i : i + 256]
+            bound = part[:, :head] @ y[:, :head].T + rest[0][i : i + 256, None] * rest[1]
+            open_ = bound >= open_from - _EPS
+            if same:
+                open_ &= np.arange(i, i + len(part))[:, None] < np.arange(len(y))
+            met += int((len(y) - 1 - np.arange(i, i + len(part))).sum()) if same else open_.size
+            p, q = np.nonzero(open_)
+            verified += len(p)
+            if 8 * len(p) > open_.size:
+                cosine = (part @ y.T)[p, q]
+            else:
+                cosine = np.einsum("ij,ij->i", part[p], y[q])
+            cosine = np.round(cosine * sizes_x[p + i] * sizes_y[q], 15) if dot else np.round(cosine, 12)
+            hit = (cosine >= least) & (cosine <= most)
+            if hit.any():
+                p, q, cosine = p[hit] + i, q[hit], cosine[hit]
+                none = pa.nulls(len(p), pa.int64())
+                label = pa.array(np.zeros(len(p), np.int64))
+                yield pa.RecordBatch.from_arrays([ids_x.take(pa.array(p)), ids_y.take(pa.array(q)), of.take(label), pa.array(cosine), none, none], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, ids_x.type), pa.nulls(1, ids_x.type), of, pa.nulls(1, pa.float64()), pa.array([met]), pa.array([verified])], names=names)
 
     return run
 
 
-def _joined(vectors: DataFrame, least: float, dim: int, most: float = 2.0) -> DataFrame:
+def _joined(vectors: DataFrame, least: float, dim: int, most: float = 2.0, dot: bool = False) -> DataFrame:
     made = blocks(vectors.filter("label IS NOT NULL"), dim)
-    pairs = _with_contents(block_pairs(made, least), made)
+    open_from = least
+    if dot:
+        longest, shortest = made.agg(F.max(F.array_max("sizes")), F.min(F.array_min("sizes"))).first()
+        bound = longest if least >= 0 else shortest
+        open_from = least / bound**2 if bound else least
     kinds = f"a {_kind(vectors, 'id')}, b {_kind(vectors, 'id')}, label {_kind(vectors, 'label')}"
-    return pairs.mapInArrow(_verified(dim, least, most), f"{kinds}, similarity double, met bigint, verified bigint")
+    return _met(block_pairs(made, open_from), made, dim, _verified(dim, least, most, open_from, dot), f"{kinds}, similarity double, met bigint, verified bigint")
 
 
-def similar_pairs(vectors: DataFrame, least: float, dim: int, most: float = 2.0) -> DataFrame:
+def similar_pairs(vectors: DataFrame, least: float, dim: int, most: float = 2.0, dot: bool = False) -> DataFrame:
     """``a, b, label, similarity`` (``a < b``) of ``vectors(id, label, v)`` with the same label and a cosine from ``least`` to ``most``, rounded to 12 digits.
 
     Vectors need not have unit length.  Those with no length, another number of components than ``dim``, a null or infinite
-    one, and those without a label are like no other.  Rows that repeat an id are no pair with each other.
+    one, and those without a label are like no other.  Rows that repeat an id are no pair with each other.  With ``dot`` the
+    similarity is the product of the vectors as given, rounded to 15 digits.
     """
-    found = _joined(vectors, least, dim, most).filter("met IS NULL AND a <> b")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "label", "similarity").dropDuplicates(["a", "b", "label"])
+    found = _joined(vectors, least, dim, most, dot).filter("met IS NULL AND a <> b")
+    pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "label", "similarity")
+    # A pair of rows is met once, so only repeated ids give a pair of ids twice.
+    repeated = not vectors.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    return pairs.dropDuplicates(["a", "b", "label"]) if repeated else pairs
 
 
 def join_report(vectors: DataFrame, least: float, dim: int) -> DataFrame:
@@ -206,28 +242,25 @@ def join_report(vectors: DataFrame, least: float, dim: int) -> DataFrame:
 def _best(dim: int, k: int, later: bool):
     """Per vector the ``k`` most similar ones of the other block: ``a, b, label, similarity``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                row = batch.slice(r, 1)
-                sides = [_content(row, s, dim) for s in "xy"]
-                turns = [sides] if row.column("x")[0] == row.column("y")[0] else [sides, sides[::-1]]
-                for (ids, x), (others, y) in turns:
-                    order = others.to_pandas().argsort(kind="stable").to_numpy()
-                    others, y = others.take(pa.array(order)), y[order]
-                    own, far = ids.to_pandas().to_numpy(), others.to_pandas().to_numpy()
-                    for i in range(0, len(x), 256):
-                        cosine = np.round(x[i : i + 256] @ y.T, 12)
-                        mine = own[i : i + 256, None]
-                        cosine[~(far > mine if later else far != mine)] = -np.inf
-                        for _ in range(min(k, len(y))):
-                            best = cosine.argmax(1)
-                            value = cosine[np.arange(len(best)), best]
-                            hit = np.flatnonzero(value > -np.inf)
-                            if not len(hit):
-                                break
-                            yield pa.RecordBatch.from_arrays([ids.take(pa.array(hit + i)), others.take(pa.array(best[hit])), row.column("label").take(pa.array(np.zeros(len(hit), np.int64))), pa.array(value[hit])], names=["a", "b", "label", "similarity"])
-                            cosine[np.arange(len(best)), best] = -np.inf
+    def run(of: pa.Array, same: bool, one: tuple, two: tuple) -> Iterator[pa.RecordBatch]:
+        sides = [one[:2], two[:2]]
+        turns = [sides] if same else [sides, sides[::-1]]
+        for (ids, x), (others, y) in turns:
+            order = others.to_pandas().argsort(kind="stable").to_numpy()
+            others, y = others.take(pa.array(order)), y[order]
+            own, far = ids.to_pandas().to_numpy(), others.to_pandas().to_numpy()
+            for i in range(0, len(x), 256):
+                cosine = np.round(x[i : i + 256] @ y.T, 12)
+                mine = own[i : i + 256, None]
+                cosine[~(far > mine if later else far != mine)] = -np.inf
+                for _ in range(min(k, len(y))):
+                    best = cosine.argmax(1)
+                    value = cosine[np.arange(len(best)), best]
+                    hit = np.flatnonzero(value > -np.inf)
+                    if not len(hit):
+                        break
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(hit + i)), others.take(pa.array(best[hit])), of.take(pa.array(np.zeros(len(hit), np.int64))), pa.array(value[hit])], names=["a", "b", "label", "similarity"])
+                    cosine[np.arange(len(best)), best] = -np.inf
 
     return run
 
@@ -240,7 +273,7 @@ def top_partners(vectors: DataFrame, k: int, dim: int, later: bool = True) -> Da
     """
     made = blocks(vectors.filter("label IS NOT NULL"), dim)
     kinds = f"a {_kind(vectors, 'id')}, b {_kind(vectors, 'id')}, label {_kind(vectors, 'label')}, similarity double"
-    best = lambda pairs: _with_contents(pairs, made).mapInArrow(_best(dim, k, later), kinds)
+    best = lambda pairs: _met(pairs, made, dim, _best(dim, k, later), kinds)
     first = cut(best(made.select(F.col("block").alias("x"), F.col("block").alias("y"), "label")))
     kth = first.groupBy("a", "label").agg(F.count("*").alias("n"), F.min("similarity").alias("s"))
     member = made.select("block", "label", F.explode("ids").alias("a"))
