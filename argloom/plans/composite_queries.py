@@ -130,7 +130,7 @@ def _(spark, d):
 
 @query("agg22_edge_tenability", f"WITH {EDGES_SQL}, p AS (SELECT source, relation, avg(weight) AS w FROM e GROUP BY 1, 2), q AS (SELECT target, relation, avg(weight) AS w FROM e GROUP BY 1, 2), k AS (SELECT DISTINCT source, target FROM e) SELECT k.source AS source, k.target AS target, round(max(abs(p.w - q.w)) + 1e-9, 4) AS tension FROM k JOIN p ON p.source = k.source JOIN q ON q.target = k.target AND q.relation = p.relation GROUP BY 1, 2")
 def _(spark, d):
-    e = edges(spark, d)
+    e = cut(edges(spark, d).select("source", "target", "relation", "weight"))
     mean = lambda end, name: e.groupBy(end, "relation").agg(F.avg("weight").alias(name))
     joined = e.select("source", "target").distinct().join(mean("source", "p"), "source").join(mean("target", "q"), ["target", "relation"])
     return joined.groupBy("source", "target").agg(F.round(F.max(F.abs(F.col("p") - F.col("q"))) + 1e-9, 4).alias("tension"))
