@@ -11,8 +11,8 @@ distinct n-grams.
    stream through each partition cuts them into runs: sets of one member whose sizes follow each other
    within the ratio of a link.  Sets that are not alone in too few of their runs have no link.  A
    member in a third of all sets is a long run of that stream, never a group in memory.
-3. A set's home is the least first set of its runs, so near copies have mostly one home.  Homes are dealt into blocks of bounded size, a large home into several.  A set is sent to its
-   own block, and to the pairs of its block with just those others that hold sets of enough of its runs.
+3. A set's home is the set that is first in most of its runs, so near copies have mostly one home.  Homes are dealt into blocks of bounded size, a large home into several.  A set is sent to its
+   own block, and to the pairs of its block with just those others that share one of its rarer runs: what all blocks hold is seldom among these.
 4. Within a pair of blocks, inverted lists hold (position, set), sorted by position; a probe skips
    the blocks of a list whose positions cannot reach the required overlap any more, and
    verifies its candidates alone.  If the set before was highly similar, no list of a common member is
@@ -344,18 +344,22 @@ def _least_common(percent: int) -> Column:
 
 
 def _placed(sets: DataFrame, percent: int) -> DataFrame:
-    """``sets`` with ``block``, and ``others``: the blocks that hold sets of enough of its runs."""
+    """``sets`` with ``block``, and ``others``: the blocks that hold sets with one of its rarer runs among theirs."""
     whole = sets.agg(F.sum("n")).first()[0] or 0
     large = cut(sets.groupBy("home").agg(F.sum("n").alias("size")).filter(F.col("size") > _BLOCK).select("home", F.ceil(F.col("size") / _BLOCK).alias("parts")))
     small = F.xxhash64(F.pmod(F.xxhash64("home"), F.lit(1 + whole // _BLOCK)))
     block = F.when(F.col("parts").isNull(), small).otherwise(F.xxhash64("home", F.pmod("d1", F.col("parts"))))
     sets = cut(sets.join(broadcast_if_small(large), "home", "left").withColumn("block", block).drop("parts", "home"))
-    put = sets.select("node", "block", "n", F.explode("runs").alias("run"))
-    across = put.groupBy("run").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).filter("lo < hi").select("run")
-    shared = cut(put.join(across, "run"))
+    # Linked sets have enough runs in common that one is in both sets' rarer parts: all runs but the most common ones, one fewer than they share.
+    put = sets.select("node", F.explode("runs").alias("run"))
+    often = put.groupBy("run").agg(F.count("*").alias("c"))
+    ranked = put.join(often, "run").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "run"))).alias("ranked"))
+    rarer = F.slice("ranked", F.lit(1), (F.size("ranked") - _least_common(percent) + 1).cast("int"))
+    rare = cut(sets.select("node", "block", "n").join(ranked, "node").select("node", "block", F.explode(rarer.getField("run")).alias("run")))
+    across = rare.groupBy("run").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).filter("lo < hi").select("run")
+    shared = cut(rare.join(across, "run"))
     lists = shared.select("run", F.col("block").alias("other")).distinct()
-    others = shared.join(lists, "run").filter("block <> other").groupBy("node", "other").agg(F.count("*").alias("c"), F.first("n").alias("n"))
-    others = others.filter(F.col("c") >= _least_common(percent)).groupBy("node").agg(F.collect_list("other").alias("others"))
+    others = shared.join(lists, "run").filter("block <> other").groupBy("node").agg(F.collect_set("other").alias("others"))
     return sets.drop("runs").join(others, "node", "left")
 
 
@@ -400,7 +404,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     by_member = _prefixes(given, k, percent, heavy).repartition("member").sortWithinPartitions("member", "n", "d1")
     shared = by_member.mapInArrow(lambda batches: _runs(batches, percent), "d1 bigint, run bigint, rep bigint")
-    sets = cut(shared.groupBy("d1").agg(F.min("rep").alias("home"), F.collect_list("run").alias("runs")).join(classes, "d1").filter(F.size("runs") >= _least_common(percent)))
+    sets = cut(shared.groupBy("d1").agg(F.mode("rep", True).alias("home"), F.collect_list("run").alias("runs")).join(classes, "d1").filter(F.size("runs") >= _least_common(percent)))
     heavy.unpersist()
     found = cut(_block_links(given, cut(_placed(sets, percent)), k, percent))
 

@@ -126,6 +126,24 @@ def test_jaccard_join_in_many_blocks(docs, rows, monkeypatch, members):
     assert sorted(map(tuple, jaccard_join.jaccard_classes(docs, 3, 70).collect())) == want
 
 
+def test_runs_of_most_sets_do_not_pair_blocks(spark, monkeypatch):
+    """Eight runs are in all sets, one fewer than linked sets of this size have in common, so only the two sets with nine more in common meet."""
+    from argloom.llm import jaccard_join
+
+    cuts, write = [], jaccard_join.cut
+    monkeypatch.setattr(jaccard_join, "cut", lambda df: cuts.append(write(df)) or cuts[-1])
+    monkeypatch.setattr(jaccard_join, "_BLOCK", 100)
+    own = lambda i: [1000 * i + j for j in range(23)]
+    sets = [(i, i, 7 * i, 100, [*range(8), *own(i)]) for i in range(1, 41)]
+    sets[1] = (2, 2, 14, 100, [*range(8), *own(1)[:9], *own(2)[9:]])
+    placed = jaccard_join._placed(spark.createDataFrame(sets, "node long, d1 long, home long, n long, runs array<long>"), 80).collect()
+    assert len(placed) == 40
+    block = {r["node"]: r["block"] for r in placed}
+    assert block[1] != block[2]
+    assert {r["node"]: r["others"] for r in placed if r["others"]} == {1: [block[2]], 2: [block[1]]}
+    assert cuts[-1].count() <= 18
+
+
 def test_runs_over_batches():
     """A run of one member may be cut anywhere by the batches."""
     import pyarrow as pa
