@@ -229,3 +229,18 @@ def test_continuous_strengths_of_a_dag_equal_the_closed_form(spark):
 def test_levels_still_know_cycles(spark):
     with pytest.raises(ValueError):
         G.levels(spark.createDataFrame([(1, 2), (2, 1)], "source int, target int"))
+
+
+def test_betweenness_stores_no_pairs(spark, monkeypatch):
+    """The sent graph gives what the joins give, and no written table is larger than the graph."""
+    edges = [(f"n{i}", f"n{(i * i + k) % 50}") for i in range(50) for k in (1, 7, 20)] + [("a", "b"), ("b", "n3"), ("n3", "n3")]
+    df = spark.createDataFrame(edges, "source string, target string")
+    cuts, write = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda d: cuts.append(write(d)) or cuts[-1])
+    monkeypatch.setattr(G, "_HELD_PAIRS", 200)
+    got = {r.node_id: r.score for r in G.betweenness(df).collect()}
+    assert max(c.count() for c in cuts) <= len(edges)
+    monkeypatch.setattr(G, "_SENT_EDGES", 0)
+    want = {r.node_id: r.score for r in G.betweenness(df).collect()}
+    assert got.keys() == want.keys() and max(want.values()) > 0
+    assert all(abs(got[v] - want[v]) < 1e-9 for v in want)
