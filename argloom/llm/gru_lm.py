@@ -102,7 +102,7 @@ class Model:
         return np.where(self.hashes[at] == h, self.ids[at], self.unknown)
 
     def class_of(self, ids: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.starts, ids, side="right") - 1
+        return np.repeat(np.arange(len(self.starts) - 1, dtype=np.int16), np.diff(self.starts))[ids]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, n).ravel() for n in self.NAMES]).astype(np.float32)
@@ -178,25 +178,27 @@ def _log_p(x: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.log(x[each, target] / total)
 
 
-def _by_class(m: Model, target: np.ndarray, cls: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-    """For each class of more than one word: its words, where they are the target, and which of them is."""
-    order = np.argsort(cls.astype(np.int16), kind="stable")
-    cuts = np.flatnonzero(np.diff(cls[order], prepend=-1))
-    for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=False):
-        words = slice(*m.starts[cls[order[i]] : cls[order[i]] + 2].tolist())
+def _by_class(m: Model, target: np.ndarray, cls: np.ndarray) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """Of targets in order of their class, for each class of more than one word: its words, where they are the target, and which of them is."""
+    cuts = np.flatnonzero(np.diff(cls, prepend=-1)).tolist()
+    for i, j in zip(cuts, [*cuts[1:], len(cls)], strict=False):
+        words = slice(*m.starts[cls[i] : cls[i] + 2].tolist())
         if words.stop - words.start > 1:
-            yield words, order[i:j], target[order[i:j]] - words.start
+            yield words, slice(i, j), target[i:j] - words.start
 
 
 def log_probs(m: Model, states: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log probability of each target word after each state."""
     cls = m.class_of(target)
-    out = np.empty(len(target), np.float32)
+    order = np.argsort(cls, kind="stable")  # once for all classes, so that each is a slice
+    states, target, cls = states[order], target[order], cls[order]
+    found, out = np.empty(len(target), np.float32), np.empty(len(target), np.float32)
     for i in range(0, len(target), _ROWS):  # parts that stay in the processor's cache
         part = slice(i, i + _ROWS)
-        out[part] = _log_p(states[part] @ m.classes + m.class_bias, cls[part])
+        found[part] = _log_p(states[part] @ m.classes + m.class_bias, cls[part])
     for words, rows, which in _by_class(m, target, cls):
-        out[rows] += _log_p(states[rows] @ m.words[words].T + m.word_bias[words], which)
+        found[rows] += _log_p(states[rows] @ m.words[words].T + m.word_bias[words], which)
+    out[order] = found
     return out
 
 
@@ -288,8 +290,12 @@ class Trainer:
             kept.append((h, *new[1:]))
             h = new[0]
             states[s] = h.T
-        d_states = np.zeros((steps, live, UNITS), np.float32)
-        d_states[real] = self._softmaxes(states[real], target[real])
+        full = bool(real.all())  # as long as no lane has ended, which is most of the time
+        if full:
+            d_states = self._softmaxes(states.reshape(-1, UNITS), target.ravel()).reshape(states.shape)
+        else:
+            d_states = np.zeros((steps, live, UNITS), np.float32)
+            d_states[real] = self._softmaxes(states[real], target[real])
         d_states = np.ascontiguousarray(d_states.transpose(0, 2, 1))
         d_gates = np.empty((steps, 3 * UNITS, live), np.float32)
         d_h, d_a = np.zeros((UNITS, live), np.float32), np.empty((3 * UNITS, live), np.float32)
@@ -313,15 +319,19 @@ class Trainer:
             d_h += m.recur.T @ e
             d_h *= goes_on[s]
         self._apply("recur", np.clip(g_recur, -1, 1))
-        word, dg = before[real], d_gates.transpose(0, 2, 1)[real]
-        order = np.argsort(word, kind="stable")
-        first = np.flatnonzero(np.diff(word[order], prepend=-1))
-        self._apply("gates", np.add.reduceat(dg[order], first), word[order][first])
+        dg = d_gates.transpose(0, 2, 1)
+        word, dg = (before.ravel(), dg.reshape(-1, 3 * UNITS)) if full else (before[real], dg[real])
+        order = np.argsort(word.astype(np.uint16), kind="stable")
+        word = word[order]
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        self._apply("gates", np.add.reduceat(dg[order], first), word[first])
         return h
 
     def _softmaxes(self, flat: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Learns the output layers from states and the words after them, and returns the states' gradient."""
         m, cls = self.m, self.m.class_of(y)
+        order = np.argsort(cls, kind="stable")
+        flat, y, cls = flat[order], y[order], cls[order]
         scale = np.float32(1 / TRAIN_LANES)  # also where few long documents are left, so that they do not count for more
         grad = np.empty_like(flat)
         g_classes, g_class_bias = np.zeros_like(m.classes), np.zeros_like(m.class_bias)
@@ -347,7 +357,9 @@ class Trainer:
         self._apply("word_bias", g_word_bias)
         self._apply("classes", g_classes)
         self._apply("class_bias", g_class_bias)
-        return grad
+        out = np.empty_like(grad)
+        out[order] = grad
+        return out
 
 
 def _buckets(h: np.ndarray, down: np.uint64) -> Iterator[tuple[int, int, int]]:
