@@ -131,6 +131,28 @@ def test_hierarchy_bounds_nests_and_covers(spark):
     assert max(r.level for r in rows) > 0
 
 
+def test_small_parts_of_a_hierarchy_take_few_jobs(spark, graph):
+    df, edges = graph
+    spark.sparkContext.setJobGroup("few-jobs", "")
+    rows = C.hierarchy(df, limit=8).collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    levels = 1 + max(r.level for r in rows)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs")) < 30 * levels
+    assert {r.node_id for r in rows if r.final} == {x for a, b, _ in edges for x in (a, b)}
+
+
+def test_large_parts_go_by_rounds(spark, graph, monkeypatch):
+    df, edges = graph
+    monkeypatch.setattr(C, "BLOCK", len(edges) // 2)  # the folded graph goes on in a task
+    found = {r.node_id: r.community for r in C.communities(df, refine=True).collect()}
+    groups = defaultdict(set)
+    for node, c in found.items():
+        groups[c].add(node)
+    assert set(found) == {x for a, b, _ in edges for x in (a, b)}
+    assert all(c == min(g) and connected(edges, g) for c, g in groups.items())
+    assert quality(edges, found) >= quality(edges, louvain(edges, 1)) - 0.01
+
+
 def random_graph(seed, n, m, dag):
     rng = random.Random(seed)
     edges = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)}
