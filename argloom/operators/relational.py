@@ -66,7 +66,7 @@ def gate(edges: DataFrame, accuracy: float, confidence: float) -> DataFrame:
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """In- plus out-degree of every node; a self loop counts twice, a node without edges has 0."""
-    ends = edges.select(F.col("source").alias("node_id")).unionByName(edges.select(F.col("target").alias("node_id")))
+    ends = edges.select(F.explode(F.array("source", "target")).alias("node_id"))
     found = ends.groupBy("node_id").agg(F.count("*").alias("degree"))
     return nodes.select("node_id").join(found, "node_id", "left").na.fill(0, ["degree"])
 
