@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from argloom.functions import text as T
 from argloom.functions.formulas import deviations
+from argloom.operators.iterate import dealt
 from argloom.operators.phrases import find_phrases
 from argloom.operators.retrieval import soft_matches
 from argloom.operators.theory import claimants
@@ -75,7 +76,8 @@ def _(spark, d):
 @query("joi02_endpoint_texts", f"WITH {EDGES_SQL}, {NODES_SQL} SELECT relation, a.name AS source_text, b.name AS target_text, count(*) AS n FROM e JOIN n a ON a.node_id = source JOIN n b ON b.node_id = target GROUP BY 1, 2, 3")
 def _(spark, d):
     n = nodes(spark, d)
-    e = edges(spark, d).groupBy("source", "target", "relation").agg(F.count("*").alias("n"))
+    e = dealt(edges(spark, d).select("source", "target", "relation"), table(spark, d, "lineitem").count(), "source", "target", "relation")
+    e = e.groupBy("source", "target", "relation").agg(F.count("*").alias("n"))
     for end in ("source", "target"):
         e = e.join(n.select(F.col("node_id").alias(end), F.col("name").alias(f"{end}_text")), end)
     return e.groupBy("relation", "source_text", "target_text").agg(F.sum("n").alias("n"))
