@@ -26,7 +26,8 @@ def upsert_relations(current: DataFrame, incoming: DataFrame, nodes: DataFrame)
 def commit_batch(triples: DataFrame, batch: DataFrame, done: DataFrame, item: str) -> tuple[DataFrame, DataFrame]:
     """The triples after a batch, and the items that are done after it: a batch's item that was done before adds nothing, so a batch may run twice."""
     fresh = batch.join(done.select(item), item, "left_anti")
-    return triples.unionByName(fresh.select(*triples.columns)), done.select(item).unionByName(fresh.select(item).distinct())
+    committed = cut(fresh.select(item).distinct())  # a later batch reads this instead of joining the earlier ones again
+    return triples.unionByName(fresh.select(*triples.columns)), done.select(item).unionByName(committed)
 
 
 def cleared(done: DataFrame, phase: str) -> DataFrame:

@@ -11,7 +11,7 @@ from argloom.operators import qbaf as Q
 from argloom.operators import records as P
 from argloom.operators import relational as R
 from argloom.operators import theory as H
-from argloom.plans.bindings import EDGES_SQL, NODES_SQL, PREDICTIONS_SQL, TRADE_SQL, edges, nodes, predictions, query, table, trade
+from argloom.plans.bindings import EDGES_SQL, NODES_SQL, PREDICTIONS_SQL, TRADE_SQL, edges, lines_and_orders, nodes, predictions, query, table, trade
 
 #: What line items say of a relation, with gaps: nulls where a value was not given.
 GIVEN_SQL = f"""{EDGES_SQL}, g AS (
@@ -227,8 +227,9 @@ BATCH_SQL = "tr AS (SELECT l_orderkey AS item, l_partkey AS object FROM lineitem
 
 
 def batch(spark, d):
-    line = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("object"))
-    done = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("item"))
+    line, orders = lines_and_orders(spark, d)
+    line = line.select(F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("object"))
+    done = orders.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("item"))
     return line, done
 
 
