@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from argloom.operators.iterate import cut
+from argloom.operators.iterate import cut, dealt
 
 MAX_DEPTH = 64
 
@@ -54,9 +54,11 @@ def lineage(rows: DataFrame, id_col: str, parent_col: str, most: int = MAX_DEPTH
     chain = cut(known.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth")).unionByName(step.select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))))
     reach = 1
     while reach < most:
+        rows = chain.count()
         on = chain.filter(F.col("depth") > 0).select(F.col("id").alias("ancestor"), F.col("ancestor").alias("next"), F.col("depth").alias("more"))
-        longer = chain.filter(F.col("depth") == reach).join(on, "ancestor").select("id", F.col("next").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth")).filter(F.col("depth") <= most)
-        longer = cut(longer.groupBy("id", "ancestor").agg(F.min("depth").alias("depth")).join(chain.select("id", "ancestor"), ["id", "ancestor"], "left_anti"))
+        longer = dealt(chain.filter(F.col("depth") == reach), rows, "ancestor").join(dealt(on, rows, "ancestor"), "ancestor").select("id", F.col("next").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth")).filter(F.col("depth") <= most)
+        longer = dealt(longer, rows, "id", "ancestor").groupBy("id", "ancestor").agg(F.min("depth").alias("depth"))
+        longer = cut(longer.join(dealt(chain.select("id", "ancestor"), rows, "id", "ancestor"), ["id", "ancestor"], "left_anti"))
         if longer.isEmpty():
             break
         chain, reach = cut(chain.unionByName(longer)), 2 * reach
@@ -68,7 +70,8 @@ def first_of_lineage(chain: DataFrame, envelopes: DataFrame) -> DataFrame:
 
     ``chain`` as from :func:`lineage` over runs, ``envelopes`` has ``run_id, identity_key``.
     """
-    met = chain.join(envelopes.withColumnRenamed("run_id", "ancestor"), "ancestor")
+    rows = chain.count()
+    met = dealt(chain, rows, "ancestor").join(dealt(envelopes.withColumnRenamed("run_id", "ancestor"), rows, "ancestor"), "ancestor")
     return met.groupBy("id", "identity_key").agg(F.min_by("ancestor", F.struct("depth", "ancestor")).alias("run_id"))
 
 
