@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from argloom.operators import relational as R
+from argloom.operators.iterate import TASK_ROWS, cut, dealt
 from argloom.operators.vector_join import similar_pairs
-from argloom.plans.bindings import EDGES_SQL, NODES_SQL, PREDICTIONS_SQL, SNAPSHOTS_SQL, edges, nodes, predictions, query, snapshots, table
+from argloom.plans.bindings import EDGES_SQL, NODES_SQL, PREDICTIONS_SQL, SNAPSHOTS_SQL, edges, lines_and_orders, nodes, predictions, query, snapshots, table
 
 N_E = f"WITH {NODES_SQL}, {EDGES_SQL} "
 
@@ -195,7 +196,10 @@ def _(spark, d):
 @query("joi09_shared_chunk_pairs", "WITH m AS (SELECT DISTINCT o_custkey AS a, l_partkey AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT x.a AS a, y.a AS b, count(*) AS n_shared FROM m x JOIN m y ON x.p = y.p AND x.a < y.a GROUP BY 1, 2")
 def _(spark, d):
     # Pairs of customers that share a part: the blocking key is the part.
-    m = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("a"), F.col("l_partkey").alias("p")).distinct()
+    line, orders = lines_and_orders(spark, d)
+    m = cut(line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("a"), F.col("l_partkey").alias("p")).distinct())
+    n = m.groupBy("p").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+    m = dealt(m, int(n), "p", most=4 * TASK_ROWS)
     return m.join(m.select(F.col("a").alias("b"), "p"), "p").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n_shared"))
 
 
