@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from argloom.operators.iterate import cut, dealt
 
 MAX_DEPTH = 64
+#: Levels of nested values that :func:`leaf_fingerprints` opens in one plan.
+LEVELS = 8
 
 
 def upsert_latest(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
@@ -133,20 +135,29 @@ def read_graph(spark: SparkSession, path: str, nodes, edges) -> tuple[DataFrame,
     return spark.read.schema(nodes).json(f"{path}/nodes"), spark.read.schema(edges).json(f"{path}/edges")
 
 
+def _opened(rows: DataFrame) -> DataFrame:
+    """``id, path, v, leaf`` with every value of ``rows(id, path, v)`` opened by a level; one that holds nothing more stays, as a leaf."""
+    inner = rows.sparkSession.tvf.variant_explode_outer(F.col("v").outer()).select("pos", "key", F.col("value").alias("inner"))
+    leaf = F.col("pos").isNull()
+    field = F.when(F.col("path") == "", F.col("key")).otherwise(F.concat_ws(".", "path", "key"))
+    place = F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))
+    path = F.when(leaf, F.col("path")).when(F.col("key").isNull(), place).otherwise(field)
+    return rows.lateralJoin(inner).select("id", path.alias("path"), F.when(leaf, F.col("v")).otherwise(F.col("inner")).alias("v"), leaf.alias("leaf"))
+
+
 def leaf_fingerprints(rows: DataFrame) -> DataFrame:
     """``id, path, fingerprint`` of every leaf of ``rows(id, v)``, ``v`` a VARIANT of any shape.
 
     Fields are joined by dots, places of arrays stand in brackets (``lines[0].tags[1]``); the fingerprint is the SHA-256 of the
     leaf as JSON.  An empty object or array is a leaf.  A null ``v``, and a bare scalar, has no path and gives no row.  A
-    round opens one level of all values, so there are as many rounds as levels.
+    round opens :data:`LEVELS` levels in one plan, and only values that go deeper are stored for the next.
     """
-    spark, found = rows.sparkSession, None
+    found = None
     front = cut(rows.filter("v IS NOT NULL").select("id", F.lit("").alias("path"), "v"))
     while not front.isEmpty():
-        opened = front.lateralJoin(spark.tvf.variant_explode_outer(F.col("v").outer()).select(F.col("pos"), F.col("key"), F.col("value").alias("inner")))
-        opened = cut(opened)
-        leaf = opened.filter("pos IS NULL AND path <> ''").select("id", "path", F.sha2(F.encode(F.to_json("v"), "UTF-8"), 256).alias("fingerprint"))
+        for _ in range(LEVELS):
+            front = _opened(front)
+        leaf = front.filter("leaf AND path <> ''").select("id", "path", F.sha2(F.encode(F.to_json("v"), "UTF-8"), 256).alias("fingerprint"))
         found = leaf if found is None else found.unionByName(leaf)
-        field = F.when(F.col("path") == "", F.col("key")).otherwise(F.concat_ws(".", "path", "key"))
-        front = opened.filter("pos IS NOT NULL").select("id", F.when(F.col("key").isNull(), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(field).alias("path"), F.col("inner").alias("v"))
+        front = cut(front.filter("NOT leaf").select("id", "path", "v"))
     return found if found is not None else front.select("id", "path", F.lit("").alias("fingerprint"))

@@ -78,3 +78,24 @@ def test_common_reach_takes_rounds_by_depth_and_not_by_targets(spark, monkeypatc
     assert len(cuts) < 25  # 13 batches of 64 targets, paths of up to 16 edges
     monkeypatch.setattr(V, "STATE", 6 * 2 * 900)  # some batches at a time
     assert tuple(V.common_reach(df(few), df(edges)).first()) == (len(one), len(two), len(one & two))
+
+
+def test_leaves_of_many_levels_are_stored_only_where_a_round_ends(spark, monkeypatch):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from argloom.operators import records as P
+
+    stored = []
+    monkeypatch.setattr(P, "cut", lambda df, cut=P.cut: stored.append(cut(df)) or stored[-1])
+    shallow = {"a": [{"b": [1, 2]}, {"b": []}]}
+    deep = 7
+    for i in range(3 * P.LEVELS):
+        deep = {"k": deep} if i % 2 else [deep]
+    rows = lambda xs: spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(xs)], "id int, j string").select("id", F.parse_json("j").alias("v"))
+    paths = lambda df: sorted((r.id, r.path.replace("[0]", "")) for r in df.collect())
+    assert paths(P.leaf_fingerprints(rows([shallow]))) == [(0, "a.b"), (0, "a.b[1]"), (0, "a[1].b")]
+    assert [df.count() for df in stored] == [1, 0]
+    assert paths(P.leaf_fingerprints(rows([shallow, deep])))[-1] == (1, ".".join(["k"] * (3 * P.LEVELS // 2)))
+    assert [df.count() for df in stored[2:]] == [2, 1, 1, 1, 0]
