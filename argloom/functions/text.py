@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -155,14 +160,65 @@ def hash_embedding(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return slots.join(norm, "id").select("id", "slot", (F.col("x") / F.col("norm")).alias("x"))
 
 
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id, slots, counts`` of ``id, tokens``: the signs of a text's tokens, summed by slot.  A token is hashed once a batch."""
+    for batch in batches:
+        lists = batch.column(1)
+        coded = lists.flatten().dictionary_encode()
+        byte = np.fromiter((md5(t.encode()).digest()[-1] for t in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))[coded.indices.to_numpy()]
+        text = np.repeat(np.arange(len(lists)), np.fromiter((n or 0 for n in lists.value_lengths().to_pylist()), np.int64, len(lists)))
+        sums = np.bincount(text * 128 + byte % 128, np.where(byte >= 128, 1, -1), len(lists) * 128).astype(np.int64)
+        held = np.flatnonzero(sums)
+        offsets = pa.array(np.searchsorted(held, np.arange(len(lists) + 1) * 128), pa.int32())
+        some = pa.array(np.diff(offsets.to_numpy()) > 0)
+        of = lambda values, kind: pa.ListArray.from_arrays(offsets, pa.array(values, kind))
+        yield pa.RecordBatch.from_arrays([batch.column(0), of(held % 128, pa.int32()), of(sums[held], pa.int64())], names=["id", "slots", "counts"]).filter(some)
+
+
+def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id, slots, xs``: the counts of rows that follow each other with one id, summed and scaled to unit length."""
+    key, total, kind, ids, slots, xs = None, None, None, [], [], []
+
+    def close() -> None:
+        at = np.flatnonzero(total)
+        if len(at):
+            ids.append(key)
+            slots.append(at)
+            xs.append(total[at] / np.sqrt((total * total).sum()))
+
+    def out() -> pa.RecordBatch:
+        made = [pa.array(ids, kind), pa.array(slots, pa.list_(pa.int32())), pa.array(xs, pa.list_(pa.float64()))]
+        for held in (ids, slots, xs):
+            held.clear()
+        return pa.RecordBatch.from_arrays(made, names=["id", "slots", "xs"])
+
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        offsets, at, n = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy(), batch.column(2).values.to_numpy()
+        for i, x in enumerate(batch.column(0).to_pylist()):
+            if total is None or x != key:
+                if total is not None:
+                    close()
+                key, total = x, np.zeros(128, np.int64)
+            part = slice(offsets[i], offsets[i + 1])
+            total[at[part]] += n[part]
+        if ids:
+            yield out()
+    if total is not None:
+        close()
+        if ids:
+            yield out()
+
+
 def sparse_embedding(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The vectors of :func:`hash_embedding` as rows ``id, slots, xs``; a text without tokens, or whose signs cancel out, has none."""
-    tokens = docs.select(F.col(id_col).alias("id"), F.explode(F.regexp_extract_all(F.lower(text_col), F.lit("[\\p{L}\\p{N}_]+"), F.lit(0))).alias("token"))
-    byte = F.conv(F.right(F.md5(F.encode("token", "UTF-8")), F.lit(2)), 16, 10).cast("int")
-    slots = tokens.withColumn("byte", byte).groupBy("id", (F.col("byte") % 128).alias("slot")).agg(F.sum(F.when(F.col("byte") >= 128, 1).otherwise(-1)).alias("x")).filter("x <> 0")
-    rows = slots.groupBy("id").agg(F.collect_list(F.struct("slot", "x")).alias("_v"))  # 128 slots at most
-    norm = F.sqrt(F.aggregate("_v", F.lit(0).cast("bigint"), lambda s, v: s + v["x"] * v["x"]))
-    return rows.withColumn("_n", norm).select("id", F.transform("_v", lambda v: v["slot"]).alias("slots"), F.transform("_v", lambda v: v["x"] / F.col("_n")).alias("xs"))
+    """The vectors of :func:`hash_embedding` as rows ``id, slots, xs``; a text without an id or tokens, or whose signs cancel out, has none.
+
+    Signs are summed where the text is read, so one short row per text is shuffled; texts of one id are one text.
+    """
+    tokens = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.regexp_extract_all(F.lower(text_col), F.lit("[\\p{L}\\p{N}_]+"), F.lit(0)).alias("tokens"))
+    kind = tokens.schema["id"].dataType.simpleString()
+    counts = tokens.mapInArrow(_slot_counts, f"id {kind}, slots array<int>, counts array<bigint>")
+    return counts.repartition("id").sortWithinPartitions("id").mapInArrow(_unit_rows, f"id {kind}, slots array<int>, xs array<double>")
 
 
 def dense(sparse: DataFrame, dim: int = 128) -> DataFrame:

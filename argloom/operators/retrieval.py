@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from argloom.functions.text import dense, set_jaccard, sparse_embedding
 from argloom.operators.graph import components
-from argloom.operators.iterate import cut
+from argloom.operators.iterate import cut, sent_if_few
 from argloom.operators.vector_join import search_blocks, similar_pairs
 
 
@@ -21,7 +21,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
 def meets(docs: DataFrame, queries: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of ``pairs(query_id, doc_id)`` whose vectors share a slot; only the vectors of these pairs are joined."""
-    d = sparse_embedding(docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", "text").select(F.col("id").alias("doc_id"), F.col("slots").alias("ds"))
+    d = sparse_embedding(docs.join(sent_if_few(pairs.select("doc_id").distinct()), "doc_id", "left_semi"), "doc_id", "text").select(F.col("id").alias("doc_id"), F.col("slots").alias("ds"))
     q = sparse_embedding(queries, "query_id", "text").select(F.col("id").alias("query_id"), F.col("slots").alias("qs"))
     return pairs.select("query_id", "doc_id").distinct().join(d, "doc_id").join(q, "query_id").filter(F.arrays_overlap("ds", "qs")).select("query_id", "doc_id")
 
@@ -104,7 +104,8 @@ def linked(mentions: DataFrame, candidates: DataFrame, k: int, least: float) ->
     ``mentions(mention_id, text)``, ``candidates(candidate_id, text)``.  ``outcome`` is ``linked``, ``ambiguous`` if several candidates
     share the best score (no link then), or ``novel``; a mention near no candidate is novel.
     """
-    near = search(candidates.withColumnRenamed("candidate_id", "doc_id"), mentions.withColumnRenamed("mention_id", "query_id"), k)
+    near = cut(search(candidates.withColumnRenamed("candidate_id", "doc_id"), mentions.withColumnRenamed("mention_id", "query_id"), k))
+    candidates = candidates.join(sent_if_few(near.select(F.col("doc_id").alias("candidate_id")).distinct()), "candidate_id", "left_semi")
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[\\p{L}\\p{N}_]+"), F.lit(0)))
     both = near.select(F.col("query_id").alias("mention_id"), F.col("doc_id").alias("candidate_id")).join(mentions.select("mention_id", words("text").alias("mw")), "mention_id").join(candidates.select("candidate_id", words("text").alias("cw")), "candidate_id")
     scored = both.select("mention_id", "candidate_id", set_jaccard(F.col("mw"), F.col("cw"), 1.0).alias("score"))

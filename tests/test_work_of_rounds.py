@@ -99,3 +99,31 @@ def test_leaves_of_many_levels_are_stored_only_where_a_round_ends(spark, monkeyp
     assert [df.count() for df in stored] == [1, 0]
     assert paths(P.leaf_fingerprints(rows([shallow, deep])))[-1] == (1, ".".join(["k"] * (3 * P.LEVELS // 2)))
     assert [df.count() for df in stored[2:]] == [2, 1, 1, 1, 0]
+
+
+def test_embeddings_shuffle_a_row_per_text(spark):
+    from argloom.functions.text import hash_embedding, sparse_embedding
+
+    docs = spark.createDataFrame([(1, "The cat, the CAT and ünïcode_7"), (2, None), (3, " .,"), (4, "one two"), (4, "two three four"), (None, "no id"), (5, "")], "doc_id int, text string")
+    rows = sparse_embedding(docs, "doc_id", "text")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan
+    got = sorted(((r.id, slot, x) for r in rows.collect() for slot, x in zip(r.slots, r.xs, strict=True)), key=str)
+    assert got == sorted(map(tuple, hash_embedding(docs, "doc_id", "text").collect()), key=str)
+    # Opposite signs in one slot leave nothing, within a text and between texts of one id.
+    from hashlib import md5
+
+    word = {md5(f"w{i}".encode()).digest()[-1]: f"w{i}" for i in range(3000)}
+    one = next(b for b in range(128) if b in word and b + 128 in word)
+    rows = spark.createDataFrame([(1, f"{word[one]} {word[one + 128]}"), (2, word[one]), (2, word[one + 128])], "doc_id int, text string")
+    assert sparse_embedding(rows, "doc_id", "text").count() == 0
+
+
+def test_links_read_words_of_near_candidates_only(spark):
+    from argloom.operators import retrieval as R
+
+    texts = spark.createDataFrame([(i, f"shared word{i}") for i in range(20)], "candidate_id int, text string")
+    mentions = spark.createDataFrame([(7, "shared word3"), (8, None)], "mention_id int, text string")
+    links = R.linked(mentions, texts, 2, 0.25)
+    assert "LeftSemi" in links._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.mention_id, r.candidate_id, r.outcome) for r in links.collect()} == {(7, 3, "linked"), (8, None, "novel")}
