@@ -82,7 +82,7 @@ def _(spark, d):
     g = given(spark, d).withColumn("accuracy", F.lit(None).cast("double"))
     weighted = H.admitted(g, stance=0.4, confidence=0.2).withColumn("weight", H.edge_weight({c: F.col(c) for c in PARTS}, typed=False))
     n = nodes(spark, d).select("node_id", H.prior(F.col("prior")).alias("tau"))
-    return Q.solve(H.with_missing_ends(n, weighted), weighted, "quadratic", rounds=2, tolerance=None).select("node_id", F.round("strength", 5).alias("strength"))
+    return Q.solve(n, weighted, "quadratic", rounds=2, tolerance=None, missing=0.5).select("node_id", F.round("strength", 5).alias("strength"))
 
 
 #: Nodes of a reference and of a prediction that renames, retypes and moves some of them.

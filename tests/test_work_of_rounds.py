@@ -144,3 +144,28 @@ def test_diagnostics_search_phrases_once(spark, monkeypatch):
     assert QUERIES["ret06_diagnostics"](spark, "/root/testdata/sf0.001").count() > 0
     ((rows, before, seen),) = read
     assert rows > 0 and seen.value - before == rows
+
+
+def test_solving_evaluates_edges_once_and_sends_few_sources(spark, monkeypatch):
+    from argloom.operators.theory import with_missing_ends
+
+    rows = [("s1", "c1", 0.4, 1), ("s2", "c1", 0.7, -1), ("s1", "c2", 0.2, -1), ("c2", "s2", 0.9, 1), ("x", "y", 0.5, 1), (None, "c1", 1.0, 1), ("s1", "s1", 0.3, 1)]
+    given = spark.createDataFrame(rows, "source string, target string, weight double, polarity int")
+    nodes = spark.createDataFrame([("s1", 0.6), ("s2", 0.8), ("c1", 0.3), ("c2", 0.5), ("z", 0.1)], "node_id string, tau double")
+    strengths = lambda df: {r.node_id: round(r.strength, 9) for r in df.filter("node_id IS NOT NULL").collect()}
+    edges, seen = counted(spark, given)
+    plans = []
+    monkeypatch.setattr(Q, "cut", lambda df, cut=Q.cut: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    got = strengths(Q.solve(nodes, edges, rounds=2, tolerance=None, missing=0.5))
+    assert seen.value == len(rows)
+    assert sum("strategy=broadcast" in p for p in plans) == 2
+    # By hand, with all nodes of the round before.
+    now = tau = {"s1": 0.6, "s2": 0.8, "c1": 0.3, "c2": 0.5, "z": 0.1, "x": 0.5, "y": 0.5}
+    for _ in range(2):
+        total = lambda n, sign: sum(now[s] * w for s, t, w, p in rows if s and t == n and p == sign)
+        now = {n: t + (1 - t) * total(n, 1) / (1 + total(n, 1)) - t * total(n, -1) / (1 + total(n, -1)) for n, t in tau.items()}
+    assert got == {n: round(x, 9) for n, x in now.items()}
+    plans.clear()
+    monkeypatch.setattr(Q, "SENT_ROWS", 0)
+    assert strengths(Q.solve(with_missing_ends(nodes, given), given, rounds=2, tolerance=None)) == got
+    assert not any("strategy=broadcast" in p for p in plans)
