@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from argloom.operators import relational as R
-from argloom.operators.iterate import TASK_ROWS, cut, dealt
+from argloom.operators.cooccurrence import shared_groups
+from argloom.operators.iterate import TASK_ROWS
 from argloom.operators.vector_join import similar_pairs
 from argloom.plans.bindings import EDGES_SQL, NODES_SQL, PREDICTIONS_SQL, SNAPSHOTS_SQL, edges, lines_and_orders, nodes, predictions, query, snapshots, table
 
@@ -197,10 +198,7 @@ def _(spark, d):
 def _(spark, d):
     # Pairs of customers that share a part: the blocking key is the part.
     line, orders = lines_and_orders(spark, d)
-    m = cut(line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("a"), F.col("l_partkey").alias("p")).distinct())
-    n = m.groupBy("p").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
-    m = dealt(m, int(n), "p", most=4 * TASK_ROWS)
-    return m.join(m.select(F.col("a").alias("b"), "p"), "p").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n_shared"))
+    return shared_groups(line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("a"), F.col("l_partkey").alias("p")), TASK_ROWS)
 
 
 @query(
