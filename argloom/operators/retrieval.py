@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from argloom.functions.text import dense, set_jaccard, sparse_embedding
 from argloom.operators.graph import components
 from argloom.operators.iterate import cut, sent_if_few
-from argloom.operators.vector_join import search_blocks, similar_pairs
+from argloom.operators.vector_join import links, search_blocks, similar_pairs
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -60,10 +60,7 @@ def consolidate(vectors: DataFrame, relations: DataFrame, least: float, overlap:
     given = given.withColumn("key", key)
     heads = given.filter("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.first("label").alias("label"), F.first("v").alias("v"), F.first("r").alias("r"))
     heads = cut(heads)
-    pairs = similar_pairs(heads, least, dim)
-    side = lambda c: heads.select(F.col("id").alias(c), F.col("r").alias(f"r{c}"))
-    alike = pairs.join(side("a"), "a").join(side("b"), "b").filter(set_jaccard(F.col("ra"), F.col("rb"), 1.0) >= overlap)
-    found = components(alike.select(F.col("a").alias("source"), F.col("b").alias("target")))
+    found = components(cut(links(heads, least, overlap, dim)).select(F.col("a").alias("source"), F.col("b").alias("target")))
     named = heads.join(found.withColumnRenamed("node_id", "id"), "id", "left").select("key", F.coalesce("component", "id").alias("canonical"))
     return given.select("id", "key").join(named, "key", "left").select("id", F.coalesce("canonical", "id").alias("canonical"))
 

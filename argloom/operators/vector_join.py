@@ -22,6 +22,8 @@ from argloom.operators.iterate import cut
 
 #: Vectors of a block and pivots at most; blocks of a stripe of a cell, and of a side of a tile.
 BLOCK, PIVOTS, STRIPE, TILE = 2_048, 32, 256, 32
+#: Links that a task holds at most before it reduces them to a forest.
+LINKS = 1 << 19
 #: Products are compared after this much rounding error.
 _EPS = 1e-9
 
@@ -230,6 +232,98 @@ def similar_pairs(vectors: DataFrame, least: float, dim: int, most: float = 2.0,
     return pairs.dropDuplicates(["a", "b", "label"]) if repeated else pairs
 
 
+def _under_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` nodes the least one that the links ``a, b`` connect it with."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := root[root], root):
+            root = up
+
+
+def _bits(one: pa.Array, two: pa.Array) -> list[np.ndarray]:
+    """The sets of strings of both sides as rows of 64-bit words, a bit for each string that occurs."""
+    codes = pa.concat_arrays([one.flatten(), two.flatten()]).dictionary_encode()
+    at, words = codes.indices.to_numpy(), -(-len(codes.dictionary) // 64)
+    found = []
+    for sets, place in ((one, at[: len(one.flatten())]), (two, at[len(one.flatten()) :])):
+        bits = np.zeros((len(sets), words), np.uint64)
+        np.bitwise_or.at(bits, (np.repeat(np.arange(len(sets)), sets.value_lengths().to_numpy()), place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
+        found.append(bits)
+    return found
+
+
+def _linked(least: float, overlap: float):
+    """``a, b``: each vector of two blocks under the first one that it is linked with, directly or over others of them; ids are structs with the set ``r``."""
+
+    def run(of: pa.Array, same: bool, one: tuple, two: tuple) -> Iterator[pa.RecordBatch]:
+        (ids_x, x, _), (ids_y, y, _) = one, two
+        bits_x, bits_y = _bits(ids_x.field("r"), ids_y.field("r"))
+        size_x, size_y = (np.bitwise_count(b).sum(axis=1, dtype=np.int64) for b in (bits_x, bits_y))
+        a, b = [], []
+        for i in range(0, len(x), 256):
+            cosine = x[i : i + 256] @ y.T
+            open_ = cosine >= least - _EPS
+            if same:
+                open_ &= np.arange(i, i + len(cosine))[:, None] < np.arange(len(y))
+            p, q = np.nonzero(open_)
+            hit = np.round(cosine[p, q], 12) >= least
+            p, q = p[hit] + i, q[hit]
+            both = np.zeros(len(p), np.int64)
+            for w in range(bits_x.shape[1]):
+                both += np.bitwise_count(bits_x[p, w] & bits_y[q, w])
+            every = size_x[p] + size_y[q] - both
+            alike = np.where(every == 0, 1.0, both / np.maximum(every, 1)) >= overlap
+            a.append(p[alike])
+            b.append(q[alike] + (0 if same else len(x)))
+        a, b = np.concatenate(a), np.concatenate(b)
+        ids = ids_x.field("id") if same else pa.concat_arrays([ids_x.field("id"), ids_y.field("id")])
+        root = _under_roots(a, b, len(ids))
+        under = np.flatnonzero(root != np.arange(len(ids)))
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(under)), ids.take(pa.array(root[under]))], names=["a", "b"])
+
+    return run
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links ``a, b`` of a task, as few as connect the same; at most :data:`LINKS` and a batch are held."""
+
+    def forest(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ids = pa.concat_arrays([x.column(i) for i in (0, 1) for x in held]).dictionary_encode()
+        root = _under_roots(*np.split(ids.indices.to_numpy(), 2), len(ids.dictionary))
+        under = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([ids.dictionary.take(pa.array(under)), ids.dictionary.take(pa.array(root[under]))], names=["a", "b"])
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size > LINKS:
+            held = [forest(held)]
+            size = held[0].num_rows
+            if 2 * size > LINKS:
+                yield held[0]
+                held, size = [], 0
+    if size:
+        yield forest(held)
+
+
+def links(vectors: DataFrame, least: float, overlap: float, dim: int) -> DataFrame:
+    """``a, b``: links that connect what the pairs of ``vectors(id, label, v, r)`` with one label, a cosine of ``least`` or more and a Jaccard index of the sets ``r`` of ``overlap`` or more connect.
+
+    The sets go with the vectors into their blocks, and a task keeps a forest, so no more than a link per vector and task is
+    shuffled, however many pairs there are.  Two empty sets are alike.
+    """
+    made = blocks(vectors.filter("label IS NOT NULL").select(F.struct("id", F.coalesce("r", F.array().cast("array<string>")).alias("r")).alias("id"), "label", "v"), dim)
+    kind = _kind(vectors, "id")
+    return _met(block_pairs(made, least), made, dim, _linked(least, overlap), f"a {kind}, b {kind}").mapInArrow(_forests, f"a {kind}, b {kind}")
+
+
 def join_report(vectors: DataFrame, least: float, dim: int) -> DataFrame:
     """One row: ``vectors`` that can match, ``pairs`` of one label among them, ``met`` in blocks that could not be ruled out, ``verified`` in full, ``found``."""
     made = _joined(vectors, least, dim)

@@ -195,3 +195,32 @@ def test_pareto_front_equals_brute_force(spark):
     for parts in (1, 5):
         assert {r.id for r in pareto(df, "q", "c", parts).collect()} == want
     assert pareto(df.limit(0), "q", "c").count() == 0
+
+
+def test_consolidation_keeps_links_and_no_pairs(spark, monkeypatch):
+    """Of a group of n vectors that are all alike, at most a link per vector and task is stored; sets may have more members than a word has bits."""
+    import random
+
+    from argloom.operators import retrieval as R
+
+    monkeypatch.setattr(J, "BLOCK", 7)
+    r, n, stored = random.Random(6), 60, []
+    v = [(i, i % 2, [1.0 + r.random() / 10, float(i % 3 == 0), 0.1]) for i in range(n)] + [(100, None, [1.0, 0.0, 0.1])]
+    sets = {i: {f"s{k}" for k in range(100 if i % 5 else 0)} - ({"s0"} if i % 7 else set()) for i in range(n)}
+    monkeypatch.setattr(R, "cut", lambda df, cut=R.cut: stored.append(cut(df)) or stored[-1])
+    rows = [(i, s) for i, x in sets.items() for s in sorted(x)]
+    got = {x.id: x.canonical for x in R.consolidate(spark.createDataFrame(v, "id int, label int, v array<double>"), spark.createDataFrame(rows, "id int, signature string"), 0.9, 0.8, 3).collect()}
+
+    def alike(a, b):
+        dot = sum(p * q for p, q in zip(a[2], b[2], strict=True)) / (sum(p * p for p in a[2]) * sum(p * p for p in b[2])) ** 0.5
+        x, y = sets[a[0]], sets[b[0]]
+        return a[1] == b[1] and dot >= 0.9 and (not x | y or len(x & y) / len(x | y) >= 0.8)
+
+    want = {a[0]: a[0] for a in v}
+    pairs = [(a[0], b[0]) for a in v[:n] for b in v[:n] if a[0] < b[0] and alike(a, b)]
+    for _ in v:
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+    assert got == want and len(set(want.values())) < 15
+    linked = [df for df in stored if "source" in df.columns or df.columns == ["a", "b"]]
+    assert len(linked) == 1 and linked[0].count() <= 4 * n < len(pairs)
