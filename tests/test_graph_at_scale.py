@@ -266,3 +266,43 @@ def test_betweenness_stores_no_pairs(spark, monkeypatch):
     want = {r.node_id: r.score for r in G.betweenness(df).collect()}
     assert got.keys() == want.keys() and max(want.values()) > 0
     assert all(abs(got[v] - want[v]) < 1e-9 for v in want)
+
+
+def test_sources_followed_by_the_same_nodes_are_walked_once(spark, monkeypatch):
+    import numpy as np
+
+    def brandes(edges):
+        near = defaultdict(list)
+        for a, b in edges:
+            near[a].append(b)
+        score = dict.fromkeys({x for e in edges for x in e}, 0.0)
+        for s in score:
+            dist, paths, order, before = {s: 0}, Counter({s: 1}), [s], defaultdict(list)
+            for v in order:
+                for w in near[v]:
+                    if w not in dist:
+                        dist[w] = dist[v] + 1
+                        order.append(w)
+                    if dist[w] == dist[v] + 1:
+                        paths[w] += paths[v]
+                        before[w].append(v)
+            gain = Counter()
+            for w in reversed(order):
+                for v in before[w]:
+                    gain[v] += paths[v] / paths[w] * (1 + gain[w])
+                score[w] += gain[w] if w != s else 0
+        return score
+
+    rng, n = random.Random(3), 14
+    base = {(a, b) for a in range(n) for b in rng.sample(range(n), rng.choice([0, 1, 3])) if a != b}
+    # Copies that nothing leads to, and a node within the graph that the same nodes follow as another.
+    edges = sorted(base | {(a + 100 * k, b) for a, b in base for k in range(1, 9)} | {(50, b) for a, b in base if a == 2} | {(5, 50), (50, 9), (2, 9)})
+    df = spark.createDataFrame(edges, "source int, target int")
+    got, want = {r.node_id: r.score for r in G.betweenness(df, normalized=False).collect()}, brandes(edges)
+    assert got == pytest.approx(want, abs=1e-9) and max(want.values()) > 0
+
+    ids, ends = np.unique(np.array(edges).T, return_inverse=True)
+    source, heads = ends.reshape(2, -1)
+    first = G._alike(np.append(0, np.cumsum(np.bincount(source, minlength=len(ids)))), heads)
+    follow = {v: tuple(sorted(b for a, b in edges if a == v)) for v in ids.tolist()}
+    assert [follow[x] for x in ids[first].tolist()] == [follow[x] for x in ids.tolist()] and len(set(first.tolist())) == len(set(follow.values())) <= n + 1
